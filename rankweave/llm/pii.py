@@ -143,6 +143,10 @@ def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "spans", ki
     return out.withColumn(spans_col, F.concat(*found)).drop(doc, *names)
 
 
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long")
+
+
 def joined_spans(spans: Column) -> Column:
     """``kind:start:end``, comma-joined in the given order."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
