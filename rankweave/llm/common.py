@@ -43,7 +43,41 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def arrow_schema(df: DataFrame):
-    from pyspark.sql.pandas.types import to_arrow_schema
+def with_arrow(df: DataFrame, fields: str, make) -> DataFrame:
+    """``df`` with the columns of the DDL string ``fields``, which replace columns of the same names.
 
-    return to_arrow_schema(df.schema)
+    ``make(batch)`` gets Arrow record batches of at most ROWS rows and returns an array for each field.
+    """
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    names = {f.name.lower() for f in new}
+    keep = [f for f in df.schema if f.name.lower() not in names]
+    schema = StructType([*keep, *new])
+    at = [i for i, f in enumerate(df.schema) if f.name.lower() not in names]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                made = make(batch)
+                columns = [*(batch.column(i) for i in at), *made]
+                yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, out, strict=True)], names=out.names)
+
+    return df.mapInArrow(run, schema)
+
+
+#: Most rows of an Arrow batch that a task works on at once.
+ROWS = 2000
+
+
+def text_bytes(batch, name: str) -> list[bytes]:
+    """The texts of a column as UTF-8, null as empty."""
+    import pyarrow as pa
+
+    column = batch.column(batch.schema.get_field_index(name))
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, sharding, url_filter
+from . import bpe, packing, pii, sharding, url_filter
 
 #: Host and path rules of the URL query.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -23,6 +24,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of at most 4096 tokens and its place there."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(documents, public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=1)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    out = bpe.decode(coded.select("doc_id", "ids"), path, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by base kind, a digest of the base spans, and all spans of every document."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -49,7 +66,7 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 
 
 def queries() -> dict:
-    return {"op3_url_filter": op3_url_filter, "op9_pii": op9_pii, "op10_sharding": op10_sharding}
+    return {"op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op6_byte_bpe": op6_byte_bpe, "op9_pii": op9_pii, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
