@@ -81,3 +81,48 @@ def text_bytes(batch, name: str) -> list[bytes]:
 
     column = batch.column(batch.schema.get_field_index(name))
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: Code points that are worked on at once; a longer text is a chunk of its own.
+CHUNK_CHARS = 1_000_000
+HASH_BASE = 0x9E3779B97F4A7C15
+_RUNS = None
+
+
+def letters(text: str) -> str:
+    """Lower-case letters of a text, with one space between runs and at both ends."""
+    global _RUNS
+    if _RUNS is None:
+        import re
+
+        _RUNS = re.compile(r"[\W\d_]+")
+    return f" {_RUNS.sub(' ', text.lower()).strip()} "
+
+
+def chunked(texts: list[str]):
+    """(first, last) ranges of texts of CHUNK_CHARS together, or of one longer text."""
+    start, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > CHUNK_CHARS:
+            yield start, i
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def code_points(texts: list[str]):
+    """(code points of all texts, the place where each begins)."""
+    import numpy as np
+
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return codes, np.cumsum([0, *map(len, texts)])
+
+
+def mix(h):
+    """Finalizer of 64-bit hashes, in numpy."""
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, sharding, url_filter
+from . import bpe, langid, packing, pii, sharding, toxicity, url_filter
 
 #: Host and path rules of the URL query.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -31,6 +31,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the documents that are not held out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(documents.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.identify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -40,6 +48,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity, grade and verdict of every document."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return toxicity.grade(documents, model).select("doc_id", "severity", "grade", "toxic")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by base kind, a digest of the base spans, and all spans of every document."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -66,7 +81,7 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 
 
 def queries() -> dict:
-    return {"op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op6_byte_bpe": op6_byte_bpe, "op9_pii": op9_pii, "op10_sharding": op10_sharding}
+    return {"op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_byte_bpe": op6_byte_bpe, "op7_toxicity": op7_toxicity, "op9_pii": op9_pii, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
