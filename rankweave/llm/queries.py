@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, pii, sharding, toxicity, url_filter
+from . import bpe, langid, ngram_join, packing, pii, sharding, toxicity, url_filter
 
 #: Host and path rules of the URL query.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of distinct 5-word shingles and the least id of its near-duplicates."""
+    found = ngram_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), words=5, percent=75)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule and verdict of every page's url."""
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
@@ -81,8 +87,8 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 
 
 def queries() -> dict:
-    return {"op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_byte_bpe": op6_byte_bpe, "op7_toxicity": op7_toxicity, "op9_pii": op9_pii, "op10_sharding": op10_sharding}
+    return {"op2_ngram_join": op2_ngram_join, "op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_byte_bpe": op6_byte_bpe, "op7_toxicity": op7_toxicity, "op9_pii": op9_pii, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _URL_SQL}
+    return {"op2_ngram_join": op2_ngram_join, "op3_url_filter": _URL_SQL}
