@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, pii, sharding, toxicity, url_filter
+from . import bpe, langid, multi_index, ngram_join, packing, pii, sharding, topk, toxicity, url_filter
 
 #: Host and path rules of the URL query.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's number of links at cosine 0.9, its component, and whether it is kept."""
+    return multi_index.similar_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), cosine=0.9)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of distinct 5-word shingles and the least id of its near-duplicates."""
     found = ngram_join.similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), words=5, percent=75)
@@ -61,6 +66,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(documents, model).select("doc_id", "severity", "grade", "toxic")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every query (vec_id divisible by 50) with all other vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5, scale=256)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by base kind, a digest of the base spans, and all spans of every document."""
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -87,8 +98,8 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 
 
 def queries() -> dict:
-    return {"op2_ngram_join": op2_ngram_join, "op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_byte_bpe": op6_byte_bpe, "op7_toxicity": op7_toxicity, "op9_pii": op9_pii, "op10_sharding": op10_sharding}
+    return {"op1_multi_index": op1_multi_index, "op2_ngram_join": op2_ngram_join, "op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_byte_bpe": op6_byte_bpe, "op7_toxicity": op7_toxicity, "op8_top_k": op8_top_k, "op9_pii": op9_pii, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": op2_ngram_join, "op3_url_filter": _URL_SQL}
+    return {"op1_multi_index": op1_multi_index, "op2_ngram_join": op2_ngram_join, "op3_url_filter": _URL_SQL}
