@@ -20,7 +20,7 @@ from .common import HASH_BASE, mix, stage, text_bytes, with_arrow
 from .components import components
 
 #: Bytes that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average.
-CHUNK_BYTES, FLUSH, BUCKET = 1 << 20, 3_000_000, 1_500_000
+CHUNK_BYTES, FLUSH, BUCKET = 1 << 18, 800_000, 500_000
 #: Bits of a shingle's identity besides the bucket, and bins of the suffix filter.
 TOKEN_BITS, BINS = 40, 16
 
