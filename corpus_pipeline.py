@@ -1,13 +1,62 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and reread by the next.
+
+Documents without any letter go, then toxic ones, then near copies but one of each group; what is left has
+its personal data replaced and is packed into token sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankweave.llm import langid, ngram_join, packing, pii, toxicity
+from rankweave.llm.common import stage
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language can be told; ``und`` ones (null, empty, no letter) are rejected."""
+    found = langid.identify(docs, langid.fit(docs.select("doc_id", "text", "lang")))
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are likelier not toxic, by a model of the labelled documents among them."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.grade(docs, model).where(~F.col("toxic")).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that 5-word shingles with a Jaccard similarity of 0.75 link: the one with the least doc_id."""
+    return ngram_join.keep_one(docs, words=5, percent=75)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every span of personal data replaced by its kind and n_chars counted anew."""
+    spans = "pii_spans"
+    out = pii.redact(pii.find_pii(docs, spans_col=spans), spans_col=spans)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequences of at most 4096 tokens."""
+    return packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=1)
+
 
-STAGES: list = []
-#: DuckDB SQL for the rows of ``run``: none, since classifiers and packing have no SQL form.
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
+]
+#: No SQL: classifiers and packing cannot be expressed in it; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The result of all stages over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return docs

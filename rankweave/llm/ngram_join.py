@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import HASH_BASE, mix, stage, text_bytes, with_arrow
+from .common import HASH_BASE, mix, stage, text_bytes, unused, with_arrow
 from .components import components
 
 #: Bytes that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average.
@@ -361,6 +362,19 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     return links.union(stage(verified(second, sets, percent), "verified"))
 
 
+def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, class_key) of every row; and (class_key, component_id, winner): the least id of the class's component and the class that has it."""
+    info = stage(with_classes(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", words).select("id", "n_shingles", "class_key"), "classes")
+    total = info.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    buckets = max(16, -(-total // BUCKET))
+    sets = stage(shared_sets(df, text_col, words, percent, buckets), "sets")
+    roots = components(class_links(sets, percent))
+    classes = info.where("class_key is not null").groupBy("class_key").agg(F.min("id").alias("id")).join(roots.withColumnRenamed("node", "class_key"), "class_key", "left")
+    classes = stage(classes.withColumn("root", F.coalesce("root", "class_key")), "classes")
+    least = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "class_key")).alias("w"))
+    return info, classes.join(least, "root").select("class_key", F.col("w.id").alias("component_id"), F.col("w.class_key").alias("winner"))
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """A row for each row of ``df``: ``id_col``, n_shingles, class_key, component_id.
 
@@ -371,14 +385,22 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id take part and never give the id, so it is null where no document of the component has one.
     Repeated rows are linked; an empty table gives an empty one; other columns of ``df`` are ignored.
     """
-    info = stage(with_classes(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", words).select("id", "n_shingles", "class_key"), "classes")
-    total = info.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    buckets = max(16, -(-total // BUCKET))
-    sets = stage(shared_sets(df, text_col, words, percent, buckets), "sets")
-    roots = components(class_links(sets, percent))
-    classes = info.where("class_key is not null").groupBy("class_key").agg(F.min("id").alias("id")).join(roots.withColumnRenamed("node", "class_key"), "class_key", "left")
-    classes = stage(classes.withColumn("root", F.coalesce("root", "class_key")), "classes")
-    least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = classes.join(least, "root").select("class_key", "component_id")
+    info, named = _classes(df, id_col, text_col, words, percent)
     out = info.join(named, "class_key", "left").withColumn("component_id", F.when(F.col("class_key").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "class_key", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``df`` with one document of each group of similar ones, that of the least id.
+
+    Rows without words are in no group and stay. Of repeated rows with the least id one stays; in a group
+    without ids, any one. All columns stay as they are.
+    """
+    size, key, rank, component, winner = unused(df, "set_size", "set_key", "set_rank", "component_id", "winner")
+    _, named = _classes(df, id_col, text_col, words, percent)
+    first = named.where(F.col("class_key") == F.col("winner")).select(F.col("class_key").alias(key), F.col("component_id").alias(component), F.col("winner").alias(winner))
+    rows = with_classes(df, text_col, words, size, key).join(first, key, "left")
+    rows = rows.where(F.col(key).isNull() | (F.col(winner).isNotNull() & F.col(id_col).eqNullSafe(F.col(component))))
+    grouped, loose = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
+    grouped = grouped.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).where(F.col(rank) == 1)
+    return grouped.select(df.columns).union(loose.select(df.columns))

@@ -23,7 +23,8 @@ CONTEXT = 48
 class Kind:
     """A kind of span: where texts may hold one (``hint``), its expression, its validator, its score without context words, and those words.
 
-    Spans of ``base`` kinds are reported once valid; others need ``threshold``.
+    Spans of ``base`` kinds are reported once valid; others need ``THRESHOLD``, and may not overlap a span of
+    the kind ``unless``.
     """
 
     name: str
@@ -33,6 +34,7 @@ class Kind:
     score: float
     words: str
     base: bool = True
+    unless: str = ""
 
 
 def _digits(m: Column) -> Column:
@@ -78,6 +80,9 @@ KINDS = (
     Kind("phone", r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.7, "phone|tel|call|fax|mobile|llame|anruf"),
     Kind("iban", r"[A-Z]{2}[0-9]{2}", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", mod97, 0.8, "iban|account|konto|compte|cuenta", base=False),
     Kind("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(000|666|9)|-00-|-0000$"), 0.3, "ssn|social security", base=False),
+    # A number that the wide forms above join with what follows it, so that they fail, is found alone.
+    Kind("card_alone", r"[0-9]{4}[\x20-]?[0-9]{4}", r"(?<![0-9])(?:[0-9]{13,19}+|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?![0-9])", luhn, 0.7, "card|visa|mastercard|karte|carte|tarjeta|credit", base=False, unless="card"),
+    Kind("phone_alone", r"\+[0-9]", r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])", lambda m: F.length(_digits(m)).between(9, 15), 0.7, "phone|tel|call|fax|mobile|llame|anruf", base=False, unless="phone"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 CONTEXT_BONUS, THRESHOLD = 0.25, 0.5
@@ -118,6 +123,11 @@ def _confirmed(spans: Column, k: Kind, text: Column) -> Column:
     return F.transform(F.filter(spans, lambda x: k.valid(x.v)), scored)
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others."""
+    return F.filter(spans, lambda x: ~F.exists(others, lambda o: (o.start < x.end) & (x.start < o.end)))
+
+
 def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "spans", kinds=KINDS) -> DataFrame:
     """``df`` with ``spans_col``: an array of (kind, start, end, value, score), by kind as listed, then by start.
 
@@ -138,7 +148,11 @@ def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "spans", ki
         at = F.when(F.size(m) > 0, _starts(F.col(g), F.col(m))).otherwise(F.array().cast("array<bigint>"))
         span = F.zip_with(F.col(m), at, lambda v, a: F.struct(v.alias("v"), a.alias("a")))
         spans = _confirmed(span, k, text)
-        out = out.withColumn(s, spans if k.base else F.filter(spans, lambda x: x.score >= THRESHOLD))
+        if not k.base:
+            spans = F.filter(spans, lambda x: x.score >= THRESHOLD)
+        if k.unless:
+            spans = _apart(spans, F.col(names[3 * [o.name for o in kinds].index(k.unless) + 2]))
+        out = out.withColumn(s, spans)
         found.append(s)
     return out.withColumn(spans_col, F.concat(*found)).drop(doc, *names)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import HASH_BASE, chunked, code_points, letters, mix, stage, text_bytes, with_arrow
 
 #: Lengths of word beginnings besides whole words (0); expected most rows of a label in the sample; most features; least documents of a feature; least odds.
-PREFIXES, PER_LABEL, FEATURES, LEAST, ODDS = (0, 4, 5), 8000, 1024, 8, 30.0
+PREFIXES, PER_LABEL, FEATURES, LEAST, ODDS = (0, 4, 5), 8000, 1024, 5, 30.0
 #: Documents that a feature's log odds are drawn to zero by.
 PSEUDO = 5.0
 
