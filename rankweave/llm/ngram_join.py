@@ -5,9 +5,10 @@
    bucket sends back those that two or more classes hold, with their counts. Others cannot be shared.
 3. A class orders its shingles from rare to frequent. Two sets that are similar enough share a shingle of
    their prefixes. Classes whose prefixes hold unshared shingles alone are done.
-4. Prefix shingles are joined, in two passes, so that groups of copies cost their size and not its square:
-   first each list's classes with one pivot of the list, then, in lists that the links found so far leave
-   in several components, the classes outside the list's main component with all of other components.
+4. Prefix shingles are joined in passes, so that groups of copies cost their size and not its square: first
+   each list's classes with a few pivots of the list; then, while lists that the links found so far leave in
+   several components hold many pairs, the classes outside a list's main component with a few of its
+   classes; at last those with all classes of other components. No pair that could link is left out.
 5. Pairs that pass the filters are verified once, on whole sets.
 """
 
@@ -20,8 +21,8 @@ from pyspark.sql.window import Window
 from .common import HASH_BASE, mix, stage, text_bytes, unused, with_arrow
 from .components import components
 
-#: Bytes that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average.
-CHUNK_BYTES, FLUSH, BUCKET = 1 << 18, 800_000, 500_000
+#: Bytes that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average and least buckets; parts in which a bucket is counted.
+CHUNK_BYTES, FLUSH, BUCKET, BUCKETS, PARTS = 1 << 18, 1_000_000, 2_000_000, 64, 4
 #: Bits of a shingle's identity besides the bucket, and bins of the suffix filter.
 TOKEN_BITS, BINS = 40, 16
 
@@ -163,15 +164,20 @@ def _payload(*arrays) -> bytes:
 
 #: Arrays of a bucket's payload: classes' keys, their set sizes and shingles here; the shingles' low words and high bytes.
 TO_BUCKET = ("<u8", "<u4", "<u4", "<u4", "u1")
-#: Arrays of an answer: classes' keys, set sizes and shared shingles; the shingles and their counts.
-TO_CLASS = ("<u8", "<u4", "<u4", "<u8", "<u4")
+#: Arrays of an answer: classes' keys, set sizes, shared shingles and buckets; the shingles' low words and high bytes, and their counts.
+TO_CLASS = ("<u8", "<u4", "<u4", "<u4", "<u4", "u1", "u1")
+#: Counts are told apart up to this; more frequent shingles are ordered by hash alone.
+MOST = 255
+#: Pivots of a list in a pass; most passes with pivots; pairs to compare, for each prefix row, that pivots are no longer needed for; and the share of the last pass's pairs above which they no longer help.
+PIVOTS, PASSES, FEW, SLOW = 4, 6, 4, 0.7
 
 
 def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets: int) -> DataFrame:
-    """(class_key, n, own, tokens, bins) of every class whose prefix holds a shared shingle.
+    """(class_key, n, own, rare, tokens, bins) of every class whose prefix holds a shared shingle.
 
-    ``tokens`` are the shingles that other classes have too (unsigned 64-bit, rare first), ``own`` the
-    number of those that none has, and ``bins`` counts tokens by hash.
+    ``own`` is the number of shingles that no other class has; ``rare`` holds the rest of the prefix
+    (unsigned 64-bit, rare first), ``tokens`` all shared shingles (40-bit hashes: low words, then high
+    bytes), and ``bins`` counts them by hash.
     """
     shift = 64 - TOKEN_BITS - (buckets.bit_length() - 1)
 
@@ -224,61 +230,74 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
         import pyarrow as pa
 
         keys, n, counts, low, high = _runs([x.as_buffer() for x in table.column("payload")], TO_BUCKET)
-        tokens = (high.astype("uint64") << np.uint64(32)) | low
         _, firsts = np.unique(keys, return_index=True)
         keep = np.zeros(len(keys), bool)
-        keep[firsts] = True
-        tokens = tokens[np.repeat(keep, counts)]
+        keep[firsts] = True  # copies of other tasks
+        each = np.repeat(keep, counts)
+        tokens = high[each].astype("uint64") << np.uint64(32) | low[each]
         keys, n, counts = keys[keep], n[keep], counts[keep]
-        owner = np.repeat(np.arange(len(keys)), counts)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, int)
-        df_ = np.repeat(np.diff(np.r_[first, len(tokens)]), np.diff(np.r_[first, len(tokens)]))
-        shared = df_ > 1
-        tokens, owner, df_ = tokens[shared] * np.uint64(buckets) + np.uint64(key[0].as_py()), owner[shared], df_[shared]
-        order = np.argsort(owner, kind="stable")
-        tokens, owner, df_ = tokens[order], owner[order], df_[order]
-        part = (keys[owner] % np.uint64(buckets)).astype("int64")
-        order, parts = _shares(tokens, part, buckets)
-        tokens, owner, df_ = tokens[order], owner[order], df_[order]
+        owner = np.repeat(np.arange(len(keys), dtype="int32"), counts)
+        del low, high, each
+        found = []
+        for part in range(PARTS):
+            own = np.flatnonzero(tokens % np.uint64(PARTS) == part)
+            own = own[np.argsort(tokens[own], kind="stable")]
+            t = tokens[own]
+            first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, "int64")
+            size = np.diff(np.r_[first, len(t)])
+            size = np.repeat(size, size)
+            shared = size > 1
+            found.append((own[shared], np.minimum(size[shared], MOST).astype("u1")))
+        at, much = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        order = np.argsort(at)
+        tokens, owner, much = tokens[at[order]], owner[at[order]], much[order]
+        order, parts = _shares(tokens, (keys[owner] % np.uint64(buckets)).astype("int64"), buckets)
+        tokens, owner, much = tokens[order], owner[order], much[order]
         out = []
         for p, a, b in parts:
             own = owner[a:b]
             first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             at = own[first]
-            out.append((p, _payload(keys[at], n[at], np.diff(np.r_[first, b - a]).astype("<u4"), tokens[a:b], df_[a:b].astype("<u4"))))
+            t = tokens[a:b]
+            here = np.full(len(at), key[0].as_py(), "<u4")
+            out.append((p, _payload(keys[at], n[at], np.diff(np.r_[first, b - a]).astype("<u4"), here, t.astype("<u4"), (t >> np.uint64(32)).astype("u1"), much[a:b])))
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["part", "payload"])
 
     def gather(table):
         import numpy as np
         import pyarrow as pa
 
-        keys, n, counts, tokens, df_ = _runs([x.as_buffer() for x in table.column("payload")], TO_CLASS)
+        keys, n, counts, bucket, low, high, much = _runs([x.as_buffer() for x in table.column("payload")], TO_CLASS)
+        tokens = (high.astype("uint64") << np.uint64(32) | low) * np.uint64(buckets) + np.repeat(bucket, counts)
         owner = np.repeat(keys, counts)
-        order = np.lexsort((tokens, df_, owner))
+        order = np.lexsort((tokens, much, owner))
         tokens, owner = tokens[order], owner[order]
         names, at = np.unique(keys, return_index=True)
         n = n[at].astype("int64")
         starts = np.searchsorted(owner, names)
         ends = np.searchsorted(owner, names, "right")
         own = n - (ends - starts)
-        bins = (mix(tokens) >> np.uint64(64 - BINS.bit_length() + 1)).astype("int64")
-        rows = np.flatnonzero(own < prefix(n, percent))
+        reach = prefix(n, percent) - own
+        rows = np.flatnonzero(reach > 0)
+        short = mix(tokens)
+        bins = (short >> np.uint64(64 - BINS.bit_length() + 1)).astype("int64")
+        # 40 bits of a hash tell the shingles of two sets apart.
+        halves = (short & np.uint64(0xFFFFFFFF)).astype("<u4"), (short >> np.uint64(32) & np.uint64(0xFF)).astype("u1")
         return pa.table(
             [
                 pa.array(names[rows].view("int64")),
                 pa.array(n[rows].astype("int32")),
                 pa.array(own[rows].astype("int32")),
-                pa.array([tokens[starts[i] : ends[i]].tobytes() for i in rows], pa.binary()),
+                pa.array([tokens[starts[i] : min(ends[i], starts[i] + reach[i])].tobytes() for i in rows], pa.binary()),
+                pa.array([halves[0][starts[i] : ends[i]].tobytes() + halves[1][starts[i] : ends[i]].tobytes() for i in rows], pa.binary()),
                 pa.array([np.bincount(bins[starts[i] : ends[i]], minlength=BINS).astype("int32") for i in rows], pa.list_(pa.int32())),
             ],
-            names=["class_key", "n", "own", "tokens", "bins"],
+            names=["class_key", "n", "own", "rare", "tokens", "bins"],
         )
 
     sent = df.select(text_col).mapInArrow(send, "bucket int, payload binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "part int, payload binary")
-    return answers.groupBy("part").applyInArrow(gather, "class_key long, n int, own int, tokens binary, bins array<int>")
+    return answers.groupBy("part").applyInArrow(gather, "class_key long, n int, own int, rare binary, tokens binary, bins array<int>")
 
 
 def prefix(n, percent: int):
@@ -298,6 +317,14 @@ def _possible(a: str, b: str, percent: int):
     return length & (F.least(n1 - p1, n2 - p2) >= _overlap(n1, n2, percent))
 
 
+def unpacked(data):
+    """The 40-bit hashes of a set."""
+    import numpy as np
+
+    n = len(data) // 5
+    return np.frombuffer(data, "u1", n, 4 * n).astype("uint64") << np.uint64(32) | np.frombuffer(data, "<u4", n)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class keys whose whole sets are similar enough; a suffix filter on bins goes before the sets are fetched."""
     small = sets.select("class_key", "n", "bins")
@@ -316,8 +343,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             t1, t2 = batch.column("t1"), batch.column("t2")
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                x, y = np.frombuffer(t1[i].as_buffer(), "<u8"), np.frombuffer(t2[i].as_buffer(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                both = len(np.intersect1d(unpacked(t1[i].as_buffer()), unpacked(t2[i].as_buffer())))
                 keep[i] = 100 * both >= percent * (n1[i] + n2[i] - both)
             import pyarrow as pa
 
@@ -334,39 +360,57 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            n, own = np.array(batch.column("n").to_pylist(), "int64"), np.array(batch.column("own").to_pylist(), "int64")
-            take = prefix(n, percent) - own
-            tokens = [np.frombuffer(t.as_buffer(), "<u8")[:k] for t, k in zip(batch.column("tokens"), take.tolist(), strict=True)]
-            size = np.array([len(t) for t in tokens])
-            rows = np.repeat(np.arange(len(n)), size)
+            own = np.array(batch.column("own").to_pylist(), "int64")
+            tokens = [np.frombuffer(t.as_buffer(), "<i8") for t in batch.column("rare")]
+            size = np.array([len(t) for t in tokens], "int64")
+            rows = np.repeat(np.arange(len(own)), size)
             at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + own[rows]
-            key = np.array(batch.column("class_key").to_pylist(), "int64")
-            columns = [np.concatenate(tokens).view("int64") if tokens else np.zeros(0, "int64"), key[rows], n[rows].astype("int32"), at.astype("int32")]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "n", "at"])
-
-    postings = stage(sets.select("class_key", "n", "own", "tokens").mapInArrow(prefixes, "token long, key long, n int, at int"), "prefixes")
-    pivots = postings.groupBy("token").agg(F.min(F.struct("key", "n", "at")).alias("pivot"), F.count("*").alias("m")).where("m > 1").select("token", "pivot")
-    first = postings.alias("x").join(pivots.select("token", "pivot.*").alias("y"), "token").where((F.col("x.key") != F.col("y.key")) & _possible("x", "y", percent))
-    first = stage(first.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), "pairs")
-    links = stage(verified(first, sets, percent), "verified")
-
-    roots = components(links)
-    placed = postings.join(roots.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    tally = placed.groupBy("token", "root").agg(F.count("*").alias("m"))
-    mixed = tally.groupBy("token").agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("k")).where("k > 1").select("token", F.col("main.root").alias("main"))
-    rest = stage(placed.join(mixed, "token"), "mixed")
-    outside = rest.where("root <> main")
-    second = outside.alias("x").join(rest.alias("y"), "token").where((F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))) & _possible("x", "y", percent))
-    second = second.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = stage(second, "pairs")
-    return links.union(stage(verified(second, sets, percent), "verified"))
+            columns = [pa.array(np.concatenate(tokens)) if tokens else pa.array([], pa.int64()), batch.column("class_key").take(pa.array(rows)), batch.column("n").take(pa.array(rows)), pa.array(at.astype("int32"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "key", "n", "at"])
+
+    postings = stage(sets.select("class_key", "n", "own", "rare").mapInArrow(prefixes, "token long, key long, n int, at int"), "prefixes")
+    total = postings.count()
+    near = lambda x, y: (F.col(f"{x}.key") != F.col(f"{y}.key")) & _possible(x, y, percent)
+    ends = (F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+
+    def pivots(rows, turn: int):
+        """PIVOTS rows of each list at most; lists of one group of copies mostly name the same ones."""
+        mixed = F.xxhash64("key", F.lit(turn))
+        return rows.groupBy("token", F.pmod(mixed, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(mixed.alias("h"), "key", "n", "at")).alias("p")).select("token", "p.key", "p.n", "p.at")
+
+    # The first pass: every row with its list's pivots.
+    tried = postings.alias("x").join(pivots(postings, 0).alias("y"), "token").where(near("x", "y"))
+    tried = stage(tried.select(*ends).distinct(), "pairs")
+    links = stage(verified(tried, sets, percent), "verified")
+    before = float("inf")
+    for turn in range(1, PASSES + 1):
+        roots = components(links)
+        placed = postings.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        tally = placed.groupBy("token", "root").agg(F.count("*").alias("m"))
+        mixed = tally.groupBy("token").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("main.root").alias("main"), "m", (F.col("m") - F.col("main.m")).alias("others"))
+        mixed = stage(mixed, "lists")
+        rest = stage(placed.join(mixed, "token").select(*placed.columns, "main"), "mixed")
+        left = mixed.agg(F.sum(F.col("m") * F.col("others")).alias("n")).first()["n"] or 0
+        outside = rest.where("root <> main")
+        last = left <= FEW * total or turn == PASSES or left > SLOW * before
+        before = left
+        if last:  # every row outside its list's main component with all of other components
+            meet = outside.alias("x").join(rest.alias("y"), "token").where((F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))) & near("x", "y"))
+        else:  # with pivots of the main component
+            meet = outside.alias("x").join(pivots(rest.where("root = main"), turn).alias("y"), "token").where(near("x", "y"))
+        fresh = stage(meet.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = links.union(stage(verified(fresh, sets, percent), "verified"))
+        tried = tried.union(fresh)
+        if last:
+            break
+    return links
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(id, n_shingles, class_key) of every row; and (class_key, component_id, winner): the least id of the class's component and the class that has it."""
     info = stage(with_classes(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", words).select("id", "n_shingles", "class_key"), "classes")
     total = info.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    buckets = max(16, -(-total // BUCKET))
+    buckets = max(BUCKETS, -(-total // BUCKET))
     sets = stage(shared_sets(df, text_col, words, percent, buckets), "sets")
     roots = components(class_links(sets, percent))
     classes = info.where("class_key is not null").groupBy("class_key").agg(F.min("id").alias("id")).join(roots.withColumnRenamed("node", "class_key"), "class_key", "left")
