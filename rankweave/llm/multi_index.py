@@ -19,7 +19,7 @@ from .components import components
 from .vectors import matrix, usable
 
 #: Numbers in the sample that codebooks are fitted on, and its most rows; vectors of a cell on average; most codewords of a half.
-SAMPLE_NUMBERS, SAMPLE_ROWS, PER_CELL, CODEWORDS = 4_000_000, 16_384, 32, 512
+SAMPLE_NUMBERS, SAMPLE_ROWS, PER_CELL, CODEWORDS = 4_000_000, 16_384, 256, 512
 #: Share of pairs at the least linked cosine that either end's visits must meet; rows of a block.
 RECALL, BLOCK = 0.995, 1024
 
