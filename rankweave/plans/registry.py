@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None, parts: str = ""):
     def add(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = "WITH " + ",".join([CONTEST_SQL, *(PARTS[p] for p in parts.split())]) + "\n" + sql
+            ORACLES[name] = "WITH RECURSIVE " + ",".join([CONTEST_SQL, *(PARTS[p] for p in parts.split())]) + "\n" + sql
         return fn
 
     return add
