@@ -20,10 +20,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back, so that a lost executor costs a reread only."""
+def parts(rows: int, each: int = 200_000) -> int:
+    """Files for a table of so many rows, so that small ones in loops are not written as one tiny file a shuffle partition."""
+    return max(4, -(-rows // each))
+
+
+def stage(df: DataFrame, name: str = "stage", files: int | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder, in ``files`` files at most, and read it back, so that a lost executor costs a reread only."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

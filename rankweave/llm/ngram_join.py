@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HASH_BASE, mix, stage, text_bytes, unused, with_arrow
+from .common import HASH_BASE, mix, parts, stage, text_bytes, unused, with_arrow
 from .components import components
 
 #: Bytes that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average and least buckets; parts in which a bucket is counted.
@@ -168,6 +168,8 @@ TO_BUCKET = ("<u8", "<u4", "<u4", "<u4", "u1")
 TO_CLASS = ("<u8", "<u4", "<u4", "<u4", "<u4", "u1", "u1")
 #: Counts are told apart up to this; more frequent shingles are ordered by hash alone.
 MOST = 255
+#: Pairs that a task verifies on average.
+PAIRS = 3000
 #: Pivots of a list in a pass; most passes with pivots; pairs to compare, for each prefix row, that pivots are no longer needed for; and the share of the last pass's pairs above which they no longer help.
 PIVOTS, PASSES, FEW, SLOW = 4, 6, 4, 0.7
 
@@ -380,16 +382,17 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
 
     # The first pass: every row with its list's pivots.
     tried = postings.alias("x").join(pivots(postings, 0).alias("y"), "token").where(near("x", "y"))
-    tried = stage(tried.select(*ends).distinct(), "pairs")
-    links = stage(verified(tried, sets, percent), "verified")
+    files = parts(total)
+    tried = stage(tried.select(*ends).distinct(), "pairs", files)
+    links = stage(verified(tried, sets, percent), "verified", parts(tried.count(), PAIRS))
     before = float("inf")
     for turn in range(1, PASSES + 1):
         roots = components(links)
         placed = postings.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         tally = placed.groupBy("token", "root").agg(F.count("*").alias("m"))
         mixed = tally.groupBy("token").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("main.root").alias("main"), "m", (F.col("m") - F.col("main.m")).alias("others"))
-        mixed = stage(mixed, "lists")
-        rest = stage(placed.join(mixed, "token").select(*placed.columns, "main"), "mixed")
+        mixed = stage(mixed, "lists", files)
+        rest = stage(placed.join(mixed, "token").select(*placed.columns, "main"), "mixed", files)
         left = mixed.agg(F.sum(F.col("m") * F.col("others")).alias("n")).first()["n"] or 0
         outside = rest.where("root <> main")
         last = left <= FEW * total or turn == PASSES or left > SLOW * before
@@ -398,8 +401,8 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
             meet = outside.alias("x").join(rest.alias("y"), "token").where((F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))) & near("x", "y"))
         else:  # with pivots of the main component
             meet = outside.alias("x").join(pivots(rest.where("root = main"), turn).alias("y"), "token").where(near("x", "y"))
-        fresh = stage(meet.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.union(stage(verified(fresh, sets, percent), "verified"))
+        fresh = stage(meet.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "pairs", files)
+        links = links.union(stage(verified(fresh, sets, percent), "verified", parts(fresh.count(), PAIRS)))
         tried = tried.union(fresh)
         if last:
             break
