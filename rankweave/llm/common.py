@@ -89,7 +89,7 @@ def text_bytes(batch, name: str) -> list[bytes]:
 
 
 #: Code points that are worked on at once; a longer text is a chunk of its own.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 HASH_BASE = 0x9E3779B97F4A7C15
 _RUNS = None
 

@@ -30,8 +30,9 @@ def gram_buckets(texts: list[str]):
     for n in NGRAMS:
         h = np.full(len(codes), n, "uint64")
         for k in range(n):
-            h[: len(codes) - k] = (h[: len(codes) - k] ^ wide[k:]) * np.uint64(0x9E3779B97F4A7C15)
-            h[: len(codes) - k] ^= h[: len(codes) - k] >> np.uint64(29)
+            m = max(0, len(codes) - k)
+            h[:m] = (h[:m] ^ wide[k:]) * np.uint64(0x9E3779B97F4A7C15)
+            h[:m] ^= h[:m] >> np.uint64(29)
         bucket = (mix(h) >> np.uint64(64 - BUCKET_BITS)).astype("int64")
         outside = at + n > end
         if n == 1:

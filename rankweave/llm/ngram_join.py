@@ -91,7 +91,7 @@ class Shingler:
         k = self.words
         value = np.zeros(len(word), "uint64")
         for j, f in enumerate(self.factors):
-            value[: len(word) - j] += word[j:] * np.uint64(f)
+            value[: max(0, len(word) - j)] += word[j:] * np.uint64(f)
         whole = np.zeros(len(word), bool)
         if len(word) >= k:
             whole[: len(word) - k + 1] = text[: len(word) - k + 1] == text[k - 1 :]

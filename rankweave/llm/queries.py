@@ -101,5 +101,33 @@ def queries() -> dict:
     return {"op1_multi_index": op1_multi_index, "op2_ngram_join": op2_ngram_join, "op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_byte_bpe": op6_byte_bpe, "op7_toxicity": op7_toxicity, "op8_top_k": op8_top_k, "op9_pii": op9_pii, "op10_sharding": op10_sharding}
 
 
+_REACH_SQL = """
+reach(a, b) AS (SELECT DISTINCT id, id FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+roots AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+_VECTOR_SQL = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+good AS (SELECT id, v FROM nodes WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(v, v) > 0),
+links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.id <> y.id AND len(x.v) = len(y.v) AND list_cosine_similarity(x.v, y.v) >= 0.9),{_REACH_SQL}
+SELECT n.id AS vec_id, coalesce(l.n, 0) AS n_links, r.component_id, n.id = r.component_id AS kept FROM nodes n JOIN roots r ON n.id = r.id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = n.id
+"""
+
+_JACCARD_SQL = rf"""
+WITH RECURSIVE words AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+nodes AS (SELECT id, len(s) AS n FROM sets), flat AS (SELECT id, unnest(s) AS g FROM sets),
+links AS (SELECT x.id AS a, y.id AS b FROM flat x JOIN flat y ON x.g = y.g AND x.id <> y.id JOIN nodes p ON p.id = x.id JOIN nodes q ON q.id = y.id
+  GROUP BY x.id, y.id HAVING 100 * count(*) >= 75 * (any_value(p.n) + any_value(q.n) - count(*))),{_REACH_SQL}
+SELECT n.id AS doc_id, n.n AS n_shingles, r.component_id FROM nodes n JOIN roots r ON n.id = r.id
+"""
+
+_TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM scores WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_multi_index": op1_multi_index, "op2_ngram_join": op2_ngram_join, "op3_url_filter": _URL_SQL}
+    return {"op1_multi_index": _VECTOR_SQL, "op2_ngram_join": _JACCARD_SQL, "op3_url_filter": _URL_SQL, "op8_top_k": _TOP_K_SQL}
