@@ -80,3 +80,16 @@ def rank_bounds(scores: DataFrame, by: str, score: str, uncertainty: str) -> Dat
     above = F.sum("weight").over(Window.orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, 0)) - F.sum("weight").over(Window.partitionBy("at"))
     ranked = events.withColumn("rank", (above + 1).cast("long")).where("ask > 0")
     return ranked.groupBy(F.col("who").alias(by)).agg(F.max(F.when(F.col("ask") == 1, F.col("rank"))).alias("best_rank"), F.max(F.when(F.col("ask") == 2, F.col("rank"))).alias("worst_rank"))
+
+
+def causal_prefix(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """One row: how many keys of two dated ledgers (key, date, digest) agree before the first date that differs, and that date.
+
+    ``replay_from`` is null where nothing differs; rows before it are proven equal, so a replay may start there.
+    """
+    a = old.select(*key, F.col("date").alias("old_date"), F.col("digest").alias("a"))
+    b = new.select(*key, F.col("date").alias("new_date"), F.col("digest").alias("b"))
+    both = a.join(b, key, "full_outer").withColumn("at", F.least("old_date", "new_date"))
+    same = F.col("a").eqNullSafe(F.col("b")) & F.col("old_date").eqNullSafe(F.col("new_date"))
+    first = both.agg(F.min(F.when(~same, F.col("at"))).alias("replay_from"), F.count_if(~same).alias("changed"))
+    return both.crossJoin(F.broadcast(first)).agg(F.count_if(F.col("replay_from").isNull() | (F.col("at") < F.col("replay_from"))).alias("proven"), F.max("changed").alias("changed"), F.max("replay_from").alias("replay_from"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis_queries, history_queries, player_queries, replay_queries, series_queries  # noqa: F401
+from . import analysis_queries, history_queries, player_queries, region_queries, replay_queries, series_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
