@@ -93,3 +93,31 @@ def causal_prefix(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     same = F.col("a").eqNullSafe(F.col("b")) & F.col("old_date").eqNullSafe(F.col("new_date"))
     first = both.agg(F.min(F.when(~same, F.col("at"))).alias("replay_from"), F.count_if(~same).alias("changed"))
     return both.crossJoin(F.broadcast(first)).agg(F.count_if(F.col("replay_from").isNull() | (F.col("at") < F.col("replay_from"))).alias("proven"), F.max("changed").alias("changed"), F.max("replay_from").alias("replay_from"))
+
+
+def enrich_from_schedule(games: DataFrame, schedule: DataFrame) -> DataFrame:
+    """``games`` (date, team_a, team_b, best_of) with ``official_match_id`` and the official format where there is one.
+
+    A key is the date and both names' keys in order. Keys that several official matches share are
+    ambiguous and match nothing; a schedule row without exactly two teams or a time is left out.
+    """
+    from ..functions.names import name_key
+
+    def keyed(day, a, b):
+        return F.concat_ws("|", F.date_format(day, "yyyy-MM-dd"), F.least(name_key(a), name_key(b)), F.greatest(name_key(a), name_key(b)))
+
+    listed = schedule.where("size(teams) = 2 and at is not null").select(keyed(F.col("at"), F.col("teams")[0]["name"], F.col("teams")[1]["name"]).alias("match_key"), "match_id", F.col("best_of").alias("official_best_of"))
+    unique = listed.groupBy("match_key").agg(F.min("match_id").alias("official_match_id"), F.max("official_best_of").alias("official_best_of"), F.countDistinct("match_id").alias("n")).where("n = 1").drop("n")
+    out = games.withColumn("match_key", keyed(F.col("date"), F.col("team_a"), F.col("team_b"))).join(unique, "match_key", "left")
+    return out.withColumn("best_of", F.coalesce("official_best_of", "best_of")).drop("match_key", "official_best_of")
+
+
+def enrich_from_duplicates(kept: DataFrame, dropped: DataFrame, key: list[str]) -> DataFrame:
+    """``kept`` rows with a longer format and a higher event tier where a dropped duplicate of their key knows one."""
+    from ..functions.ratings import EVENT_K, lookup
+
+    weight = lookup(EVENT_K, F.col("tier"), 14)
+    better = dropped.groupBy(*key).agg(F.max("best_of").alias("other_best_of"), F.max(F.struct(weight.alias("k"), "tier")).alias("other"))
+    out = kept.join(better, key, "left")
+    tier = F.when(F.col("other.k") > weight, F.col("other.tier")).otherwise(F.col("tier"))
+    return out.withColumns({"best_of": F.greatest("best_of", "other_best_of"), "tier": tier}).drop("other_best_of", "other")
