@@ -222,6 +222,19 @@ def e2_any_key_match(spark, sf_dir):
     return X.any_key_match(rows, rows.withColumnRenamed("series_id", "other_id"), ["k1", "k2"], "series_id", "other_id")
 
 
+@query(
+    "e2_any_key_match_all",
+    """, k AS (SELECT series_id, strftime(date, '%Y-%m-%d') || team_a AS k1, strftime(date, '%Y-%m-%d') || team_b AS k2 FROM games WHERE game_number = 1),
+pairs AS (SELECT a.series_id, b.series_id AS other_id FROM k a JOIN k b ON a.k1 = b.k1 UNION ALL SELECT a.series_id, b.series_id FROM k a JOIN k b ON a.k2 = b.k2)
+SELECT series_id, min(other_id) AS other_id FROM pairs GROUP BY series_id""",
+)
+def e2_any_key_match_all(spark, sf_dir):
+    # Every series has one first game.
+    day = F.date_format("date", "yyyy-MM-dd")
+    rows = contest_games(spark, sf_dir).where("game_number = 1").select("series_id", F.concat(day, "team_a").alias("k1"), F.concat(day, "team_b").alias("k2"))
+    return X.any_key_match(rows, rows.withColumnRenamed("series_id", "other_id"), ["k1", "k2"], "series_id", "other_id")
+
+
 @query("e3_first_of_key", "SELECT team_a, team_b, date, series_id, game_number FROM games QUALIFY row_number() OVER (PARTITION BY team_a, team_b, date ORDER BY series_id, game_number) = 1")
 def e3_first_of_key(spark, sf_dir):
     return X.first_of(contest_games(spark, sf_dir), ["team_a", "team_b", "date"], ["series_id", "game_number"]).select("team_a", "team_b", "date", "series_id", "game_number")
