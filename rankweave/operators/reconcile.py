@@ -30,6 +30,20 @@ def any_key_match(rows: DataFrame, others: DataFrame, keys: list[str], row_id: s
     return found.groupBy(row_id).agg(F.min(other_id).alias(other_id))
 
 
+def dimension_lookup(rows: DataFrame, key: str, dimension: DataFrame, names: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with the columns of the ``dimension`` row that any of its ``names`` columns finds by ``key``, whatever the case.
+
+    Of dimension rows that share a name, the last by ``order`` counts, and of its names the last. Rows that
+    find nothing, null keys among them, are left out.
+    """
+    kept = F.struct(*dimension.columns)
+    spelled = F.array(*[F.struct(F.lower(F.col(n).cast("string")).alias("name"), F.lit(i).alias("i")) for i, n in enumerate(names)])
+    listed = dimension.select(F.explode(spelled).alias("n"), kept.alias("found"), F.struct(*order).alias("at")).where("n.name is not null")
+    last = listed.groupBy(F.col("n.name").alias("lookup_name")).agg(F.max_by("found", F.struct("at", "n.i")).alias("found"))
+    out = rows.join(F.broadcast(last), F.lower(F.col(key).cast("string")) == F.col("lookup_name"))
+    return out.select(*[F.col(c) for c in rows.columns], "found.*")
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key, the first by ``order``; Spark prunes to group limits before the exchange."""
     return rows.withColumn("first_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("first_rank = 1").drop("first_rank")

@@ -211,6 +211,21 @@ def e1_consumable_match(spark, sf_dir):
     return X.consumable_match(left, right, ["team_a", "team_b", "date"], ["series_id", "game_number"], ["other_series", "other_game"])
 
 
+@query(
+    "e1_consumable_match_all",
+    """, l AS (SELECT series_id, game_number, team_a, team_b, date, row_number() OVER (PARTITION BY team_a, team_b, date ORDER BY series_id, game_number) AS turn FROM games WHERE winner = team_a),
+r AS (SELECT series_id AS other_series, game_number AS other_game, team_a, team_b, date, row_number() OVER (PARTITION BY team_a, team_b, date ORDER BY series_id, game_number) AS turn FROM games WHERE winner <> team_a)
+SELECT l.team_a, l.team_b, l.date, l.turn, series_id, game_number, other_series, other_game FROM l JOIN r ON l.team_a = r.team_a AND l.team_b = r.team_b AND l.date = r.date AND l.turn = r.turn""",
+)
+def e1_consumable_match_all(spark, sf_dir):
+    # Every game is on one of the sides: won by team_a on the left, by team_b on the right.
+    games = contest_games(spark, sf_dir)
+    columns = ("series_id", "game_number", "team_a", "team_b", "date")
+    left = games.where("winner = team_a").select(*columns)
+    right = games.where("winner <> team_a").select(*columns).withColumnsRenamed({"series_id": "other_series", "game_number": "other_game"})
+    return X.consumable_match(left, right, ["team_a", "team_b", "date"], ["series_id", "game_number"], ["other_series", "other_game"])
+
+
 @query(
     "e2_any_key_match",
     """, a AS (SELECT series_id, strftime(date, '%Y-%m-%d') || team_a AS k1, strftime(date, '%Y-%m-%d') || team_b AS k2 FROM games WHERE game_number = 1 AND season = 1995), b AS (SELECT series_id AS other_id, strftime(date, '%Y-%m-%d') || team_a AS k1, strftime(date, '%Y-%m-%d') || team_b AS k2 FROM games WHERE game_number = 1 AND season = 1995)

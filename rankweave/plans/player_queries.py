@@ -87,6 +87,17 @@ def e20_dimension_lookup(spark, sf_dir):
     return table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey", "c_nationkey").join(F.broadcast(nation), "c_nationkey").select("c_custkey", "nation")
 
 
+@query(
+    "e20_dimension_lookup_all",
+    """, names AS (SELECT lower(n_name) AS name, n_nationkey, n_name FROM nation UNION SELECT CAST(n_nationkey AS VARCHAR), n_nationkey, n_name FROM nation)
+SELECT c.c_custkey, arg_max(n_name, n_nationkey) AS nation FROM customer c JOIN names ON lower(CAST(c.c_nationkey AS VARCHAR)) = name GROUP BY c.c_custkey""",
+)
+def e20_dimension_lookup_all(spark, sf_dir):
+    # A nation's code is its number, all that customers know of it; its name would find it as well.
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
+    return X.dimension_lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", nation, ["nation", "n_nationkey"], ["n_nationkey"]).select("c_custkey", "nation")
+
+
 @query("f28_international_counts", "SELECT league, count(*) FILTER (tier IN ('worlds-playoffs', 'msi-bracket') AND league <> opponent_league) AS international, count(*) AS games FROM sides GROUP BY league", "sides")
 def f28_international_counts(spark, sf_dir):
     abroad = F.col("tier").isin("worlds-playoffs", "msi-bracket") & (F.col("league") != F.col("opponent_league"))
