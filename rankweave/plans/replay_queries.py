@@ -51,3 +51,29 @@ def l6_walk_forward(spark, sf_dir):
 def f20_backtest(spark, sf_dir):
     rows = replayed(spark, sf_dir)[1].where("observed <> 0.5")
     return metrics.forecast_metrics(rows.select("p", F.col("observed").cast("int").alias("y")))
+
+
+# By UTC date instead of month, with gaps in days.
+PARTS["replayed_by_date"] = PARTS["replayed"].replace("year(date) * 12 + month(date) - 1", "date - DATE '1970-01-01'").replace("q.gap * 30.0::DOUBLE", "q.gap")
+
+
+def replayed_by_date(spark, sf_dir):
+    return replay.replay_by_date(series.resolve_series(contest_games(spark, sf_dir)))
+
+
+@query("l2_replay_standings_daily", f"SELECT team, {r4('rating', 2)} AS rating, {r4('uncertainty', 2)} AS uncertainty, row_number() OVER (ORDER BY {r4('rating', 2)} DESC, team) AS rank FROM walk WHERE i = (SELECT max(i) FROM walk)", "series series_sides replayed_by_date")
+def l2_replay_standings_daily(spark, sf_dir):
+    state, _ = replayed_by_date(spark, sf_dir)
+    out = state.select("team", half_up(F.col("rating"), 2).alias("rating"), half_up(F.col("uncertainty"), 2).alias("uncertainty"))
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("rating").desc(), "team")).cast("long"))
+
+
+@query("l6_walk_forward_daily", "SELECT series_id, team, opponent, p, observed FROM scored", "series series_sides replayed_by_date")
+def l6_walk_forward_daily(spark, sf_dir):
+    return replayed_by_date(spark, sf_dir)[1].select("series_id", "team", "opponent", "p", "observed")
+
+
+@query("f20_backtest_daily", f"SELECT {METRICS} FROM (SELECT p, CAST(observed AS INTEGER) AS y FROM scored WHERE observed <> 0.5)", "series series_sides replayed_by_date")
+def f20_backtest_daily(spark, sf_dir):
+    rows = replayed_by_date(spark, sf_dir)[1].where("observed <> 0.5")
+    return metrics.forecast_metrics(rows.select("p", F.col("observed").cast("int").alias("y")))
