@@ -2,106 +2,91 @@
 
 1. Each text becomes its set of 64-bit shingle hashes; documents with one set are one class.
 2. Shingles are counted over all classes: tasks send them, packed in binary rows, to buckets by hash; a
-   bucket sends back those that two or more classes hold, with their counts. Others cannot be shared.
+   bucket sends back those that two or more classes hold, with their counts. Others cannot be shared. Of a
+   shingle that many classes of one task hold, its bucket gets one mark, and the classes need no answer.
 3. A class orders its shingles from rare to frequent. Two sets that are similar enough share a shingle of
    their prefixes. Classes whose prefixes hold unshared shingles alone are done.
 4. Prefix shingles are joined in passes, so that groups of copies cost their size and not its square: first
    each list's classes with a few pivots of the list; then, while lists that the links found so far leave in
    several components hold many pairs, the classes outside a list's main component with a few of its
    classes; at last those with all classes of other components. No pair that could link is left out.
-5. Pairs that pass the filters are verified once, on whole sets.
+5. The length and positional filters and a suffix filter, the bits in which two sets' parities by hash
+   differ, go into the join itself. Pairs that pass are verified once, on whole sets.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import HASH_BASE, mix, parts, stage, text_bytes, unused, with_arrow
 from .components import components
 
-#: Bytes that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average and least buckets; parts in which a bucket is counted.
-CHUNK_BYTES, FLUSH, BUCKET, BUCKETS, PARTS = 1 << 18, 1_000_000, 2_000_000, 64, 4
-#: Bits of a shingle's identity besides the bucket, and bins of the suffix filter.
-TOKEN_BITS, BINS = 40, 16
+#: Words that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average and least buckets; parts in which a bucket is counted.
+CHUNK_WORDS, FLUSH, BUCKET, BUCKETS, PARTS = 1 << 16, 1_000_000, 2_000_000, 64, 4
+#: Most words that a process remembers, and the longest one in bytes; both bound memory and never change hashes.
+CACHE, LONGEST = 400_000, 48
 
 
 class Shingler:
-    """Sets of shingle hashes of many texts at once, in numpy."""
+    """Sets of shingle hashes of many texts at once: words by BLAKE2b, runs of words mixed in numpy."""
 
-    def __init__(self, words: int):
-        import numpy as np
+    def __init__(self, words: int, seed: int = 0):
+        from hashlib import blake2b
 
         self.words = words
-        self.table = mix(np.arange(1, 257, dtype="uint64") * np.uint64(HASH_BASE))
-        lower = np.arange(256)
-        lower[65:91] += 32
-        self.table = self.table[lower]
-        self.blank = np.zeros(256, bool)
-        self.blank[[9, 10, 11, 12, 13, 32]] = True
-        self.factors = [pow(HASH_BASE, k + 2, 1 << 64) for k in range(words)]
-        self.room = 0
-
-    def _powers(self, n: int):
-        import numpy as np
+        salt = seed.to_bytes(8, "little")
 
-        if n > self.room:
-            self.room = max(n, 2 * CHUNK_BYTES)
-            step = HASH_BASE | 1
-            for name, value in (("up", step), ("down", pow(step, -1, 1 << 64))):
-                p = np.full(self.room, value, "uint64")
-                p[0] = 1
-                setattr(self, name, np.cumprod(p, dtype="uint64"))
-        return self.up[:n], self.down[:n]
+        class Hashes(dict):
+            def __missing__(self, word):
+                value = int.from_bytes(blake2b(word, digest_size=8, salt=salt).digest(), "little")
+                if len(self) < CACHE and len(word) <= LONGEST:
+                    self[word] = value
+                return value
+
+        self.hashes = Hashes()
 
     def sets(self, texts: list[bytes]):
         """(sorted distinct hashes of all texts, how many each text has)."""
         import numpy as np
 
-        hashes, sizes = [], []
-        a, total = 0, 0
-        for i in range(len(texts) + 1):
-            if i == len(texts) or (i > a and total + len(texts[i]) > CHUNK_BYTES):
-                if i > a:
-                    h, n = self._chunk(texts[a:i])
-                    hashes.append(h)
-                    sizes.append(n)
-                a, total = i, 0
-            if i < len(texts):
-                total += len(texts[i])
+        hashes, sizes, held, total = [], [], [], 0
+        for i, text in enumerate(texts):
+            # Exactly 0x20 and 0x09-0x0D part words, and exactly A-Z are lower-cased, in bytes.
+            held.append(text.lower().split())
+            total += len(held[-1])
+            if total > CHUNK_WORDS or i + 1 == len(texts):
+                h, n = self._chunk(held)
+                hashes.append(h)
+                sizes.append(n)
+                held, total = [], 0
         if not hashes:
             return np.zeros(0, "uint64"), np.zeros(0, "int64")
         return np.concatenate(hashes), np.concatenate(sizes)
 
-    def _chunk(self, texts: list[bytes]):
+    def _chunk(self, texts: list[list[bytes]]):
         import numpy as np
 
-        data = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype="uint8")
-        starts = np.cumsum([1, *(len(t) + 1 for t in texts)])
-        up, down = self._powers(len(data))
-        sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum(self.table[data] * up, dtype="uint64")])
-        blank = self.blank[data]
-        begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-        stop = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-        word = mix((sums[stop] - sums[begin]) * down[begin])
-        text = np.searchsorted(starts, begin, "right") - 1
-        count = np.bincount(text, minlength=len(texts))
-        first = np.concatenate([[0], np.cumsum(count)[:-1]])
-        k = self.words
-        value = np.zeros(len(word), "uint64")
-        for j, f in enumerate(self.factors):
-            value[: max(0, len(word) - j)] += word[j:] * np.uint64(f)
-        whole = np.zeros(len(word), bool)
-        if len(word) >= k:
-            whole[: len(word) - k + 1] = text[: len(word) - k + 1] == text[k - 1 :]
-        short = np.flatnonzero((count > 0) & (count < k))
-        for i in range(k - 1):  # the whole sequence of a shorter text
-            own = short[count[short] == i + 1]
-            value[first[own]] = sum(word[first[own] + j] * np.uint64(self.factors[j]) for j in range(i + 1)) + np.uint64(i + 1)
-        whole[first[short]] = True
-        h, text = mix(value[whole]), text[whole]
-        ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(texts)))])
+        count, k = np.array([len(t) for t in texts], "int64"), self.words
+        total = int(count.sum())
+        word = np.fromiter((h for t in texts for h in map(self.hashes.__getitem__, t)), "uint64", total)
+        text = np.repeat(np.arange(len(texts)), count)
+        first = np.cumsum(count) - count
+        # Where a shingle begins, and how many words it has: all of them in a shorter text.
+        length = np.where(np.arange(total) + k <= (first + count)[text], k, 0)
+        length[first[(count > 0) & (count < k)]] = count[(count > 0) & (count < k)]
+        at = np.flatnonzero(length)
+        length, value = length[at], mix(length[at].astype("uint64"))
+        for j in range(min(k, int(length.max(initial=0)))):
+            if (length > j).all():
+                value = mix(value * np.uint64(HASH_BASE) ^ word[at + j])
+            else:
+                own = length > j
+                value[own] = mix(value[own] * np.uint64(HASH_BASE) ^ word[at[own] + j])
+        h, text = value, text[at]
+        ends = np.searchsorted(text, np.arange(len(texts) + 1))
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             if b - a > 1:
                 h[a:b].sort()
@@ -110,27 +95,38 @@ class Shingler:
         return h[new], np.bincount(text[new], minlength=len(texts))
 
 
-def class_keys(hashes, sizes):
+@lru_cache(4)
+def shingler(words: int, seed: int = 0) -> Shingler:
+    return Shingler(words, seed)
+
+
+def class_keys(hashes, sizes, salt: int = HASH_BASE):
     """A 64-bit digest of each set, which must not be empty."""
     import numpy as np
 
     starts = np.cumsum(sizes) - sizes
-    return mix(np.add.reduceat(mix(hashes ^ np.uint64(HASH_BASE)), starts) + sizes.astype("uint64")) if len(sizes) else np.zeros(0, "uint64")
+    return mix(np.add.reduceat(mix(hashes ^ np.uint64(salt)), starts) + sizes.astype("uint64")) if len(sizes) else np.zeros(0, "uint64")
 
 
-def with_classes(df: DataFrame, text_col: str = "text", words: int = 5, size_col: str = "n_shingles", key_col: str = "class_key") -> DataFrame:
-    """``df`` with the size of each text's shingle set and the digest of the set (null for an empty set)."""
+def with_classes(df: DataFrame, text_col: str = "text", words: int = 5, size_col: str = "n_shingles", key_col: str = "class_key", check_col: str = "class_check", seed: int = 0) -> DataFrame:
+    """``df`` with the size of each text's shingle set and two independent digests of the set (null for an empty set)."""
 
     def make(batch):
         import numpy as np
         import pyarrow as pa
 
-        hashes, sizes = Shingler(words).sets(text_bytes(batch, text_col))
-        keys = np.zeros(len(sizes), "int64")
-        keys[sizes > 0] = class_keys(hashes, sizes[sizes > 0]).view("int64")
-        return [pa.array(sizes, pa.int64()), pa.array(keys, pa.int64(), mask=sizes == 0)]
+        hashes, sizes = shingler(words, seed).sets(text_bytes(batch, text_col))
+        out = [pa.array(sizes, pa.int64())]
+        for salt in (HASH_BASE, CHECK_SALT):
+            keys = np.zeros(len(sizes), "int64")
+            keys[sizes > 0] = class_keys(hashes, sizes[sizes > 0], salt).view("int64")
+            out.append(pa.array(keys, pa.int64(), mask=sizes == 0))
+        return out
+
+    return with_arrow(df, f"`{size_col}` long, `{key_col}` long, `{check_col}` long", make)
 
-    return with_arrow(df, f"`{size_col}` long, `{key_col}` long", make)
+
+CHECK_SALT = 0xD6E8FEB86659FD93
 
 
 def _shares(values, by, n_parts: int):
@@ -162,24 +158,53 @@ def _payload(*arrays) -> bytes:
     return np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays)
 
 
-#: Arrays of a bucket's payload: classes' keys, their set sizes and shingles here; the shingles' low words and high bytes.
-TO_BUCKET = ("<u8", "<u4", "<u4", "<u4", "u1")
-#: Arrays of an answer: classes' keys, set sizes, shared shingles and buckets; the shingles' low words and high bytes, and their counts.
-TO_CLASS = ("<u8", "<u4", "<u4", "<u4", "<u4", "u1", "u1")
-#: Counts are told apart up to this; more frequent shingles are ordered by hash alone.
-MOST = 255
+#: Arrays of a bucket's payload: classes' keys, their set sizes and shingles here; the shingles' low words and next bits; and the marks of hot shingles likewise.
+TO_BUCKET = ("<u8", "<u4", "<u4", "<u4", "<u2", "<u4", "<u2")
+#: Arrays of an answer: classes' keys, set sizes, shared shingles and buckets; the shingles' low words and next bits, and their counts.
+TO_CLASS = ("<u8", "<u4", "<u4", "<u4", "<u4", "<u2", "u1")
+#: Bits of a shingle's identity besides its bucket.
+TOKEN_BITS = 48
+#: Classes of one task that make a shingle hot. Counts are told apart below MOST, which hot shingles have; equal counts are ordered by hash.
+HOT, MOST = 64, 255
+#: Longs of the suffix filter's parities.
+MARKS = 8
 #: Pairs that a task verifies on average.
 PAIRS = 3000
 #: Pivots of a list in a pass; most passes with pivots; pairs to compare, for each prefix row, that pivots are no longer needed for; and the share of the last pass's pairs above which they no longer help.
 PIVOTS, PASSES, FEW, SLOW = 4, 6, 4, 0.7
 
 
-def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets: int) -> DataFrame:
-    """(class_key, n, own, rare, tokens, bins) of every class whose prefix holds a shared shingle.
+def _split(tokens):
+    """Low words and next 16 bits of shingles."""
+    import numpy as np
+
+    return tokens.astype("<u4"), (tokens >> np.uint64(32)).astype("<u2")
+
+
+def _join(low, high):
+    import numpy as np
+
+    return high.astype("uint64") << np.uint64(32) | low
+
+
+def _owners(owner, keys, sizes, place=None):
+    """Keys and set sizes of the runs of one owner (and place) in ``owner``, and how long the runs are."""
+    import numpy as np
+
+    new = np.r_[True, owner[1:] != owner[:-1]][: len(owner)]
+    if place is not None:
+        new |= np.r_[True, place[1:] != place[:-1]][: len(owner)]
+    first = np.flatnonzero(new)
+    at = owner[first]
+    return keys[at], sizes[at].astype("<u4"), np.diff(np.r_[first, len(owner)]).astype("<u4")
+
+
+def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets: int, seed: int = 0) -> DataFrame:
+    """(class_key, n, own, rare, tokens, marks) of every class whose prefix holds a shared shingle.
 
     ``own`` is the number of shingles that no other class has; ``rare`` holds the rest of the prefix
-    (unsigned 64-bit, rare first), ``tokens`` all shared shingles (40-bit hashes: low words, then high
-    bytes), and ``bins`` counts them by hash.
+    (unsigned 64-bit, rare first), ``tokens`` all shared shingles, and ``marks`` the parities of their
+    number by hash, 64 * MARKS bits.
     """
     shift = 64 - TOKEN_BITS - (buckets.bit_length() - 1)
 
@@ -187,7 +212,7 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
         import numpy as np
         import pyarrow as pa
 
-        shingler = Shingler(words)
+        own_hashes = shingler(words, seed)
         held: list[tuple] = []
 
         def flush():
@@ -201,15 +226,35 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
             hashes = hashes[np.repeat(keep, sizes)] >> np.uint64(shift)
             keys, sizes = keys[keep], sizes[keep]
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            bucket = (hashes % np.uint64(buckets)).astype("int64")
-            order, parts = _shares(hashes, bucket, buckets)
-            rest, owner = (hashes // np.uint64(buckets))[order], owner[order]
-            for p, a, b in parts:
-                own = owner[a:b]
-                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-                at = own[first]
-                r = rest[a:b]
-                yield p, _payload(keys[at], sizes[at].astype("<u4"), np.diff(np.r_[first, b - a]).astype("<u4"), r.astype("<u4"), (r >> np.uint64(32)).astype("u1"))
+            names, count = np.unique(hashes, return_counts=True)
+            marks = names[count >= HOT]
+            hot = np.zeros(len(hashes), bool)
+            if len(marks):
+                at = np.searchsorted(marks, hashes)
+                at[at == len(marks)] = 0
+                hot = marks[at] == hashes
+            deal = lambda h: (h % np.uint64(buckets)).astype("int64")
+            order, shares = _shares(hashes[~hot], deal(hashes[~hot]), buckets)
+            rest, owned = (hashes[~hot] // np.uint64(buckets))[order], owner[~hot][order]
+            mark_order, mark_shares = _shares(marks, deal(marks), buckets)
+            mark_rest = (marks // np.uint64(buckets))[mark_order]
+            mark_shares = {p: (a, b) for p, a, b in mark_shares}
+            shares = {p: (a, b) for p, a, b in shares}
+            for p in sorted({*shares, *mark_shares}):
+                a, b = shares.get(p, (0, 0))
+                x, y = mark_shares.get(p, (0, 0))
+                yield p, _payload(*_owners(owned[a:b], keys, sizes), *_split(rest[a:b]), *_split(mark_rest[x:y]))
+            # Hot shingles' classes need no answer: it goes past the buckets to the part that gathers the class.
+            at = np.flatnonzero(hot)
+            order, shares = _shares(at, (keys[owner[at]] % np.uint64(buckets)).astype("int64"), buckets)
+            at = at[order]
+            for p, a, b in shares:
+                own = at[a:b]
+                own = own[np.lexsort((deal(hashes[own]), owner[own]))]
+                place = deal(hashes[own])
+                group, n, counts = _owners(owner[own], keys, sizes, place)
+                here = place[np.cumsum(counts) - counts].astype("<u4")
+                yield buckets + p, _payload(group, n, counts, here, *_split(hashes[own] // np.uint64(buckets)), np.full(b - a, MOST, "u1"))
 
         def rows(made):
             made = list(made)
@@ -219,7 +264,7 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
         for batch in batches:
             texts = text_bytes(batch, text_col)
             for a in range(0, len(texts), 500):
-                held.append(shingler.sets(texts[a : a + 500]))
+                held.append(own_hashes.sets(texts[a : a + 500]))
                 size += len(held[-1][0])
                 if size > FLUSH:
                     yield rows(flush())
@@ -231,12 +276,17 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
         import numpy as np
         import pyarrow as pa
 
-        keys, n, counts, low, high = _runs([x.as_buffer() for x in table.column("payload")], TO_BUCKET)
+        bucket = key[0].as_py()
+        if bucket >= buckets:  # answers that tasks have given themselves
+            payload = table.column("payload").combine_chunks()
+            return pa.table([pa.array(np.full(len(payload), bucket - buckets, "int32")), payload], names=["part", "payload"])
+        keys, n, counts, low, high, mark_low, mark_high = _runs([x.as_buffer() for x in table.column("payload")], TO_BUCKET)
+        marks = np.unique(_join(mark_low, mark_high))
         _, firsts = np.unique(keys, return_index=True)
         keep = np.zeros(len(keys), bool)
-        keep[firsts] = True  # copies of other tasks
+        keep[firsts] = True  # copies of other tasks; what was hot in a copy's task has gone past here
         each = np.repeat(keep, counts)
-        tokens = high[each].astype("uint64") << np.uint64(32) | low[each]
+        tokens = _join(low[each], high[each])
         keys, n, counts = keys[keep], n[keep], counts[keep]
         owner = np.repeat(np.arange(len(keys), dtype="int32"), counts)
         del low, high, each
@@ -247,22 +297,22 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
             t = tokens[own]
             first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, "int64")
             size = np.diff(np.r_[first, len(t)])
-            size = np.repeat(size, size)
+            size = np.minimum(np.repeat(size, size), MOST - 1)
+            if len(marks) and len(t):
+                at = np.searchsorted(marks, t)
+                at[at == len(marks)] = 0
+                size[marks[at] == t] = MOST
             shared = size > 1
-            found.append((own[shared], np.minimum(size[shared], MOST).astype("u1")))
+            found.append((own[shared], size[shared].astype("u1")))
         at, much = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
         order = np.argsort(at)
         tokens, owner, much = tokens[at[order]], owner[at[order]], much[order]
-        order, parts = _shares(tokens, (keys[owner] % np.uint64(buckets)).astype("int64"), buckets)
+        order, shares = _shares(tokens, (keys[owner] % np.uint64(buckets)).astype("int64"), buckets)
         tokens, owner, much = tokens[order], owner[order], much[order]
         out = []
-        for p, a, b in parts:
-            own = owner[a:b]
-            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            at = own[first]
-            t = tokens[a:b]
-            here = np.full(len(at), key[0].as_py(), "<u4")
-            out.append((p, _payload(keys[at], n[at], np.diff(np.r_[first, b - a]).astype("<u4"), here, t.astype("<u4"), (t >> np.uint64(32)).astype("u1"), much[a:b])))
+        for p, a, b in shares:
+            group, size, counts = _owners(owner[a:b], keys, n)
+            out.append((p, _payload(group, size, counts, np.full(len(group), bucket, "<u4"), *_split(tokens[a:b]), much[a:b])))
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["part", "payload"])
 
     def gather(table):
@@ -270,10 +320,14 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
         import pyarrow as pa
 
         keys, n, counts, bucket, low, high, much = _runs([x.as_buffer() for x in table.column("payload")], TO_CLASS)
-        tokens = (high.astype("uint64") << np.uint64(32) | low) * np.uint64(buckets) + np.repeat(bucket, counts)
+        tokens = _join(low, high) * np.uint64(buckets) + np.repeat(bucket, counts)
         owner = np.repeat(keys, counts)
         order = np.lexsort((tokens, much, owner))
         tokens, owner = tokens[order], owner[order]
+        if len(tokens):  # copies of several tasks may bring a hot shingle twice
+            new = np.ones(len(tokens), bool)
+            new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+            tokens, owner = tokens[new], owner[new]
         names, at = np.unique(keys, return_index=True)
         n = n[at].astype("int64")
         starts = np.searchsorted(owner, names)
@@ -281,25 +335,23 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
         own = n - (ends - starts)
         reach = prefix(n, percent) - own
         rows = np.flatnonzero(reach > 0)
-        short = mix(tokens)
-        bins = (short >> np.uint64(64 - BINS.bit_length() + 1)).astype("int64")
-        # 40 bits of a hash tell the shingles of two sets apart.
-        halves = (short & np.uint64(0xFFFFFFFF)).astype("<u4"), (short >> np.uint64(32) & np.uint64(0xFF)).astype("u1")
+        place = (mix(tokens) & np.uint64(64 * MARKS - 1)).astype("int64")
+        parity = lambda i: np.packbits(np.bincount(place[starts[i] : ends[i]], minlength=64 * MARKS).astype("u1") & 1).view("<i8")
         return pa.table(
             [
                 pa.array(names[rows].view("int64")),
                 pa.array(n[rows].astype("int32")),
                 pa.array(own[rows].astype("int32")),
-                pa.array([tokens[starts[i] : min(ends[i], starts[i] + reach[i])].tobytes() for i in rows], pa.binary()),
-                pa.array([halves[0][starts[i] : ends[i]].tobytes() + halves[1][starts[i] : ends[i]].tobytes() for i in rows], pa.binary()),
-                pa.array([np.bincount(bins[starts[i] : ends[i]], minlength=BINS).astype("int32") for i in rows], pa.list_(pa.int32())),
+                pa.array([tokens[starts[i] : min(ends[i], starts[i] + reach[i])].astype("<u8").tobytes() for i in rows], pa.binary()),
+                pa.array([tokens[starts[i] : ends[i]].astype("<u8").tobytes() for i in rows], pa.binary()),
+                pa.array([parity(i) for i in rows], pa.list_(pa.int64())),
             ],
-            names=["class_key", "n", "own", "rare", "tokens", "bins"],
+            names=["class_key", "n", "own", "rare", "tokens", "marks"],
         )
 
     sent = df.select(text_col).mapInArrow(send, "bucket int, payload binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "part int, payload binary")
-    return answers.groupBy("part").applyInArrow(gather, "class_key long, n int, own int, rare binary, tokens binary, bins array<int>")
+    return answers.groupBy("part").applyInArrow(gather, "class_key long, n int, own int, rare binary, tokens binary, marks array<long>")
 
 
 def prefix(n, percent: int):
@@ -312,48 +364,50 @@ def _overlap(n1, n2, percent: int):
     return F.ceil((n1 + n2) * percent / (100.0 + percent) - 1e-9)
 
 
-def _possible(a: str, b: str, percent: int):
-    """Length and positional filters for prefix rows a and b that hold one shingle."""
-    n1, n2, p1, p2 = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
-    length = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
-    return length & (F.least(n1 - p1, n2 - p2) >= _overlap(n1, n2, percent))
+#: Columns of the suffix filter.
+MARK_NAMES = [f"m{i}" for i in range(MARKS)]
 
 
-def unpacked(data):
-    """The 40-bit hashes of a set."""
-    import numpy as np
+def _possible(a: str, b: str, percent: int):
+    """Length, positional and suffix filters for prefix rows a and b that hold one shingle.
 
-    n = len(data) // 5
-    return np.frombuffer(data, "u1", n, 4 * n).astype("uint64") << np.uint64(32) | np.frombuffer(data, "<u4", n)
+    The suffix filter: shingles that only one of the sets has are at least its own ones and as many shared
+    ones as parities differ, and the least intersection bounds them from above.
+    """
+    n1, n2, p1, p2 = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
+    length = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+    least = _overlap(n1, n2, percent)
+    apart = F.col(f"{a}.own") + F.col(f"{b}.own")
+    for m in MARK_NAMES:
+        apart = apart + F.bit_count(F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}")))
+    return length & (F.least(n1 - p1, n2 - p2) >= least) & (apart <= n1 + n2 - 2 * least)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class keys whose whole sets are similar enough; a suffix filter on bins goes before the sets are fetched."""
-    small = sets.select("class_key", "n", "bins")
-    left = small.select(F.col("class_key").alias("a"), F.col("n").alias("n1"), F.col("bins").alias("b1"))
-    right = small.select(F.col("class_key").alias("b"), F.col("n").alias("n2"), F.col("bins").alias("b2"))
-    bound = F.aggregate(F.zip_with("b1", "b2", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.join(left, "a").join(right, "b").where(bound >= _overlap(F.col("n1"), F.col("n2"), percent)).select("a", "b", "n1", "n2")
+    """The pairs (a, b) of class keys, with set sizes n1 and n2, whose whole sets are similar enough."""
     tokens = sets.select("class_key", "tokens")
     pairs = pairs.join(tokens.withColumnsRenamed({"class_key": "a", "tokens": "t1"}), "a").join(tokens.withColumnsRenamed({"class_key": "b", "tokens": "t2"}), "b")
 
     def check(batches):
         import numpy as np
+        import pyarrow as pa
 
         for batch in batches:
             n1, n2 = batch.column("n1").to_pylist(), batch.column("n2").to_pylist()
             t1, t2 = batch.column("t1"), batch.column("t2")
             keep = np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                both = len(np.intersect1d(unpacked(t1[i].as_buffer()), unpacked(t2[i].as_buffer())))
+                both = len(np.intersect1d(np.frombuffer(t1[i].as_buffer(), "<u8"), np.frombuffer(t2[i].as_buffer(), "<u8"), assume_unique=True))
                 keep[i] = 100 * both >= percent * (n1[i] + n2[i] - both)
-            import pyarrow as pa
-
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "n1", "n2", "t1", "t2").mapInArrow(check, "a long, b long")
 
 
+#: Columns of a prefix row besides its shingle.
+ROW = ["key", "n", "own", "at", *MARK_NAMES]
+
+
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between classes that connect each component of the similarity graph."""
 
@@ -367,18 +421,23 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
             size = np.array([len(t) for t in tokens], "int64")
             rows = np.repeat(np.arange(len(own)), size)
             at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + own[rows]
-            columns = [pa.array(np.concatenate(tokens)) if tokens else pa.array([], pa.int64()), batch.column("class_key").take(pa.array(rows)), batch.column("n").take(pa.array(rows)), pa.array(at.astype("int32"))]
-            yield pa.RecordBatch.from_arrays(columns, names=["token", "key", "n", "at"])
+            each = pa.array(rows)
+            marks = batch.column("marks").flatten().to_numpy().reshape(-1, MARKS)[rows]
+            columns = [pa.array(np.concatenate(tokens)) if tokens else pa.array([], pa.int64()), *(batch.column(c).take(each) for c in ("class_key", "n", "own")), pa.array(at.astype("int32")), *(pa.array(m) for m in marks.T)]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", *ROW])
 
-    postings = stage(sets.select("class_key", "n", "own", "rare").mapInArrow(prefixes, "token long, key long, n int, at int"), "prefixes")
+    fields = ", ".join(f"{m} long" for m in MARK_NAMES)
+    postings = stage(sets.select("class_key", "n", "own", "rare", "marks").mapInArrow(prefixes, f"token long, key long, n int, own int, at int, {fields}"), "prefixes")
     total = postings.count()
     near = lambda x, y: (F.col(f"{x}.key") != F.col(f"{y}.key")) & _possible(x, y, percent)
-    ends = (F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b"))
+    swap = F.col("x.key") > F.col("y.key")
+    ends = [F.when(swap, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(n) for c, n in (("key", "a"), ("n", "n1"))]
+    ends += [F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(n) for c, n in (("key", "b"), ("n", "n2"))]
 
     def pivots(rows, turn: int):
         """PIVOTS rows of each list at most; lists of one group of copies mostly name the same ones."""
         mixed = F.xxhash64("key", F.lit(turn))
-        return rows.groupBy("token", F.pmod(mixed, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(mixed.alias("h"), "key", "n", "at")).alias("p")).select("token", "p.key", "p.n", "p.at")
+        return rows.groupBy("token", F.pmod(mixed, F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct(mixed.alias("h"), *ROW)).alias("p")).select("token", *(f"p.{c}" for c in ROW))
 
     # The first pass: every row with its list's pivots.
     tried = postings.alias("x").join(pivots(postings, 0).alias("y"), "token").where(near("x", "y"))
@@ -409,17 +468,29 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n_shingles, class_key) of every row; and (class_key, component_id, winner): the least id of the class's component and the class that has it."""
-    info = stage(with_classes(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", words).select("id", "n_shingles", "class_key"), "classes")
+def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """(id, n_shingles, class_key) of every row; (class_key, component_id, winner): the least id of the class's component and the class that has it; and the seed of the keys."""
+    for seed in range(SEEDS):
+        info = stage(with_classes(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")), "body", words, seed=seed).select("id", "n_shingles", "class_key", "class_check"), "classes")
+        # Two sets with one key have two checks; then other hashes are taken.
+        keys = info.where("class_key is not null").groupBy("class_key").agg(F.min("id").alias("id"), F.min("class_check").alias("x"), F.max("class_check").alias("y"))
+        keys = stage(keys, "keys")
+        if keys.where("x <> y").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"sets with equal 64-bit keys under {SEEDS} seeds")
     total = info.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
     buckets = max(BUCKETS, -(-total // BUCKET))
-    sets = stage(shared_sets(df, text_col, words, percent, buckets), "sets")
+    sets = stage(shared_sets(df, text_col, words, percent, buckets, seed), "sets")
     roots = components(class_links(sets, percent))
-    classes = info.where("class_key is not null").groupBy("class_key").agg(F.min("id").alias("id")).join(roots.withColumnRenamed("node", "class_key"), "class_key", "left")
+    classes = keys.select("class_key", "id").join(roots.withColumnRenamed("node", "class_key"), "class_key", "left")
     classes = stage(classes.withColumn("root", F.coalesce("root", "class_key")), "classes")
     least = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "class_key")).alias("w"))
-    return info, classes.join(least, "root").select("class_key", F.col("w.id").alias("component_id"), F.col("w.class_key").alias("winner"))
+    return info, classes.join(least, "root").select("class_key", F.col("w.id").alias("component_id"), F.col("w.class_key").alias("winner")), seed
+
+
+#: Seeds of the word hashes that are tried until no two sets have one key.
+SEEDS = 4
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
@@ -431,8 +502,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts and those without words have the size 0, a null class and their own id. Rows with
     a null id take part and never give the id, so it is null where no document of the component has one.
     Repeated rows are linked; an empty table gives an empty one; other columns of ``df`` are ignored.
+    Sets are told apart by 128 bits of hashes, shingles in a pair of sets by at least 54 bits.
     """
-    info, named = _classes(df, id_col, text_col, words, percent)
+    info, named, _ = _classes(df, id_col, text_col, words, percent)
     out = info.join(named, "class_key", "left").withColumn("component_id", F.when(F.col("class_key").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "class_key", "component_id")
 
@@ -443,11 +515,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     Rows without words are in no group and stay. Of repeated rows with the least id one stays; in a group
     without ids, any one. All columns stay as they are.
     """
-    size, key, rank, component, winner = unused(df, "set_size", "set_key", "set_rank", "component_id", "winner")
-    _, named = _classes(df, id_col, text_col, words, percent)
-    first = named.where(F.col("class_key") == F.col("winner")).select(F.col("class_key").alias(key), F.col("component_id").alias(component), F.col("winner").alias(winner))
-    rows = with_classes(df, text_col, words, size, key).join(first, key, "left")
-    rows = rows.where(F.col(key).isNull() | (F.col(winner).isNotNull() & F.col(id_col).eqNullSafe(F.col(component))))
-    grouped, loose = rows.where(F.col(key).isNotNull()), rows.where(F.col(key).isNull())
-    grouped = grouped.withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0)))).where(F.col(rank) == 1)
-    return grouped.select(df.columns).union(loose.select(df.columns))
+    size, key, check, own_id, own_key = unused(df, "set_size", "set_key", "set_check", "least_id", "winner_key")
+    _, named, seed = _classes(df, id_col, text_col, words, percent)
+    # Rows meet the winners on id and class at once, so that a text with many copies is no hot key.
+    winners = named.where("class_key = winner").select(F.col("component_id").alias(own_id), F.col("winner").alias(own_key))
+    rows = with_classes(df, text_col, words, size, key, check, seed).drop(size, check)
+    kept = rows.where(F.col(key).isNotNull()).join(winners, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key)), "left_semi")
+    kept = kept.dropDuplicates([id_col, key])
+    return kept.select(df.columns).union(rows.where(F.col(key).isNull()).select(df.columns))
