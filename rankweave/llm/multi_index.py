@@ -1,15 +1,16 @@
 """Near-duplicate vectors by an inverted multi-index.
 
 Unit vectors are cut in halves with a codebook each; pairs of codewords are the cells of a product grid. A
-vector lives in one cell and visits cells in order of how far they are at least, the sum over both halves of
-the squared distances to the codewords' regions, until the bound that a fitted sample needs for the target
-recall. In a cell, visitors and residents meet in blocks of bounded size and are compared exactly.
+vector lives in one cell and traverses the grid from both halves' sorted sequences at once: the next cell is
+the least sum of two squared distances to codewords' regions, until that sum passes what a fitted sample needs
+for the target recall. In a cell, visitors and residents meet in blocks of bounded size and are compared exactly.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +20,25 @@ from .components import components
 from .vectors import matrix, usable
 
 #: Numbers in the sample that codebooks are fitted on, and its most rows; vectors of a cell on average; most codewords of a half.
-SAMPLE_NUMBERS, SAMPLE_ROWS, PER_CELL, CODEWORDS = 4_000_000, 16_384, 256, 512
-#: Share of pairs at the least linked cosine that either end's visits must meet; rows of a block.
-RECALL, BLOCK = 0.995, 1024
+SAMPLE_NUMBERS, SAMPLE_ROWS, PER_CELL, CODEWORDS = 4_000_000, 16_384, 256, 1024
+#: Share of vectors whose visits meet a vector at the least linked cosine: a pair is lost only if both ends' visits miss, about (1 - RECALL) ** 2 of them; rows of a block.
+RECALL, BLOCK = 0.985, 1024
+#: Seeds of the keys of vectors that are tried until no two vectors have one key.
+SEEDS = 4
+
+
+def traverse(left, right, bound: float):
+    """Places (i, j) of a grid of sums of two ascending sequences, in ascending order of ``left[i] + right[j]``, up to ``bound``."""
+    ahead = [(left[0] + right[0], 0, 0)] if len(left) and len(right) else []
+    out = []
+    while ahead and ahead[0][0] <= bound:
+        _, i, j = heappop(ahead)
+        out.append((i, j))
+        if j + 1 < len(right):
+            heappush(ahead, (left[i] + right[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(left):
+            heappush(ahead, (left[i + 1] + right[0], i + 1, 0))
+    return out
 
 
 @dataclass
@@ -59,17 +76,15 @@ class Codebooks:
         import numpy as np
 
         (a, la), (b, lb) = self.nearness(x)
-        order_a, order_b = la.argsort(1, kind="stable"), lb.argsort(1, kind="stable")
         out = []
         for i in range(len(x)):
-            sa, sb = la[i, order_a[i]], lb[i, order_b[i]]
-            # Both sequences ascend, so the cells within the bound are a staircase of the grid of sums.
-            sa = sa[: np.searchsorted(sa, self.bound, "right")]
-            steps = np.searchsorted(sb, self.bound - sa, "right")
-            row = np.repeat(np.arange(len(sa)), steps)
-            col = np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)
-            found = order_a[i, row] * self.width + order_b[i, col]
-            out.append(found[np.argsort(sa[row] + sb[col], kind="stable")].astype("int32"))
+            near = []
+            for least in (la[i], lb[i]):
+                order = np.flatnonzero(least <= self.bound)
+                order = order[np.argsort(least[order], kind="stable")]
+                near.append((order.tolist(), least[order].tolist()))
+            (wa, sa), (wb, sb) = near
+            out.append(np.array([wa[j] * self.width + wb[k] for j, k in traverse(sa, sb, self.bound)], "int32"))
         return (a * self.width + b).astype("int32"), out
 
 
@@ -117,7 +132,16 @@ def fit(sample, count: int, cosine: float, recall: float = RECALL) -> Codebooks:
     return made
 
 
-def _links(units: DataFrame, width: int, cosine: float, recall: float) -> DataFrame:
+def normal(x):
+    """Rows scaled to length 1, in doubles; scaling by the largest component first keeps squares from running over or under."""
+    import numpy as np
+
+    x = x.astype("float64")
+    x /= np.abs(x).max(1, initial=0)[:, None]
+    return x / np.sqrt((x**2).sum(1))[:, None]
+
+
+def _links(units: DataFrame, width: int, kind: str, cosine: float, recall: float) -> DataFrame:
     """(key, links, label) from every meeting: how many vectors a class was newly linked to there, and the least key it was connected to."""
     import numpy as np
 
@@ -127,7 +151,7 @@ def _links(units: DataFrame, width: int, cosine: float, recall: float) -> DataFr
     drawn = units.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < min(1.0, rows / max(1, count)) * (1 << 20)).select("unit").toPandas().unit
     if len(drawn) < 2:
         drawn = units.select("unit").limit(64).toPandas().unit
-    sample = np.frombuffer(b"".join(drawn), "<f8").reshape(-1, width)
+    sample = normal(np.frombuffer(b"".join(drawn), kind).reshape(-1, width))
     model = spark.sparkContext.broadcast(fit(sample, count, cosine, recall))
 
     def assign(batches):
@@ -136,12 +160,12 @@ def _links(units: DataFrame, width: int, cosine: float, recall: float) -> DataFr
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(start, ROWS)
-                cells, visits = model.value.visits(matrix(batch.column("unit"), width, "<f8"))
+                cells, visits = model.value.visits(normal(matrix(batch.column("unit"), width, kind)))
                 ends = np.cumsum([0, *map(len, visits)]).astype("int32")
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "n", "unit")), pa.array(cells), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(visits)))], names=["key", "n", "unit", "cell", "visits"])
 
     placed = stage(units.select("key", "n", "unit").mapInArrow(assign, "key long, n long, unit binary, cell int, visits array<int>"), "cells")
-    # Blocks of a cell: at most as many rows as the grid has cells, which CODEWORDS bounds.
+    # Blocks of a cell: at most as many rows as the grid has cells, CODEWORDS ** 2 of 12 bytes (12 MB).
     homes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("o"))
     guests = placed.select(F.explode("visits").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
     blocks = F.broadcast(homes.join(guests, "cell").select(F.col("cell").alias("at"), "o", "g"))
@@ -161,21 +185,21 @@ def _links(units: DataFrame, width: int, cosine: float, recall: float) -> DataFr
 
         guest = table.column("guest").to_numpy(zero_copy_only=False).astype(bool)
         key, n, cell = (np.asarray(table.column(c).to_numpy()) for c in ("key", "n", "cell"))
-        x = matrix(table.column("unit"), width, "<f8")
+        x = normal(matrix(table.column("unit"), width, kind))
         xi, yi = np.flatnonzero(guest), np.flatnonzero(~guest)
         linked = (x[xi] @ x[yi].T >= cosine) & (key[xi][:, None] != key[yi][None])
         if not linked.any():
             return pa.table({"key": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "label": pa.array([], pa.int64())})
         # A pair that meets the other way round too is counted by each visitor; else here for both.
-        kinds, kind = np.unique(cell[xi], return_inverse=True)
-        back = np.zeros((len(yi), len(kinds)), bool)
+        homes_here, home = np.unique(cell[xi], return_inverse=True)
+        back = np.zeros((len(yi), len(homes_here)), bool)
         visits = table.column("visits").combine_chunks()
         for j, i in enumerate(yi.tolist()):
             seen = visits[i].values.to_numpy()
-            at = np.searchsorted(kinds, seen)
-            at[at == len(kinds)] = 0
-            back[j, at[kinds[at] == seen]] = True
-        alone = linked & ~back[:, kind].T
+            at = np.searchsorted(homes_here, seen)
+            at[at == len(homes_here)] = 0
+            back[j, at[homes_here[at] == seen]] = True
+        alone = linked & ~back[:, home].T
         links = np.zeros(len(key), "int64")
         links[xi] = linked @ n[yi]
         links[yi] = n[xi] @ alone
@@ -203,26 +227,31 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     without any id has a null one. Repeated rows count as rows. An empty table gives an empty one; other
     columns of ``df`` are ignored.
     """
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = rows.withColumn("v", F.when(usable(F.col("v")), F.col("v")))
-    # Scaling by the largest component first keeps squares from running over or under.
-    rows = rows.withColumn("big", F.array_max(F.transform("v", F.abs))).withColumn("v", F.when(F.col("big") > 0, F.transform("v", lambda x: x / F.col("big"))))
-    rows = rows.select("id", "v", F.xxhash64("v").alias("key"))
-    info = stage(rows.select("id", F.when(F.col("v").isNotNull(), F.col("key")).alias("key")), "ids")
-    unit = rows.where("v is not null").groupBy("v").agg(F.first("key").alias("key"), F.count("*").alias("n")).select("key", "n", F.transform("v", lambda x: x / norm).alias("unit"))
+    # Vectors travel as they are, in four bytes a component if that is their type, and are scaled where they are compared.
+    single = df.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+    rows = rows.withColumn("v", F.when(usable(F.col("v")) & F.exists("v", lambda x: x != 0), F.transform("v", lambda x: x + F.lit(0).cast("float" if single else "double"))))
 
     def pack(batches):
         import pyarrow as pa
 
         for batch in batches:
-            columns = batch.column("unit")
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array([len(u) for u in columns], pa.int32()), pa.array([u.values.to_numpy().astype("<f8").tobytes() for u in columns], pa.binary())], names=["key", "n", "width", "unit"])
-
-    units = stage(unit.mapInArrow(pack, "key long, n long, width int, unit binary"), "units")
+            columns = batch.column("v")
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.array([len(u) for u in columns], pa.int32()), pa.array([u.values.to_numpy().astype(kind).tobytes() for u in columns], pa.binary())], names=["key", "n", "width", "unit"])
+
+    for seed in range(SEEDS):
+        keyed = rows.select("id", "v", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), "v")).alias("key"))
+        info = stage(keyed.select("id", "key"), "ids")
+        unit = keyed.where("v is not null").groupBy("v").agg(F.first("key").alias("key"), F.count("*").alias("n"))
+        units = stage(unit.select("key", "n", "v").mapInArrow(pack, "key long, n long, width int, unit binary"), "units")
+        if units.groupBy("key").count().where("count > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"vectors with equal 64-bit keys under {SEEDS} seeds")
     widths = [r["width"] for r in units.select("width").distinct().collect()]
     spark = df.sparkSession
-    met = [_links(units.where(F.col("width") == w), w, cosine, recall) for w in widths]
+    met = [_links(units.where(F.col("width") == w), w, kind, cosine, recall) for w in widths]
     met = reduce(DataFrame.union, met) if met else spark.createDataFrame([], "key long, links long, label long")
     roots = components(met.select(F.col("key").alias("a"), F.col("label").alias("b")))
     links = met.groupBy("key").agg(F.sum("links").alias("links"))
