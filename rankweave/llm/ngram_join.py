@@ -10,13 +10,14 @@
    each list's classes with a few pivots of the list; then, while lists that the links found so far leave in
    several components hold many pairs, the classes outside a list's main component with a few of its
    classes; at last those with all classes of other components. No pair that could link is left out.
-5. The length and positional filters and a suffix filter, the bits in which two sets' parities by hash
-   differ, go into the join itself. Pairs that pass are verified once, on whole sets.
+5. The length and positional filters go into the joins; in the last one so does a suffix filter, the bits
+   in which two sets' parities by hash differ. Pairs that pass are verified once, on whole sets.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,7 +72,7 @@ class Shingler:
 
         count, k = np.array([len(t) for t in texts], "int64"), self.words
         total = int(count.sum())
-        word = np.fromiter((h for t in texts for h in map(self.hashes.__getitem__, t)), "uint64", total)
+        word = np.fromiter(map(self.hashes.__getitem__, chain.from_iterable(texts)), "uint64", total)
         text = np.repeat(np.arange(len(texts)), count)
         first = np.cumsum(count) - count
         # Where a shingle begins, and how many words it has: all of them in a shorter text.
@@ -368,8 +369,8 @@ def _overlap(n1, n2, percent: int):
 MARK_NAMES = [f"m{i}" for i in range(MARKS)]
 
 
-def _possible(a: str, b: str, percent: int):
-    """Length, positional and suffix filters for prefix rows a and b that hold one shingle.
+def _possible(a: str, b: str, percent: int, suffix: bool):
+    """Length and positional filters, and with ``suffix`` the suffix filter, for prefix rows a and b that hold one shingle.
 
     The suffix filter: shingles that only one of the sets has are at least its own ones and as many shared
     ones as parities differ, and the least intersection bounds them from above.
@@ -377,10 +378,13 @@ def _possible(a: str, b: str, percent: int):
     n1, n2, p1, p2 = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.at"), F.col(f"{b}.at")
     length = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
     least = _overlap(n1, n2, percent)
+    fits = length & (F.least(n1 - p1, n2 - p2) >= least)
+    if not suffix:
+        return fits
     apart = F.col(f"{a}.own") + F.col(f"{b}.own")
     for m in MARK_NAMES:
         apart = apart + F.bit_count(F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}")))
-    return length & (F.least(n1 - p1, n2 - p2) >= least) & (apart <= n1 + n2 - 2 * least)
+    return fits & (apart <= n1 + n2 - 2 * least)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -405,7 +409,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 #: Columns of a prefix row besides its shingle.
-ROW = ["key", "n", "own", "at", *MARK_NAMES]
+ROW = ["key", "n", "at"]
 
 
 def class_links(sets: DataFrame, percent: int) -> DataFrame:
@@ -422,14 +426,14 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
             rows = np.repeat(np.arange(len(own)), size)
             at = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size) + own[rows]
             each = pa.array(rows)
-            marks = batch.column("marks").flatten().to_numpy().reshape(-1, MARKS)[rows]
-            columns = [pa.array(np.concatenate(tokens)) if tokens else pa.array([], pa.int64()), *(batch.column(c).take(each) for c in ("class_key", "n", "own")), pa.array(at.astype("int32")), *(pa.array(m) for m in marks.T)]
+            columns = [pa.array(np.concatenate(tokens)) if tokens else pa.array([], pa.int64()), *(batch.column(c).take(each) for c in ("class_key", "n")), pa.array(at.astype("int32"))]
             yield pa.RecordBatch.from_arrays(columns, names=["token", *ROW])
 
-    fields = ", ".join(f"{m} long" for m in MARK_NAMES)
-    postings = stage(sets.select("class_key", "n", "own", "rare", "marks").mapInArrow(prefixes, f"token long, key long, n int, own int, at int, {fields}"), "prefixes")
+    postings = stage(sets.select("class_key", "n", "own", "rare").mapInArrow(prefixes, "token long, key long, n int, at int"), "prefixes")
+    # A row for each class, where prefix rows are many: the last pass alone needs these.
+    marks = sets.select(F.col("class_key").alias("key"), "own", *[F.get("marks", i).alias(m) for i, m in enumerate(MARK_NAMES)])
     total = postings.count()
-    near = lambda x, y: (F.col(f"{x}.key") != F.col(f"{y}.key")) & _possible(x, y, percent)
+    near = lambda x, y, suffix=False: (F.col(f"{x}.key") != F.col(f"{y}.key")) & _possible(x, y, percent, suffix)
     swap = F.col("x.key") > F.col("y.key")
     ends = [F.when(swap, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(n) for c, n in (("key", "a"), ("n", "n1"))]
     ends += [F.when(swap, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(n) for c, n in (("key", "b"), ("n", "n2"))]
@@ -457,7 +461,8 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
         last = left <= FEW * total or turn == PASSES or left > SLOW * before
         before = left
         if last:  # every row outside its list's main component with all of other components
-            meet = outside.alias("x").join(rest.alias("y"), "token").where((F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))) & near("x", "y"))
+            rest = rest.join(marks, "key")
+            meet = rest.where("root <> main").alias("x").join(rest.alias("y"), "token").where((F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.key") < F.col("y.key"))) & near("x", "y", suffix=True))
         else:  # with pivots of the main component
             meet = outside.alias("x").join(pivots(rest.where("root = main"), turn).alias("y"), "token").where(near("x", "y"))
         fresh = stage(meet.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "pairs", files)
