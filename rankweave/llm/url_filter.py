@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, unused
 
-#: Most rules that are broadcast; beyond it the join shuffles, with the urls' side salted.
-BROADCAST_RULES = 200_000
+#: Most bytes of rules that are broadcast, at RULE_BYTES a rule besides its text; beyond it the join shuffles, with the urls' side salted.
+BROADCAST_BYTES, RULE_BYTES = 32 << 20, 128
 SALTS = 32
 
 
@@ -46,7 +46,8 @@ def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default:
     than short ones, since only suffixes and prefixes as long as some rule's are made.
     """
     host, path = url_parts(F.col(url_col))
-    base = df.withColumns({"__host": host, "__path": path}).drop("host", "path", "rule", "verdict").withColumnsRenamed({"__host": "host", "__path": "path"})
+    own_host, own_path = unused(df, "own_host", "own_path")
+    base = df.withColumns({own_host: host, own_path: path}).drop("host", "path", "rule", "verdict").withColumnsRenamed({own_host: "host", own_path: "path"})
     rules = rules.where("host is not null and host <> '' and path is not null").select(ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
     # What lengths the rules have: at most as many pairs as rules, in practice a handful.
     shapes = rules.select(_labels(F.col("r_host")).alias("n"), F.length("r_path").alias("m")).distinct().orderBy("n", "m").collect()
@@ -68,7 +69,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default:
         .withColumn("digest", _digest(F.col("e")))
         .withColumn("prefix", F.substring("digest", 1, 8))
     )
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
+    if (rules.agg(F.sum(F.octet_length("r_rule") + RULE_BYTES).alias("n")).first()["n"] or 0) <= BROADCAST_BYTES:
         hits = expanded.join(F.broadcast(rules), F.col("prefix") == F.col("r_prefix"))
     else:
         salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
