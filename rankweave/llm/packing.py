@@ -21,8 +21,12 @@ CACHE, LONGEST = 600_000, 48
 OPEN_BINS, PACK_ROWS = 4096, 50_000
 
 
+#: Texts that a vocabulary must encode as the words one by one give them.
+PROBES = ("Ab cD  the\tTHE\n", "don't stop, (now)! x.y a-b 12,5 $3", "É é ß İ ΟΔΟΣ 東京 😀 naïve", "word \u00a0 next\x1cx")
+
+
 class WordCodec:
-    """Ids by a word-level BPE file whose normalizer lower-cases and whose pre-tokenizer drops white space, so words are encoded one by one."""
+    """Ids by a word-level BPE file whose normalizer lower-cases and whose pre-tokenizer drops white space, so words are encoded one by one; other files are refused."""
 
     def __init__(self, path: str):
         import re
@@ -51,6 +55,9 @@ class WordCodec:
                 return value
 
         self.words = Words()
+        for text in PROBES:
+            if np.frombuffer(self.encode(text.encode()), "<u4").tolist() != tokenizer.encode(text, add_special_tokens=False).ids:
+                raise ValueError(f"{path}: its normalizer or pre-tokenizer is of another kind; words of {text!r} cannot be encoded one by one")
 
     def encode(self, text: bytes) -> bytes:
         # Special tokens are matched before lower-casing, so texts that may hold one keep their case.
@@ -153,9 +160,10 @@ def pack_documents(df: DataFrame, path: str, size: int = 4096, end_id: int = 1,
 
     A document is its ids and ``end_id``; null and empty texts are ``end_id`` alone. Only documents longer
     than ``size`` are cut. Nulls in ``columns`` stay; repeated documents are packed each; an empty table
-    gives an empty one.
+    gives an empty one; of ``columns``, those with the names of new ones are replaced.
     """
-    chosen = [c for c in columns if c != text_col]
+    made = ("piece", "start", "length", "tokens", "ids_crc32", "sequence_id", "offset")
+    chosen = [c for c in columns if c != text_col and c.lower() not in made]
     pieces = tokenize_pieces(df.select(*chosen, text_col), path, size, end_id, text_col).withColumn("ids_crc32", F.crc32("tokens"))
     kept = ["tokens"] if tokens else []
     narrow = stage(pieces.select(*chosen, "piece", "start", "length", "ids_crc32", *kept), "pieces")
