@@ -15,6 +15,8 @@ from .common import chunked, code_points, letters, mix, text_bytes, with_arrow
 
 #: Buckets of n-grams; lengths of n-grams; expected most rows of a language that the model is fitted on.
 BUCKET_BITS, NGRAMS, PER_LANGUAGE, SMOOTHING = 17, (1, 2, 3, 4), 4000, 0.5
+#: Most languages, which bounds the matrix that is broadcast (at 256: 128 MB).
+MOST_LANGUAGES = 256
 UNKNOWN = "und"
 
 
@@ -76,12 +78,15 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_langu
 
     Of each language, rows are taken by a hash of their text and of the other columns, ``per_language`` of
     them as expected; a language with fewer gives all. Null and empty texts teach nothing; rows without a
-    language are left out; repeated rows count each; without any labelled row the model knows no language.
+    language are left out; repeated rows count each; without any labelled row the model knows no language. More than
+    MOST_LANGUAGES languages are an error.
     """
     import numpy as np
 
     rows = df.where(F.col(lang_col).isNotNull())
-    sizes = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().collect()}
+    sizes = {r[lang_col]: r["count"] for r in rows.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values in {lang_col}: the model would have no size bound")
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col(lang_col) == lang, min(1.0, per_language / n)).otherwise(share)
