@@ -18,6 +18,8 @@ from .common import HASH_BASE, chunked, code_points, letters, mix, stage, text_b
 PREFIXES, PER_LABEL, FEATURES, LEAST, ODDS = (0, 4, 5), 8000, 1024, 5, 30.0
 #: Documents that a feature's log odds are drawn to zero by.
 PSEUDO = 5.0
+#: Least hashes that near copies share all of.
+SIGNS = 3
 
 
 def word_features(texts: list[str]):
@@ -49,13 +51,18 @@ def word_features(texts: list[str]):
 
 
 def signatures(texts: list[str]):
-    """The least hash of three words in a row of each text, which near copies mostly share; 0 for fewer words."""
+    """A digest of SIGNS least hashes of three words in a row of each text, which near copies mostly share; of all words in shorter texts."""
     import numpy as np
 
     h, owner, words = word_features(texts)
     n = int(words.sum())
     h, owner = h[:n], owner[:n]
     out = np.zeros(len(texts), "uint64")
+    if n:
+        whole = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        # The sum over mixed (place, word) pairs tells apart all texts that differ.
+        place = np.arange(n) - np.repeat(whole, np.diff(np.r_[whole, n]))
+        out[owner[whole]] = np.add.reduceat(mix(h + mix(place.astype("uint64"))), whole)
     if n < 3:
         return out
     three = mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:])
@@ -63,7 +70,9 @@ def signatures(texts: list[str]):
     three, owner = three[inside], owner[:-2][inside]
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, int)
     if len(first):
-        out[owner[first]] = np.minimum.reduceat(three, first)
+        out[owner[first]] = 0
+        for k in range(SIGNS):
+            out[owner[first]] = mix(out[owner[first]] + np.minimum.reduceat(mix(three ^ np.uint64(HASH_BASE * (2 * k + 1) % 2**64)), first))
     return out
 
 
@@ -139,20 +148,25 @@ def fit_ordinal(rows, cols, values, grades, n_features: int, n_grades: int, l2:
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
     """A model of the labelled documents, with grades 0 (not toxic), 1 and 2.
 
-    Labels are 0 or 1; a toxic document's grade is 2 if its marked words weigh more than those of half of
-    the toxic ones, by the log odds of each and the log of its count, else 1. Of each label, rows are taken by a hash of the id,
+    Labels are 0 or 1, so nothing outside the texts orders the toxic documents: the upper grade is made here,
+    and is 2 if a document's marked words weigh more than those of half of the toxic ones, by the log odds of
+    each and the log of its count, else 1. Labels of 0, 1 and 2 are taken as grades as they are.
+    Of each label, rows are taken by a hash of the id,
     ``per_label`` of them as expected. Null ids, labels and texts teach nothing; repeated labels count
     once; without toxic labels the model has no features and gives every text a severity near 0.
     """
     import numpy as np
     import pyarrow as pa
 
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).cast("int").alias("label"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1, 2)).groupBy(F.col(id_col).alias("l_id")).agg(F.max(label_col).cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    share = F.when(F.col("label") == 1, min(1.0, per_label / max(1, sizes.get(1, 0)))).otherwise(min(1.0, per_label / max(1, sizes.get(0, 0))))
-    # At most 2 * per_label ids of 12 bytes, as expected, whatever the tables' sizes: small enough to broadcast.
+    share = F.lit(0.0)
+    for label, n in sizes.items():
+        share = F.when(F.col("label") == label, min(1.0, per_label / n)).otherwise(share)
+    # At most 3 * per_label ids of 12 bytes, as expected, whatever the tables' sizes: small enough to broadcast.
     ids = F.broadcast(known.where(F.pmod(F.xxhash64("l_id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)))
-    sample = documents.where(F.col(text_col).isNotNull()).join(ids, F.col(id_col) == F.col("l_id")).select("label", F.col(text_col).alias("text"))
+    texts = documents.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).where("text is not null")
+    sample = texts.join(ids, F.col("d_id") == F.col("l_id")).select("label", "text")
 
     def sign(batch):
         clean = [letters(t.decode()) for t in text_bytes(batch, "text")]
@@ -163,7 +177,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def count(batches):
         for batch in batches:
-            label = np.array(batch.column(0).to_pylist(), "int64")
+            label = np.array([x > 0 for x in batch.column(0).to_pylist()], "int64")
             clean = [letters(t.decode()) for t in text_bytes(batch, "text")]
             for a, b in chunked(clean):
                 h, owner, _ = word_features(clean[a:b])
@@ -179,8 +193,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([pa.array(h[at].view("int64")), pa.array(np.add.reduceat(toxic, at)), pa.array(np.add.reduceat(1 - toxic, at))], names=["feature", "bad", "good"])
 
     total = sample.groupBy("label").count().collect()
-    n_bad = max([1, *(r["count"] for r in total if r["label"] == 1)])
-    n_good = max([1, *(r["count"] for r in total if r["label"] == 0)])
+    n_bad = max(1, sum(r["count"] for r in total if r["label"]))
+    n_good = max(1, sum(r["count"] for r in total if not r["label"]))
     stats = sample.mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     odds = (F.col("bad") / n_bad) / ((F.col("good") + 0.5) / n_good)
     least = max(LEAST, n_bad // 250) if n_bad >= 20 * LEAST else max(1, n_bad // 20)
@@ -206,8 +220,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     cols = np.concatenate([np.asarray(c, "int64") for c in fitted.cols])
     values = np.concatenate([np.asarray(c, "float64") for c in fitted.logs])
     evidence = np.bincount(rows, weights=values * scale[cols], minlength=len(fitted))
-    middle = np.median(evidence[label == 1]) if (label == 1).any() else 0.0
-    grades = np.where(label == 1, 1 + (evidence > middle), 0)
+    middle = np.median(evidence[label > 0]) if (label > 0).any() else 0.0
+    grades = label.astype("int64") if (label == 2).any() else np.where(label > 0, 1 + (evidence > middle), 0)
     w, cuts = fit_ordinal(rows, cols, values * scale[cols], grades, len(features), 3)
     return Model(features, w * scale, cuts)
 
