@@ -25,8 +25,8 @@ class SortedLists:
         self.ids, self.rows = ids, rows
         self.order = rows.argsort(axis=0, kind="stable")  # ascending by column
 
-    def top(self, query, own, k: int):
-        """(positions, scores) of the k best rows but those with the id ``own``; ties go to smaller ids."""
+    def top(self, query, own, k: int, floor: int | None = None):
+        """(positions, scores) of the k best rows but those with the id ``own``, or of those of them that reach ``floor``; ties go to smaller ids."""
         import numpy as np
 
         n, width = self.rows.shape
@@ -53,7 +53,7 @@ class SortedLists:
                 keep = scores >= cut
                 best, scores = best[keep], scores[keep]
             offer = (self.rows[entries[-1], dims] * query[dims]).sum()
-            if len(best) >= k and offer < scores.min():
+            if floor is not None and offer < floor or len(best) >= k and offer < scores.min():
                 break
             depth, step = last, step * 2
         order = np.lexsort((self.ids[best], -scores))[:k]
@@ -66,20 +66,23 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
     Components become ``floor(scale * x)`` of x as double; scores are integer inner products, exact while
     they fit a long. Rows with a query's id are not its candidates. Ties go to the smaller id. Rows with a
     null id, and vectors that are null, empty, or hold null or non-finite components, take no part; nor do
-    candidates of another length than the query. Repeated rows count once. Without queries or candidates
-    the result is empty; other columns are ignored.
+    candidates of another length than the query. Repeated candidates are candidates each; repeated queries
+    are answered once. Without queries or candidates the result is empty; other columns are ignored.
+
+    The first block of candidates is searched before the others; what it gives as a query's k-th score is
+    the floor below which the lists of every other block are read no further.
     """
 
     def whole(df):
         v = F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-        return df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), v.alias("v")).dropDuplicates(["id", "v"])
+        return df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
-    q, c = stage(whole(queries), "queries"), stage(whole(candidates), "candidates")
+    q, c = stage(whole(queries).dropDuplicates(["id", "v"]), "queries"), stage(whole(candidates), "candidates")
     nq, nc = max(1, -(-q.count() // QUERIES)), max(1, -(-c.count() // CANDIDATES))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.select("id", "v", F.size("v").alias("width"), deal(nq).alias("qb"), every(nc).alias("cb"), F.lit(True).alias("asks"))
-    c = c.select("id", "v", F.size("v").alias("width"), every(nq).alias("qb"), deal(nc).alias("cb"), F.lit(False).alias("asks"))
+    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(n)).cast("int")
+    every = lambda a, n: F.explode(F.sequence(F.lit(a), F.lit(n - 1)))
+    q = q.select("id", "v", F.size("v").alias("width"), deal(nq).alias("qb"))
+    c = c.select("id", "v", F.size("v").alias("width"), deal(nc).alias("cb"))
 
     def search(table):
         import numpy as np
@@ -94,14 +97,24 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: int = 25
         if top < 2.0**53:
             values = values.astype("float64")
         lists = SortedLists(ids[~asks], values[~asks])
+        floor = table.column("floor").to_pylist()
         out = []
         if len(lists.ids):
             for i in np.flatnonzero(asks):
-                at, scores = lists.top(values[i], ids[i], k)
+                at, scores = lists.top(values[i], ids[i], k, floor[i])
                 out.append((np.full(len(at), ids[i]), lists.ids[at], scores.astype("int64")))
         cols = [np.concatenate([x[j] for x in out]) if out else np.zeros(0, "int64") for j in range(3)]
         return pa.table([pa.array(x, pa.int64()) for x in cols], names=["query_id", "id", "score"])
 
-    found = q.unionByName(c).groupBy("width", "qb", "cb").applyInArrow(search, "query_id long, id long, score long")
+    def searched(asked, offered):
+        rows = asked.withColumn("asks", F.lit(True)).unionByName(offered.withColumns({"floor": F.lit(None).cast("long"), "asks": F.lit(False)}))
+        return rows.groupBy("width", "qb", "cb").applyInArrow(search, "query_id long, id long, score long")
+
+    first = q.withColumns({"cb": F.lit(0), "floor": F.lit(None).cast("long")})
+    found = stage(searched(first, c.where("cb = 0").withColumn("qb", every(0, nq))), "found")
+    if nc > 1:
+        kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "floor")
+        rest = q.join(kth, "id", "left").withColumn("cb", every(1, nc))
+        found = found.union(searched(rest, c.where("cb > 0").withColumn("qb", every(0, nq))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
