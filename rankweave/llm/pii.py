@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import unused
 
-CHUNK = 256
+#: Elements that running values are made of at once; code points of a block that parts of a text are cut from.
+CHUNK, BLOCK = 256, 512
+SPANS = "array<struct<kind:string,start:bigint,end:bigint,value:string,score:double>>"
 #: Code points before and after a span that are searched for its context words.
 CONTEXT = 48
 
@@ -88,44 +90,79 @@ BASE = tuple(k.name for k in KINDS if k.base)
 CONTEXT_BONUS, THRESHOLD = 0.25, 0.5
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: a one-element array makes it a variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, zero: Column, add) -> Column:
+    """For each element, what ``add`` makes of ``zero`` and all elements before it: first over chunks of CHUNK, then within them, so that many elements cost no square."""
+    empty = F.array(zero)
+
+    def scan(items, first, step):
+        start = F.struct(first.alias("at"), F.slice(empty, 1, 0).alias("out"))
+        return F.aggregate(items, start, lambda a, x: F.struct(step(a.at, x).alias("at"), F.concat(a.out, F.array(a.at)).alias("out"))).out
+
+    def by_chunk(s: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / CHUNK).cast("int")), lambda c: F.slice(s, c * CHUNK + 1, F.lit(CHUNK)))
+        return _once(chunks, lambda cs: F.flatten(F.zip_with(cs, scan(cs, zero, lambda at, c: F.aggregate(c, at, add)), lambda c, b: scan(c, b, add))))
+
+    return F.when(F.size(values) > 0, _once(values, by_chunk)).otherwise(F.slice(empty, 1, 0))
+
+
 def _starts(gaps: Column, matches: Column) -> Column:
-    """Where each match starts, from 0: sums over chunks of CHUNK matches, then within them, so that many matches cost no square."""
-    n = F.size(matches)
-    steps = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.length(F.get(gaps, i)).cast("long").alias("g"), F.length(F.get(matches, i)).cast("long").alias("m")))
+    """Where each match starts, from 0: lengths of the gaps and matches before it, and of its own gap."""
+    steps = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("m")))
+    return F.zip_with(_before(steps, F.lit(0).cast("long"), lambda at, x: at + x.g + x.m), steps, lambda at, x: at + x.g)
 
-    def with_steps(s: Column) -> Column:
-        chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.slice(s, c * CHUNK + 1, F.lit(CHUNK)))
-        zero = F.lit(0).cast("long")
-        whole = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: a + x.g + x.m))
-        empty = F.array().cast("array<bigint>")
 
-        def scan(values, first, put, add):
-            start = F.struct(first.alias("at"), empty.alias("out"))
-            return F.aggregate(values, start, lambda a, x: F.struct((a.at + add(x)).alias("at"), F.concat(a.out, F.array(a.at + put(x))).alias("out"))).out
+def _blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, from which parts are cut without a walk from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
 
-        bases = scan(whole, zero, lambda x: zero, lambda x: x)
-        return F.flatten(F.zip_with(chunks, bases, lambda c, b: scan(c, b, lambda x: x.g, lambda x: x.g + x.m)))
 
-    # A one-element array makes the steps a variable, computed once.
-    return F.element_at(F.transform(F.array(steps), with_steps), 1)
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` (exclusive) of a text in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    whole = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK).cast("int") - first + 1), "")
+    return F.substring(whole, (start - first * BLOCK + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))
 
 
 def _confirmed(spans: Column, k: Kind, text: Column) -> Column:
     """The spans (v, a) that the kind's validator confirms, with scores."""
 
-    def scored(x: Column) -> Column:
-        end = x.a + F.length(x.v)
-        before = F.substring(text, (F.greatest(x.a - CONTEXT, F.lit(0)) + 1).cast("int"), F.least(x.a, F.lit(CONTEXT)).cast("int"))
-        near = F.concat(before, F.lit("\n"), F.substring(text, (end + 1).cast("int"), F.lit(CONTEXT)))
-        score = F.lit(k.score) + F.when(near.rlike(f"(?i){k.words}"), CONTEXT_BONUS).otherwise(0.0)
-        return F.struct(F.lit(k.name).alias("kind"), x.a.alias("start"), end.alias("end"), x.v.alias("value"), F.least(score, F.lit(1.0)).alias("score"))
+    def scored(blocks: Column):
+        def score(x: Column) -> Column:
+            end = x.a + F.length(x.v)
+            before = _cut(blocks, F.greatest(x.a - CONTEXT, F.lit(0)), x.a)
+            near = F.concat(before, F.lit("\n"), _cut(blocks, end, end + CONTEXT))
+            value = F.lit(k.score) + F.when(near.rlike(f"(?i){k.words}"), CONTEXT_BONUS).otherwise(0.0)
+            return F.struct(F.lit(k.name).alias("kind"), x.a.alias("start"), end.alias("end"), x.v.alias("value"), F.least(value, F.lit(1.0)).alias("score"))
+
+        return score
 
-    return F.transform(F.filter(spans, lambda x: k.valid(x.v)), scored)
+    found = F.filter(spans, lambda x: k.valid(x.v))
+    none = F.array().cast(SPANS)
+    return F.when(F.size(spans) > 0, _once(found, lambda own: F.when(F.size(own) > 0, _once(_blocks(text), lambda b: F.transform(own, scored(b)))).otherwise(none))).otherwise(none)
 
 
 def _apart(spans: Column, others: Column) -> Column:
-    """The spans that overlap none of the others."""
-    return F.filter(spans, lambda x: ~F.exists(others, lambda o: (o.start < x.end) & (x.start < o.end)))
+    """The spans that overlap none of the others; both ascend and are free of overlaps among themselves.
+
+    Both are put in one order; from the left, others that started earlier must have ended, and from the
+    right, the next other must start later.
+    """
+
+    def by_order(both: Column) -> Column:
+        ends = _before(both, F.lit(-1).cast("long"), lambda at, x: F.when(x.other, F.greatest(at, x.end)).otherwise(at))
+        last = F.lit(2**62).cast("long")
+        starts = F.reverse(_before(F.reverse(both), last, lambda at, x: F.when(x.other, x.start).otherwise(at)))
+        kept = F.zip_with(both, F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("e"), s.alias("s"))), lambda x, o: F.struct(x.alias("x"), ((o.e <= x.start) & (o.s >= x.end) & ~x.other).alias("ok")))
+        return F.transform(F.filter(kept, lambda k: k.ok), lambda k: k.x.span)
+
+    mark = lambda s, other: F.transform(s, lambda x: F.struct(x.start.alias("start"), F.lit(other).alias("other"), x.end.alias("end"), x.alias("span")))
+    both = F.array_sort(F.concat(mark(spans, False), mark(others, True)))
+    return F.when((F.size(spans) > 0) & (F.size(others) > 0), _once(both, by_order)).otherwise(spans)
 
 
 def find_pii(df: DataFrame, text_col: str = "text", spans_col: str = "spans", kinds=KINDS) -> DataFrame:
@@ -169,17 +206,18 @@ def joined_spans(spans: Column) -> Column:
 def redact(df: DataFrame, text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """``df`` with every span in the text replaced by ``<KIND>``; of overlapping spans, the union is replaced under the first's kind.
 
-    Null texts stay null; texts without spans stay as they are.
+    Null texts stay null; texts without spans stay as they are. The work grows with the text and its spans,
+    not with their product.
     """
     by_start = F.array_sort(F.transform(spans_col, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.upper(s.kind).alias("kind"))))
     text = F.col(text_col)
-    # The pieces kept lie between the furthest end so far and the next start.
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(a, s):
-        kept = F.substring(text, (a.at + 1).cast("int"), (s.start - a.at).cast("int"))
-        fresh = F.concat(a.out, F.array(F.concat(kept, F.lit("<"), s.kind, F.lit(">"))))
-        return F.struct(F.greatest(a.at, s.end).alias("at"), F.when(s.start >= a.at, fresh).otherwise(a.out).alias("out"))
+    def cut(spans: Column, blocks: Column) -> Column:
+        # What is kept lies between the furthest end so far and the next start.
+        ends = _before(spans, F.lit(0).cast("long"), lambda at, s: F.greatest(at, s.end))
+        pieces = F.zip_with(spans, ends, lambda s, at: F.when(s.start >= at, F.concat(_cut(blocks, at, s.start), F.lit("<"), s.kind, F.lit(">"))).otherwise(""))
+        furthest = F.array_max(F.transform(spans, lambda s: s.end))
+        return F.concat(F.array_join(pieces, ""), _cut(blocks, furthest, F.greatest(furthest, F.length(text).cast("long"))))
 
-    cut = F.aggregate(by_start, state, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, (a.at + 1).cast("int"), F.length(text))))
-    return df.withColumn(text_col, F.when(F.size(spans_col) > 0, cut).otherwise(text))
+    whole = _once(by_start, lambda spans: _once(_blocks(text), lambda blocks: cut(spans, blocks)))
+    return df.withColumn(text_col, F.when(F.size(spans_col) > 0, whole).otherwise(text))

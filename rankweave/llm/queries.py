@@ -77,7 +77,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s.kind.isin(*pii.BASE))
     counts = [pii.count_kind(F.col("spans"), k).alias(f"n_{k}") for k in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.joined_spans(base), 256).alias("base_sha256"), pii.joined_spans(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined_spans(base), 256).alias("base_sha256"), pii.joined_spans(F.col("spans")).alias("spans"), F.array_max(F.transform("spans", lambda s: s.score)).alias("top_score"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
