@@ -16,6 +16,8 @@ from .common import stage, unused
 
 #: Probes of a round in each open interval, as a power of two; the driver gets at most (n - 1) * 2**12 counts a round.
 PROBE_BITS = 12
+#: Rows of a window that numbers slots on average, and most bits of the key that windows are cut by.
+PART_ROWS, SLOT_BITS = 200_000, 20
 LOW = -(2**63)
 
 
@@ -101,13 +103,13 @@ def shard(df: DataFrame, n: int = 16, text_col: str = "text", id_col: str = "doc
 
     Shards hold near-equal bytes, and equal texts share a shard unless a splitter falls inside a group
     that is larger than the tolerance. Null texts count as empty ones, with size 1; null ids are values
-    like others; repeated rows (same id, same text) stay together and take slots of their own in any
-    order; an empty table gives an empty one; columns of ``df`` with the names of new ones are replaced.
+    like others; repeated rows (same id, same text) stay together, in one window, and take slots of their
+    own in any order; an empty table gives an empty one; columns of ``df`` with the names of new ones are replaced.
     """
-    key, tie, part, sub, base = unused(df, "key", "tie", "part", "sub", "base")
+    key, tie, part, sub, base, bits, size, crc = unused(df, "key", "tie", "part", "sub", "base", "bits", "own_size", "own_crc")
     text = F.col(text_col)
     k, t = sort_keys(text, F.col(id_col))
-    keyed = df.withColumns({"__size": text_size(text), "__crc": F.crc32(F.coalesce(text, F.lit(""))), key: k, tie: t}).drop("size", "text_crc32", "law", "shard", "slot").withColumnsRenamed({"__size": "size", "__crc": "text_crc32"})
+    keyed = df.withColumns({size: text_size(text), crc: F.crc32(F.coalesce(text, F.lit(""))), key: k, tie: t}).drop("size", "text_crc32", "law", "shard", "slot").withColumnsRenamed({size: "size", crc: "text_crc32"})
     narrow = stage(keyed.select(F.col(key).alias("key"), F.col(tie).alias("tie"), "size"), "shard-keys")
     splitters = find_splitters(narrow, n, tolerance)
 
@@ -115,17 +117,18 @@ def shard(df: DataFrame, n: int = 16, text_col: str = "text", id_col: str = "doc
         return sum(((kc > a) | ((kc == a) & (tc >= b))).cast("int") for a, b in splitters) if splitters else F.lit(0)
 
     # Slots: rows are counted by (shard, key prefix), and crowded prefixes by digits of the tie too, so that no window holds a hot group whole.
-    prefix = lambda c: F.shiftright(c, 64 - PROBE_BITS).cast("int")
+    slot_bits = min(SLOT_BITS, max(PROBE_BITS, (narrow.count() // PART_ROWS).bit_length()))
+    prefix = lambda c: F.shiftright(c, 64 - slot_bits).cast("int")
     placed = narrow.select(place(F.col("key"), F.col("tie")).alias("shard"), prefix("key").alias("part"), "tie")
-    counts = placed.groupBy("shard", "part").count().collect()  # at most 2**PROBE_BITS + n rows
+    counts = placed.groupBy("shard", "part").count().collect()  # at most 2**SLOT_BITS + n rows
     mean = max(1, sum(c["count"] for c in counts) // max(1, len(counts)))
     crowded = [(c["shard"], c["part"], min(20, (c["count"] // mean).bit_length())) for c in counts if c["count"] > 4 * mean]
     spark = df.sparkSession
-    bits = F.broadcast(spark.createDataFrame(crowded, "shard int, part int, bits int"))
+    deep = F.broadcast(spark.createDataFrame(crowded, "shard int, part int, bits int"))
 
     def dealt(rows, sh, pt, ti, su):
-        joined = rows.join(bits.select(F.col("shard").alias(sh), F.col("part").alias(pt), "bits"), [sh, pt], "left")
-        return joined.withColumn(su, F.expr(f"case when bits is null then 0 else cast(shiftrightunsigned({ti}, cast(64 - bits as int)) as int) end")).drop("bits")
+        joined = rows.join(deep.select(F.col("shard").alias(sh), F.col("part").alias(pt), F.col("bits").alias(bits)), [sh, pt], "left")
+        return joined.withColumn(su, F.expr(f"case when `{bits}` is null then 0 else cast(shiftrightunsigned({ti}, cast(64 - `{bits}` as int)) as int) end")).drop(bits)
 
     parts = sorted(dealt(placed, "shard", "part", "tie", "sub").groupBy("shard", "part", "sub").count().collect())
     bases, last, at = [], None, 0
