@@ -7,16 +7,6 @@ from pyspark.sql import functions as F
 
 #: Entities that names may hold.
 ENTITIES = {"&amp;": "&", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " "}
-#: Event tier by words of the event's name, first match wins.
-TIER_WORDS = (
-    ("worlds-playoffs", r"world.*(final|playoff|knockout|quarter|semi)"),
-    ("worlds-main", r"\bworlds?\b|world championship"),
-    ("msi-play-in", r"(mid.season|\bmsi\b).*play.?in"),
-    ("msi-bracket", r"mid.season invitational|\bmsi\b"),
-    ("minor-international", r"first stand|rift rivals|esports world cup|\bewc\b"),
-    ("qualifier", r"qualif|promotion|regional finals?"),
-    ("major-playoffs", r"playoffs?"),
-)
 #: Phase by words.
 PHASE_WORDS = (("Playoffs", r"playoff|final|knockout|bracket"), ("Play-in", r"play.?in"), ("Swiss", r"swiss"))
 SPLIT_WORDS = r"\b(winter|spring|summer|fall|autumn|split [1-3])\b"
@@ -54,10 +44,6 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), r"^-+|-+$", "")
 
 
-def event_tier(event: Column) -> Column:
-    return _first_rule(F.lower(F.coalesce(event, F.lit(""))), TIER_WORDS, "regional-regular")
-
-
 def event_phase(event: Column) -> Column:
     return _first_rule(F.lower(F.coalesce(event, F.lit(""))), PHASE_WORDS, "Regular season")
 
