@@ -87,3 +87,22 @@ def tier_labels(scores: DataFrame, by: str, order: str, value: str, keep: float
 
     labels = F.aggregate("points", state, step, lambda s: s.out)
     return rows.select(by, F.explode(F.arrays_zip(F.col("points"), labels.alias("labels"))).alias("z")).select(by, F.col("z.points.o").alias(order), F.col("z.points.v").alias(value), F.col("z.labels").alias("label"))
+
+
+def region_trend(points: DataFrame, days: int = 30, least: int = 2) -> DataFrame:
+    """For each league and date with games: teams that played within ``days`` and their mean last score; dates with fewer than ``least`` are left out."""
+    close = daily_close(points).select("team", "date", "score")
+    league = points.groupBy("team").agg(F.min("league").alias("league"))
+    spine = close.select("date").distinct().crossJoin(F.broadcast(league))
+    so_far = Window.partitionBy("team").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = spine.join(close.withColumn("played", F.col("date")), ["team", "date"], "left")
+    rows = rows.withColumns({"score": F.last("score", ignorenulls=True).over(so_far), "played": F.last("played", ignorenulls=True).over(so_far)})
+    active = rows.where(F.datediff("date", "played") <= days)
+    return active.groupBy("league", "date").agg(F.count("*").alias("active"), F.sum("score").alias("total")).where(F.col("active") >= least)
+
+
+def rates_before(points: DataFrame) -> DataFrame:
+    """For each team and date: its games and wins before that date."""
+    days = points.groupBy("team", "date").agg(F.count("*").alias("n"), F.count_if("won").alias("w"))
+    earlier = Window.partitionBy("team").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
+    return days.select("team", "date", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("games_before"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("wins_before"))
