@@ -76,3 +76,29 @@ def number_or_null(text: Column) -> Column:
 
 def idle_days(last: Column, now: Column) -> Column:
     return F.greatest(F.datediff(now, last), F.lit(0))
+
+
+def day_of(text: Column) -> Column:
+    """The date of a text with or without a time: ISO, or day and month after a slash; others are null."""
+    clean = F.trim(text)
+    iso = F.try_to_date(F.substring(clean, 1, 10), "yyyy-MM-dd")
+    return F.coalesce(iso, F.try_to_date(clean, "M/d/yyyy"))
+
+
+def scope_key(*parts: Column) -> Column:
+    """Parts of a scope as one text: url-encoded, joined by two underscores; null parts are ``All``."""
+    return F.concat_ws("__", *[F.replace(F.url_encode(F.coalesce(p.cast("string"), F.lit("All"))), F.lit("_"), F.lit("%5F")) for p in parts])
+
+
+def scope_parts(key: Column) -> Column:
+    """The parts that a scope's text was made of."""
+    return F.transform(F.split(key, "__"), lambda p: F.url_decode(p))
+
+
+def sorted_roles(players: Column, order: list[str]) -> Column:
+    """An array of structs with ``role``, in the order of ``order``; the first of a role stays, and unknown roles come last."""
+    place = lambda p: F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(r) for r in order]), p.role), F.lit(0)), F.lit(len(order) + 1))
+    numbered = F.transform(players, lambda p, i: F.struct(place(p).alias("place"), i.alias("i"), p.alias("p")))
+    ordered = F.array_sort(numbered)
+    first = F.filter(ordered, lambda x, i: (i == 0) | (x.p.role != F.get(ordered, i - 1).p.role))
+    return F.transform(first, lambda x: x.p)

@@ -98,3 +98,63 @@ def eligibility_reasons(matches: Column, recent: Column, idle_days: Column, unce
             F.when(uncertainty > MOST_UNCERTAINTY, "uncertain"),
         )
     )
+
+
+#: Fixed values of execution: weights of kills, gold and objectives, the index's cap, and its share of an outcome.
+EXECUTION, EXECUTION_CAP, EXECUTION_SHARE = (0.14, 0.72, 0.14), 0.25, 0.25
+
+
+def execution_index(kills: Column, kills_against: Column, gold: Column, gold_against: Column, objectives: Column, objectives_against: Column) -> Column:
+    """How much better than its opponent a side played, -0.25 to 0.25, by shares of kills, gold and objectives."""
+    edge = lambda a, b: (a - b) / F.greatest((a + b).cast("double"), F.lit(1.0))
+    k, g, o = EXECUTION
+    return clamp(edge(kills, kills_against) * k + edge(gold, gold_against) * g + edge(objectives, objectives_against) * o, -EXECUTION_CAP, EXECUTION_CAP)
+
+
+def soft_outcome(won: Column, execution: Column) -> Column:
+    """An outcome between 0 and 1 that a quarter of execution blends into."""
+    return clamp((1.0 - EXECUTION_SHARE) * F.when(won, 1.0).otherwise(0.0) + EXECUTION_SHARE * (0.5 + execution), 0.0, 1.0)
+
+
+def volatility_multiplier(continuity: Column) -> Column:
+    """How much a changed roster raises K; 1 where continuity is not known."""
+    return F.coalesce(clamp(1.0 + (1.0 - continuity) * 0.5, 1.0, 1.35), F.lit(1.0))
+
+
+def matchup_bands(a: Column, b: Column, uncertainty_a: Column, uncertainty_b: Column, side_edge: float = 12.0, sigma: float = 1.0) -> dict[str, Column]:
+    """Chances of one game: neutral, with a on either side, and at the ends of a band of ``sigma``."""
+    u = (uncertainty_a, uncertainty_b)
+    half = side_edge / 2.0
+    wide = F.sqrt(uncertainty_a * uncertainty_a + uncertainty_b * uncertainty_b) * sigma / 2.0
+    game = lambda x: game_probability(a + x, b - x, *u)
+    return {"neutral": game_probability(a, b, *u), "blue": game(F.lit(half)), "red": game(F.lit(-half)), "low": game(-wide), "high": game(wide)}
+
+
+def public_delta(delta: Column) -> Column:
+    return delta * PUBLIC_SLOPE
+
+
+def internal_delta(delta: Column) -> Column:
+    return delta / PUBLIC_SLOPE
+
+
+def league_adjustment(rating: Column, league: Column) -> Column:
+    """What a league adds to a team's rating, whole."""
+    return half_up(rating + (league - INTERNAL_MIDDLE) - rating)
+
+
+def variant_probability(variants: Column, names: list[str], fallback: Column) -> Column:
+    """The first variant of ``names`` that is there, else the fallback."""
+    return F.coalesce(*[variants[n] for n in names], fallback)
+
+
+def variant_present(variants: Column, names: list[str]) -> Column:
+    out = F.lit(False)
+    for n in names:
+        out = out | variants[n].isNotNull()
+    return out
+
+
+def feature_weight(mode: Column, live: float) -> Column:
+    """The weight of a feature in published predictions: none in shadow or switched off."""
+    return F.when(mode == "live", live).otherwise(0.0)

@@ -135,3 +135,66 @@ def enrich_from_duplicates(kept: DataFrame, dropped: DataFrame, key: list[str])
     out = kept.join(better, key, "left")
     tier = F.when(F.col("other.k") > weight, F.col("other.tier")).otherwise(F.col("tier"))
     return out.withColumns({"best_of": F.greatest("best_of", "other_best_of"), "tier": tier}).drop("other_best_of", "other")
+
+
+def gap_fill(primary: DataFrame, secondary: DataFrame, keys: list[str]) -> DataFrame:
+    """``primary`` and those rows of ``secondary`` whose ``keys`` it lacks, with ``filled``; null keys match nothing."""
+    fill = secondary.join(primary.select(*keys).distinct(), keys, "left_anti")
+    return primary.withColumn("filled", F.lit(False)).unionByName(fill.withColumn("filled", F.lit(True)))
+
+
+def by_provider(games: DataFrame, series: list[str], number: str, priority: dict[str, int]) -> DataFrame:
+    """One row for each game number of each series, of the provider with the least priority number; the longest format that any of them knows."""
+    rank = F.create_map(*[F.lit(x) for pair in priority.items() for x in pair])[F.col("provider")]
+    best = Window.partitionBy(*series, number).orderBy(F.coalesce(rank, F.lit(len(priority) + 1)), "game_id")
+    rows = games.withColumns({"best_of": F.max("best_of").over(Window.partitionBy(*series)), "provider_rank": F.row_number().over(best)})
+    return rows.where("provider_rank = 1").drop("provider_rank")
+
+
+def match_rankings(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
+    """Outer match of two rankings on several keys in order of priority: each row once, by the first key that finds a row.
+
+    Of several finds a row takes the one by the best key and then the least id; rows without any come with a null.
+    Keys are compared in lower case without blanks around them; null and blank keys find nothing.
+    """
+
+    def long(df, name):
+        each = F.array(*[F.struct(F.lit(i).alias("priority"), F.lit(k).alias("how"), F.lower(F.trim(F.col(k).cast("string"))).alias("value")) for i, k in enumerate(keys)])
+        return df.select(F.col(name), F.explode(each).alias("k")).where("k.value is not null and k.value <> ''").select(name, "k.*")
+
+    found = long(left, left_id).join(long(right, right_id), ["priority", "how", "value"])
+    own = Window.partitionBy(left_id).orderBy("priority", right_id)
+    found = found.withColumn("r", F.row_number().over(own)).where("r = 1")
+    other = Window.partitionBy(right_id).orderBy("priority", left_id)
+    found = found.withColumn("r", F.row_number().over(other)).where("r = 1").select(left_id, right_id, "how")
+    out = left.select(left_id).join(found, left_id, "left")
+    return out.unionByName(right.select(right_id).join(found, right_id, "left_anti").select(F.lit(None).cast(left.schema[left_id].dataType).alias(left_id), right_id, F.lit(None).cast("string").alias("how")))
+
+
+def merge_teams(schedule: DataFrame, details: DataFrame, match: str) -> DataFrame:
+    """Teams of a schedule with what details know of them: by id, else by name; the schedule's own fields win.
+
+    Both have ``match``, id, name and code; a detail without a team in the schedule is left out.
+    """
+    from ..functions.names import name_key
+
+    d = details.select(match, F.col("id").alias("d_id"), F.col("name").alias("d_name"), F.col("code").alias("d_code"), name_key(F.col("name")).alias("d_key"))
+    by_id = first_of(d.where("d_id is not null"), [match, "d_id"], ["d_name", "d_code"])
+    by_name = first_of(d.where("d_key is not null"), [match, "d_key"], ["d_id", "d_code"]).withColumnsRenamed({"d_id": "n_id", "d_name": "n_name", "d_code": "n_code", "d_key": "n_key"})
+    rows = schedule.withColumn("s_key", name_key(F.col("name")))
+    rows = rows.join(by_id.withColumnRenamed(match, "d_match"), (F.col(match) == F.col("d_match")) & (F.col("id") == F.col("d_id")), "left")
+    rows = rows.join(by_name.withColumnRenamed(match, "n_match"), (F.col(match) == F.col("n_match")) & (F.col("s_key") == F.col("n_key")), "left")
+    return rows.select(match, F.coalesce("id", "d_id", "n_id").alias("id"), F.coalesce("name", "d_name", "n_name").alias("name"), F.coalesce("code", "d_code", "n_code").alias("code"))
+
+
+def resolved_ids(players: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``players`` (name, team, given) with ``player_id``: that of an alias (alias, id), else the given one, else a digest of name and team.
+
+    Aliases are compared in any case; of repeated ones the least id counts.
+    """
+    from ..functions.names import name_key
+
+    known = aliases.where("alias is not null and id is not null").groupBy(F.lower(F.trim("alias")).alias("alias_key")).agg(F.min("id").alias("alias_id"))
+    rows = players.join(known, F.lower(F.trim("name")) == F.col("alias_key"), "left")
+    digest = F.concat(F.lit("unresolved:"), F.sha2(F.concat_ws("|", name_key(F.col("name")), name_key(F.col("team"))), 256))
+    return rows.withColumn("player_id", F.coalesce("alias_id", F.nullif(F.trim("given"), F.lit("")), digest)).drop("alias_key", "alias_id")
