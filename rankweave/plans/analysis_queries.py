@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -198,25 +201,13 @@ def f38_lineups(spark, sf_dir):
     return ranked.groupBy("team").agg(F.array_join(starters.getField("player").cast("array<string>"), ",").alias("starters"), F.count_if(F.col("r") > 1).alias("substitutes"))
 
 
-@query(
-    "e1_consumable_match",
-    """, l AS (SELECT series_id, game_number, team_a, team_b, date, row_number() OVER (PARTITION BY team_a, team_b, date ORDER BY series_id, game_number) AS turn FROM games WHERE game_number <= 2),
-r AS (SELECT series_id AS other_series, game_number AS other_game, team_a, team_b, date, row_number() OVER (PARTITION BY team_a, team_b, date ORDER BY series_id, game_number) AS turn FROM games WHERE game_number = 2)
-SELECT l.team_a, l.team_b, l.date, l.turn, series_id, game_number, other_series, other_game FROM l JOIN r ON l.team_a = r.team_a AND l.team_b = r.team_b AND l.date = r.date AND l.turn = r.turn""",
-)
-def e1_consumable_match(spark, sf_dir):
-    games = contest_games(spark, sf_dir).select("series_id", "game_number", "team_a", "team_b", "date")
-    left = games.where("game_number <= 2")
-    right = games.where("game_number = 2").withColumnsRenamed({"series_id": "other_series", "game_number": "other_game"})
-    return X.consumable_match(left, right, ["team_a", "team_b", "date"], ["series_id", "game_number"], ["other_series", "other_game"])
+_E1 = """, l AS (SELECT series_id, game_number, team_a, team_b, date, row_number() OVER (PARTITION BY team_a, team_b, date ORDER BY series_id, game_number) AS turn FROM games WHERE winner = team_a),
+r AS (SELECT series_id AS other_series, game_number AS other_game, team_a, team_b, date, row_number() OVER (PARTITION BY team_a, team_b, date ORDER BY series_id, game_number) AS turn FROM games WHERE winner <> team_a)
+SELECT l.team_a, l.team_b, l.date, l.turn, series_id, game_number, other_series, other_game FROM l JOIN r ON l.team_a = r.team_a AND l.team_b = r.team_b AND l.date = r.date AND l.turn = r.turn"""
 
 
-@query(
-    "e1_consumable_match_all",
-    """, l AS (SELECT series_id, game_number, team_a, team_b, date, row_number() OVER (PARTITION BY team_a, team_b, date ORDER BY series_id, game_number) AS turn FROM games WHERE winner = team_a),
-r AS (SELECT series_id AS other_series, game_number AS other_game, team_a, team_b, date, row_number() OVER (PARTITION BY team_a, team_b, date ORDER BY series_id, game_number) AS turn FROM games WHERE winner <> team_a)
-SELECT l.team_a, l.team_b, l.date, l.turn, series_id, game_number, other_series, other_game FROM l JOIN r ON l.team_a = r.team_a AND l.team_b = r.team_b AND l.date = r.date AND l.turn = r.turn""",
-)
+@query("e1_consumable_match", _E1)
+@query("e1_consumable_match_all", _E1)
 def e1_consumable_match_all(spark, sf_dir):
     # Every game is on one of the sides: won by team_a on the left, by team_b on the right.
     games = contest_games(spark, sf_dir)
@@ -226,23 +217,13 @@ def e1_consumable_match_all(spark, sf_dir):
     return X.consumable_match(left, right, ["team_a", "team_b", "date"], ["series_id", "game_number"], ["other_series", "other_game"])
 
 
-@query(
-    "e2_any_key_match",
-    """, a AS (SELECT series_id, strftime(date, '%Y-%m-%d') || team_a AS k1, strftime(date, '%Y-%m-%d') || team_b AS k2 FROM games WHERE game_number = 1 AND season = 1995), b AS (SELECT series_id AS other_id, strftime(date, '%Y-%m-%d') || team_a AS k1, strftime(date, '%Y-%m-%d') || team_b AS k2 FROM games WHERE game_number = 1 AND season = 1995)
-SELECT a.series_id, min(b.other_id) AS other_id FROM a JOIN b ON a.k1 = b.k1 OR a.k2 = b.k2 GROUP BY a.series_id""",
-)
-def e2_any_key_match(spark, sf_dir):
-    day = F.date_format("date", "yyyy-MM-dd")
-    rows = contest_games(spark, sf_dir).where("game_number = 1 and season = 1995").select("series_id", F.concat(day, "team_a").alias("k1"), F.concat(day, "team_b").alias("k2"))
-    return X.any_key_match(rows, rows.withColumnRenamed("series_id", "other_id"), ["k1", "k2"], "series_id", "other_id")
+_E2 = """, k AS (SELECT series_id, strftime(date, '%Y-%m-%d') || team_a AS k1, strftime(date, '%Y-%m-%d') || team_b AS k2 FROM games WHERE game_number = 1),
+pairs AS (SELECT a.series_id, b.series_id AS other_id FROM k a JOIN k b ON a.k1 = b.k1 UNION ALL SELECT a.series_id, b.series_id FROM k a JOIN k b ON a.k2 = b.k2)
+SELECT series_id, min(other_id) AS other_id FROM pairs GROUP BY series_id"""
 
 
-@query(
-    "e2_any_key_match_all",
-    """, k AS (SELECT series_id, strftime(date, '%Y-%m-%d') || team_a AS k1, strftime(date, '%Y-%m-%d') || team_b AS k2 FROM games WHERE game_number = 1),
-pairs AS (SELECT a.series_id, b.series_id AS other_id FROM k a JOIN k b ON a.k1 = b.k1 UNION ALL SELECT a.series_id, b.series_id FROM k a JOIN k b ON a.k2 = b.k2)
-SELECT series_id, min(other_id) AS other_id FROM pairs GROUP BY series_id""",
-)
+@query("e2_any_key_match", _E2)
+@query("e2_any_key_match_all", _E2)
 def e2_any_key_match_all(spark, sf_dir):
     # Every series has one first game.
     day = F.date_format("date", "yyyy-MM-dd")
@@ -287,12 +268,28 @@ def e13_rank_bounds(spark, sf_dir):
     return X.rank_bounds(records(spark, sf_dir).withColumn("u", F.lit(5.0)), "team", "rating", "u")
 
 
-@query("e14_ledger_diff", ", old AS (SELECT series_id, wins_a, winner FROM series WHERE date < DATE '2001-01-01'), new AS (SELECT series_id, wins_a + CASE WHEN series_id % 100 = 0 THEN 1 ELSE 0 END AS wins_a, winner FROM series WHERE series_id % 50 <> 7) SELECT coalesce(o.series_id, n.series_id) AS series_id, CASE WHEN o.series_id IS NULL THEN 'added' WHEN n.series_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM old o FULL JOIN new n ON o.series_id = n.series_id WHERE o.series_id IS NULL OR n.series_id IS NULL OR o.wins_a <> n.wins_a", "series")
+PARTS["ledgers"] = """
+last_season AS (SELECT max(season) AS m FROM series),
+old_ledger AS (SELECT series_id, date, wins_a, CASE WHEN state = 'completed' THEN winner END AS winner FROM series, last_season WHERE season < m),
+new_ledger AS (SELECT series_id, date, wins_a, winner FROM series WHERE NOT (state <> 'completed' AND winner IS NULL)),
+ledger_diff AS (SELECT coalesce(o.series_id, n.series_id) AS series_id, coalesce(n.date, o.date) AS date, CASE WHEN o.series_id IS NULL THEN 'added' WHEN n.series_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+  FROM old_ledger o FULL JOIN new_ledger n ON o.series_id = n.series_id WHERE o.series_id IS NULL OR n.series_id IS NULL OR o.wins_a <> n.wins_a OR o.winner IS DISTINCT FROM n.winner)"""
+
+
+def ledgers(spark, sf_dir):
+    """The ledger before the last season, with undecided series open, and the ledger now, without those that stay open; their diff has dates."""
+    rows = S.resolve_series(contest_games(spark, sf_dir)).select("series_id", "season", "date", "state", "wins_a", "winner")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("season").alias("last"))))
+    done = F.col("state") == "completed"
+    old = rows.where("season < last").select("series_id", "wins_a", F.when(done, F.col("winner")).alias("winner"))
+    new = rows.where(done | F.col("winner").isNotNull()).select("series_id", "wins_a", "winner")
+    diff = X.ledger_diff(X.ledger(old, ["series_id"]), X.ledger(new, ["series_id"]), ["series_id"])
+    return diff.join(rows.select("series_id", "date"), "series_id"), rows
+
+
+@query("e14_ledger_diff", "SELECT series_id, change FROM ledger_diff", "series ledgers")
 def e14_ledger_diff(spark, sf_dir):
-    series = S.resolve_series(contest_games(spark, sf_dir)).select("series_id", "date", "wins_a", "winner")
-    old = X.ledger(series.where("date < date'2001-01-01'").drop("date"), ["series_id"])
-    new = X.ledger(series.where("series_id % 50 <> 7").withColumn("wins_a", F.col("wins_a") + F.when(F.col("series_id") % 100 == 0, 1).otherwise(0)).drop("date"), ["series_id"])
-    return X.ledger_diff(old, new, ["series_id"])
+    return ledgers(spark, sf_dir)[0].select("series_id", "change")
 
 
 @query("e19_pivot_merge", "SELECT season, count(*) FILTER (league = 'AFRICA') AS africa, count(*) FILTER (league = 'AMERICA') AS america, count(*) FILTER (league = 'ASIA') AS asia, count(*) FILTER (league = 'EUROPE') AS europe FROM sides GROUP BY season", "sides")
@@ -302,10 +299,22 @@ def e19_pivot_merge(spark, sf_dir):
     return out.select("season", *[F.coalesce(n, F.lit(0)).cast("long").alias(n.lower()) for n in names])
 
 
-@query("k9_change_kind", "SELECT 'historical-correction' AS kind, count(*) AS changes, min(date) AS replay_from FROM games WHERE game_number = 1 AND season = 1997")
+@query(
+    "k9_change_kind",
+    """, b AS (SELECT max(date) AS last FROM old_ledger), a AS (SELECT min(date) AS first FROM ledger_diff WHERE change = 'added'), u AS (SELECT 'all' AS part, date, change, last FROM ledger_diff, b UNION ALL SELECT 'added', date, change, last FROM ledger_diff, b WHERE change = 'added' UNION ALL SELECT 'same-day', date, change, first FROM ledger_diff, a WHERE change = 'added'),
+k AS (SELECT part, count(*) AS changes, min(date) AS replay_from, bool_and(change = 'added' AND date > last) AS append, bool_and(change = 'added' AND date >= last) AS same_day FROM u GROUP BY part)
+SELECT part, CASE WHEN append THEN 'latest-append' WHEN same_day THEN 'same-day-insertion' ELSE 'historical-correction' END AS kind, changes, replay_from FROM k UNION ALL SELECT 'none', 'no-change', 0, NULL""",
+    "series ledgers",
+)
 def k9_change_kind(spark, sf_dir):
-    changed = contest_games(spark, sf_dir).where("game_number = 1 and season = 1997").select("date", F.lit("changed").alias("change"))
-    return X.classify_changes(changed, F.lit("2001-08-01").cast("date"))
+    """The kind of four updates: all that changed, what was added, the same seen from its first date, and nothing."""
+    diff, rows = ledgers(spark, sf_dir)
+    last = rows.where("season < last").agg(F.max("date")).first()[0]
+    added = diff.where("change = 'added'")
+    first = added.agg(F.min("date")).first()[0]
+    parts = {"all": (diff, last), "added": (added, last), "same-day": (added, first), "none": (diff.limit(0), last)}
+    each = [X.classify_changes(df.select("date", "change"), F.lit(day).cast("date")).withColumn("part", F.lit(name)) for name, (df, day) in parts.items()]
+    return reduce(DataFrame.union, each)
 
 
 @query("j17_event_weights", f"SELECT tier, count(*) AS games, {r4('CASE tier WHEN ' + chr(39) + 'worlds-playoffs' + chr(39) + ' THEN 34 WHEN ' + chr(39) + 'msi-bracket' + chr(39) + ' THEN 34 WHEN ' + chr(39) + 'major-playoffs' + chr(39) + ' THEN 22 WHEN ' + chr(39) + 'regional-regular' + chr(39) + ' THEN 14 ELSE 12 END / 14.0::DOUBLE')} AS weight FROM games GROUP BY tier")
@@ -341,23 +350,23 @@ def j25_side_edge(spark, sf_dir):
 
 @query(
     "j30_eligibility",
-    """, ended AS (SELECT max(date) AS e FROM points), stats AS (SELECT team, count(*) AS matches, count(*) FILTER (date >= e - 30) AS recent, max(e) - max(date) AS idle FROM points, ended WHERE season = 1999 OR date >= e - 30 GROUP BY team)
-SELECT team, array_to_string(list_filter([CASE WHEN matches < 20 THEN 'few-matches' END, CASE WHEN recent < 6 THEN 'few-recent' END, CASE WHEN idle > 90 THEN 'inactive' END], lambda x: x IS NOT NULL), ',') AS reasons FROM stats""",
+    """, ends AS (SELECT season, max(date) AS e FROM points GROUP BY season), stats AS (SELECT p.season, team, count(*) AS matches, count(*) FILTER (date >= e - 90) AS recent, max(e) - max(date) AS idle FROM points p JOIN ends x ON p.season = x.season GROUP BY ALL)
+SELECT season, team, array_to_string(list_filter([CASE WHEN matches < 20 THEN 'few-matches' END, CASE WHEN recent < 6 THEN 'few-recent' END, CASE WHEN idle > 90 THEN 'inactive' END, CASE WHEN 140 - least(matches, 100) > 105 THEN 'uncertain' END], lambda x: x IS NOT NULL), ',') AS reasons FROM stats""",
     "sides points",
 )
 def j30_eligibility(spark, sf_dir):
     rows = points(spark, sf_dir)
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("date").alias("end"))))
-    late = F.col("date") >= F.date_sub("end", 30)
-    stats = rows.where((F.col("season") == 1999) | late).groupBy("team").agg(F.count("*").alias("matches"), F.count_if(late).alias("recent"), F.datediff(F.max("end"), F.max("date")).alias("idle"))
-    reasons = R.eligibility_reasons(F.col("matches"), F.col("recent"), F.col("idle"), F.lit(80.0))
-    return stats.select("team", F.array_join(reasons, ",").alias("reasons"))
+    rows = rows.join(rows.groupBy("season").agg(F.max("date").alias("end")), "season")
+    late = F.col("date") >= F.date_sub("end", 90)
+    stats = rows.groupBy("season", "team").agg(F.count("*").alias("matches"), F.count_if(late).alias("recent"), F.datediff(F.max("end"), F.max("date")).alias("idle"))
+    reasons = R.eligibility_reasons(F.col("matches"), F.col("recent"), F.col("idle"), 140.0 - F.least(F.col("matches"), F.lit(100)))
+    return stats.select("season", "team", F.array_join(reasons, ",").alias("reasons"))
 
 
 @query(
     "m4_resume_scores",
     f""", ledger AS (SELECT s.team, CASE WHEN winner IS NULL THEN 0.5::DOUBLE WHEN winner = s.team THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS observed, {r4("1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (o.rating - m.rating) / 400.0::DOUBLE))")} AS expected,
-  CASE s.tier WHEN 'worlds-playoffs' THEN 36 WHEN 'msi-bracket' THEN 34 WHEN 'major-playoffs' THEN 24 WHEN 'regional-regular' THEN 12 ELSE 8 END * CASE s.best_of WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 1.05::DOUBLE WHEN 3 THEN 1.12::DOUBLE ELSE 1.25::DOUBLE END AS weight
+  CASE s.tier WHEN 'worlds-playoffs' THEN 36 WHEN 'msi-bracket' THEN 34 WHEN 'major-playoffs' THEN 20 WHEN 'regional-regular' THEN 12 ELSE 8 END * CASE s.best_of WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 1.05::DOUBLE WHEN 3 THEN 1.12::DOUBLE ELSE 1.25::DOUBLE END AS weight
   FROM series_sides s JOIN records m ON s.team = m.team JOIN records o ON s.opponent = o.team WHERE state = 'completed'),
 sums AS (SELECT team, count(*) AS series, CAST(sum(CAST(round(weight * (observed - expected), 6) AS DECIMAL(20,6))) AS DOUBLE) AS value, CAST(sum(CAST(round(weight, 6) AS DECIMAL(20,6))) AS DOUBLE) AS weight FROM ledger GROUP BY team),
 scored AS (SELECT team, series, {r4('1500.0::DOUBLE + 420.0::DOUBLE * value / weight * sqrt(weight / (weight + 120.0::DOUBLE))', 1)} AS score FROM sums)
@@ -371,11 +380,20 @@ def m4_resume_scores(spark, sf_dir):
     return resume_scores(S.resolve_series(games), S.team_records(games).select("team", "rating"))
 
 
-@query("i3_missing_teams", ", late AS (SELECT DISTINCT team FROM sides WHERE season = 2001), early AS (SELECT DISTINCT team FROM sides WHERE season = 1995 AND tier = 'qualifier' AND date < DATE '1995-01-10') SELECT team FROM late EXCEPT SELECT team FROM early", "sides")
+@query(
+    "i3_missing_teams",
+    """, w AS (SELECT season, team, count(*) FILTER (winner = team) AS wins FROM sides GROUP BY ALL), top AS (SELECT season, team FROM w QUALIFY row_number() OVER (PARTITION BY season ORDER BY wins DESC, team) <= 10)
+SELECT season, team FROM top WHERE season > (SELECT min(season) FROM top) EXCEPT SELECT season + 1, team FROM top""",
+    "sides",
+)
 def i3_missing_teams(spark, sf_dir):
-    rows = S.sides(contest_games(spark, sf_dir))
-    early = rows.where("season = 1995 and tier = 'qualifier' and date < date'1995-01-10'").select("team")
-    return rows.where("season = 2001").select("team").distinct().join(early, "team", "left_anti")
+    """Teams of each season's ten best that were not among those of the season before."""
+    wins = S.sides(contest_games(spark, sf_dir)).groupBy("season", "team").agg(F.count_if(S.won()).alias("wins"))
+    best = F.row_number().over(Window.partitionBy("season").orderBy(F.col("wins").desc(), "team"))
+    top = wins.withColumn("r", best).where("r <= 10").select("season", "team")
+    first = top.agg(F.min("season").alias("first"))
+    later = top.crossJoin(F.broadcast(first)).where("season > first").select("season", "team")
+    return later.exceptAll(top.select((F.col("season") + 1).alias("season"), "team"))
 
 
 @query("p3_last_matches", "SELECT player, series_id, date, r AS back FROM (SELECT player, series_id, date, row_number() OVER (PARTITION BY player ORDER BY date DESC, series_id DESC) AS r FROM (SELECT DISTINCT player, series_id, date FROM games)) WHERE r <= 2")

@@ -48,8 +48,12 @@ def g4_player_ranks(spark, sf_dir):
     games = contest_games(spark, sf_dir)
     players = games.groupBy("player", "role").agg(F.count("*").alias("games"), F.count_if(F.col("winner") == F.col("team_a")).alias("wins"), F.sum(F.col("kills").cast("decimal(18,2)")).cast("double").alias("kills")).where("games >= 20")
     players = players.withColumn("role_rank", F.row_number().over(Window.partitionBy("role").orderBy(F.col("kills").desc(), "player")).cast("long"))
-    players = players.withColumn("win_rank", F.row_number().over(Window.orderBy(F.col("wins").desc(), F.col("kills").desc(), "player")).cast("long"))
-    return players.withColumn("delta", F.col("role_rank") - F.col("win_rank"))
+    # Players grow with the input: they are numbered among those with equal wins, behind the counts of those with more, a row a number of wins.
+    ahead = players.groupBy("wins").agg(F.count("*").alias("n"))
+    ahead = ahead.select("wins", F.coalesce(F.sum("n").over(Window.orderBy(F.col("wins").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    within = F.row_number().over(Window.partitionBy("wins").orderBy(F.col("kills").desc(), "player"))
+    players = players.join(ahead, "wins").withColumn("win_rank", (F.col("ahead") + within).cast("long")).drop("ahead")
+    return players.withColumn("delta", F.col("role_rank") - F.col("win_rank")).select("player", "role", "games", "wins", "kills", "role_rank", "win_rank", "delta")
 
 
 @query("g5_form", "SELECT team, seq, array_to_string(list(CASE WHEN won THEN 'W' ELSE 'L' END) OVER (PARTITION BY team ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), '') AS form FROM points", "sides points")
@@ -182,6 +186,6 @@ def h3_match_pages(spark, sf_dir):
 def h9_metric_spread(spark, sf_dir):
     from ..functions.rounding import half_up
 
-    w = Window.partitionBy()
-    low, high = F.min("rating").over(w), F.max("rating").over(w)
-    return records(spark, sf_dir).select("team", "rating", half_up((F.col("rating") - low) / (high - low), 4).alias("share"))
+    rows = records(spark, sf_dir)
+    ends = rows.agg(F.min("rating").alias("low"), F.max("rating").alias("high"))
+    return rows.crossJoin(F.broadcast(ends)).select("team", "rating", half_up((F.col("rating") - F.col("low")) / (F.col("high") - F.col("low")), 4).alias("share"))

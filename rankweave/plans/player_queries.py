@@ -81,17 +81,12 @@ def e16_tournament_games(spark, sf_dir):
     return games.join(F.broadcast(spans), inside).groupBy(F.col("of").alias("season"), "tier").agg(F.count("*").alias("games"), F.countDistinct("team_a").alias("teams"))
 
 
-@query("e20_dimension_lookup", "SELECT c.c_custkey, n.n_name AS nation FROM customer c JOIN nation n ON lower(n.n_name) = lower(n.n_name) AND c.c_nationkey = n.n_nationkey WHERE c.c_acctbal < 0")
-def e20_dimension_lookup(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nation"))
-    return table(spark, sf_dir, "customer").where("c_acctbal < 0").select("c_custkey", "c_nationkey").join(F.broadcast(nation), "c_nationkey").select("c_custkey", "nation")
+_E20 = """, names AS (SELECT lower(n_name) AS name, n_nationkey, n_name FROM nation UNION SELECT CAST(n_nationkey AS VARCHAR), n_nationkey, n_name FROM nation)
+SELECT c.c_custkey, arg_max(n_name, n_nationkey) AS nation FROM customer c JOIN names ON lower(CAST(c.c_nationkey AS VARCHAR)) = name GROUP BY c.c_custkey"""
 
 
-@query(
-    "e20_dimension_lookup_all",
-    """, names AS (SELECT lower(n_name) AS name, n_nationkey, n_name FROM nation UNION SELECT CAST(n_nationkey AS VARCHAR), n_nationkey, n_name FROM nation)
-SELECT c.c_custkey, arg_max(n_name, n_nationkey) AS nation FROM customer c JOIN names ON lower(CAST(c.c_nationkey AS VARCHAR)) = name GROUP BY c.c_custkey""",
-)
+@query("e20_dimension_lookup", _E20)
+@query("e20_dimension_lookup_all", _E20)
 def e20_dimension_lookup_all(spark, sf_dir):
     # A nation's code is its number, all that customers know of it; its name would find it as well.
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
