@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir`` of the session, or one of our own where that is unset (local tests)."""
+    """The folder all machines share: ``spark.checkpoint.dir`` of the session, or one of our own where that is unset and Spark runs on one machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: tasks on several machines need a folder that all of them share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -29,7 +32,19 @@ def stage(df: DataFrame, name: str = "stage", files: int | None = None) -> DataF
     """Cut the lineage: write ``df`` as Parquet in the shared folder, in ``files`` files at most, and read it back, so that a lost executor costs a reread only."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(files) if files else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def unstage(*frames: DataFrame) -> None:
+    """Delete the tables that ``stage`` wrote for these, once all that is made of them is written itself; others are left alone."""
+    for df in frames:
+        path = getattr(df, "stage_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ascii_lower(col):

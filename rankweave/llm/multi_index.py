@@ -15,7 +15,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, stage
+from .common import ROWS, stage, unstage
 from .components import components
 from .vectors import matrix, usable
 
@@ -214,7 +214,9 @@ def _links(units: DataFrame, width: int, kind: str, cosine: float, recall: float
         return pa.table({"key": pa.array(key[own]), "links": pa.array(links[own]), "label": pa.array(label[own])})
 
     met = residents.select(names).unionByName(visitors.select(names)).groupBy("at", "o", "g").applyInArrow(meet, "key long, links long, label long")
-    return stage(met, "met")
+    out = stage(met, "met")
+    unstage(placed)
+    return out
 
 
 def similar_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, recall: float = RECALL) -> DataFrame:
@@ -252,12 +254,14 @@ def similar_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     widths = [r["width"] for r in units.select("width").distinct().collect()]
     spark = df.sparkSession
     met = [_links(units.where(F.col("width") == w), w, kind, cosine, recall) for w in widths]
+    parts = met
     met = reduce(DataFrame.union, met) if met else spark.createDataFrame([], "key long, links long, label long")
     roots = components(met.select(F.col("key").alias("a"), F.col("label").alias("b")))
     links = met.groupBy("key").agg(F.sum("links").alias("links"))
     classes = info.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     classes = classes.join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     classes = stage(classes.select("key", "id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "key").alias("root")), "classes")
+    unstage(units, roots, *parts)
     least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
     named = classes.join(least, "root").select("key", "n_links", "component_id")
     out = info.join(named, "key", "left")

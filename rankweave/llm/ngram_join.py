@@ -22,7 +22,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BASE, mix, parts, stage, text_bytes, unused, with_arrow
+from .common import HASH_BASE, mix, parts, stage, text_bytes, unstage, unused, with_arrow
 from .components import components
 
 #: Words that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average and least buckets; parts in which a bucket is counted.
@@ -448,6 +448,7 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
     files = parts(total)
     tried = stage(tried.select(*ends).distinct(), "pairs", files)
     links = stage(verified(tried, sets, percent), "verified", parts(tried.count(), PAIRS))
+    held = [postings, tried]
     before = float("inf")
     for turn in range(1, PASSES + 1):
         roots = components(links)
@@ -455,7 +456,7 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
         tally = placed.groupBy("token", "root").agg(F.count("*").alias("m"))
         mixed = tally.groupBy("token").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("main.root").alias("main"), "m", (F.col("m") - F.col("main.m")).alias("others"))
         mixed = stage(mixed, "lists", files)
-        rest = stage(placed.join(mixed, "token").select(*placed.columns, "main"), "mixed", files)
+        rest = rest_of_lists = stage(placed.join(mixed, "token").select(*placed.columns, "main"), "mixed", files)
         left = mixed.agg(F.sum(F.col("m") * F.col("others")).alias("n")).first()["n"] or 0
         outside = rest.where("root <> main")
         last = left <= FEW * total or turn == PASSES or left > SLOW * before
@@ -467,9 +468,12 @@ def class_links(sets: DataFrame, percent: int) -> DataFrame:
             meet = outside.alias("x").join(pivots(rest.where("root = main"), turn).alias("y"), "token").where(near("x", "y"))
         fresh = stage(meet.select(*ends).distinct().join(tried, ["a", "b"], "left_anti"), "pairs", files)
         links = links.union(stage(verified(fresh, sets, percent), "verified", parts(fresh.count(), PAIRS)))
+        unstage(roots, mixed, rest_of_lists)
+        held.append(fresh)
         tried = tried.union(fresh)
         if last:
             break
+    unstage(*held)
     return links
 
 
@@ -488,8 +492,10 @@ def _classes(df: DataFrame, id_col: str, text_col: str, words: int, percent: int
     buckets = max(BUCKETS, -(-total // BUCKET))
     sets = stage(shared_sets(df, text_col, words, percent, buckets, seed), "sets")
     roots = components(class_links(sets, percent))
+    unstage(sets)
     classes = keys.select("class_key", "id").join(roots.withColumnRenamed("node", "class_key"), "class_key", "left")
     classes = stage(classes.withColumn("root", F.coalesce("root", "class_key")), "classes")
+    unstage(keys, roots)
     least = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "class_key")).alias("w"))
     return info, classes.join(least, "root").select("class_key", F.col("w.id").alias("component_id"), F.col("w.class_key").alias("winner")), seed
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, unused
+from .common import stage, unstage, unused
 
 #: Probes of a round in each open interval, as a power of two; the driver gets at most (n - 1) * 2**12 counts a round.
 PROBE_BITS = 12
@@ -131,6 +131,7 @@ def shard(df: DataFrame, n: int = 16, text_col: str = "text", id_col: str = "doc
         return joined.withColumn(su, F.expr(f"case when `{bits}` is null then 0 else cast(shiftrightunsigned({ti}, cast(64 - `{bits}` as int)) as int) end")).drop(bits)
 
     parts = sorted(dealt(placed, "shard", "part", "tie", "sub").groupBy("shard", "part", "sub").count().collect())
+    unstage(narrow)
     bases, last, at = [], None, 0
     for c in parts:
         at = 0 if c["shard"] != last else at

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BASE, chunked, code_points, letters, mix, stage, text_bytes, with_arrow
+from .common import HASH_BASE, chunked, code_points, letters, mix, stage, text_bytes, unstage, with_arrow
 
 #: Lengths of word beginnings besides whole words (0); expected most rows of a label in the sample; most features; least documents of a feature; least odds.
 PREFIXES, PER_LABEL, FEATURES, LEAST, ODDS = (0, 4, 5), 8000, 1024, 5, 30.0
@@ -213,6 +213,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(cols.astype("int32"))), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
 
     fitted = with_arrow(sample, "cols array<int>, logs array<double>", marks).select("label", "cols", "logs").toPandas() if len(features) else None
+    unstage(sample)
     if fitted is None or not len(fitted):
         return Model(features[:0], np.zeros(0), np.array([5.0, 6.0]))
     label = fitted.label.to_numpy()
