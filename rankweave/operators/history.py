@@ -106,3 +106,19 @@ def rates_before(points: DataFrame) -> DataFrame:
     days = points.groupBy("team", "date").agg(F.count("*").alias("n"), F.count_if("won").alias("w"))
     earlier = Window.partitionBy("team").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     return days.select("team", "date", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("games_before"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("wins_before"))
+
+
+def ranks_after_games(points: DataFrame) -> DataFrame:
+    """The place of each game's two teams among all known ones right after it, by score and name.
+
+    Games times teams is the work, and teams are a fixed dimension: scores are carried forward by team, and
+    each game counts the teams above its own two.
+    """
+    place = F.struct("date", "series_id", "game_number")
+    rows = points.withColumn("place", place)
+    teams = rows.select("team").distinct()
+    spine = rows.select("place").distinct().crossJoin(F.broadcast(teams))
+    so_far = Window.partitionBy("team").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    known = spine.join(rows.select("team", "place", "score"), ["team", "place"], "left").withColumns({"plays": F.col("score").isNotNull(), "score": F.last("score", ignorenulls=True).over(so_far)}).where("score is not null")
+    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy(F.col("score").desc(), "team")).cast("long"))
+    return ranked.where("plays").select("place.date", "place.series_id", "place.game_number", "team", "score", "rank")

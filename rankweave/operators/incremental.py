@@ -111,3 +111,29 @@ def index_faults(index: DataFrame, shards: DataFrame, key: list[str]) -> DataFra
     both = index.select(*key, F.col("rows").alias("listed")).join(have, key, "full_outer")
     what = F.when(F.col("present").isNull(), "no-shard").when(F.col("listed").isNull(), "not-listed").when(F.col("present") != F.col("listed"), "other-count")
     return both.withColumn("what", what).where("what is not null").select(*key, "listed", "present", "what")
+
+
+def checkpoint_digests(state: DataFrame, boundary: str, key: str, values: list[str]) -> DataFrame:
+    """For each boundary of a state table, its rows and the digest of its lines in order of key. A state has a row a team, so that a boundary's lines are few."""
+    line = F.concat_ws("|", F.col(key).cast("string"), *[F.coalesce(F.col(v).cast("string"), F.lit("~")) for v in values])
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), line.alias("line"))))
+    return state.groupBy(boundary).agg(F.count("*").alias("rows"), F.sha2(F.array_join(F.transform(ordered, lambda x: x.line), "\n"), 256).alias("digest"))
+
+
+def read_checkpoint(state: DataFrame, boundary: str, at, key: str, values: list[str], digest: str) -> DataFrame:
+    """The rows of one boundary; a digest that is not the one on record stops the read."""
+    rows = state.where(F.col(boundary) == at)
+    found = checkpoint_digests(rows, boundary, key, values).first()
+    if found is None or found["digest"] != digest:
+        raise ValueError(f"the checkpoint of {at} does not have the digest on record")
+    return rows
+
+
+def parity(full: DataFrame, incremental: DataFrame, key: list[str], values: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """Keys of two states with whether all their values agree; a key that one of them lacks does not."""
+    a = full.select(*key, *[F.col(v).alias(f"a_{v}") for v in values])
+    b = incremental.select(*key, *[F.col(v).alias(f"b_{v}") for v in values])
+    same = F.lit(True)
+    for v in values:
+        same = same & (F.abs(F.col(f"a_{v}") - F.col(f"b_{v}")) <= tolerance)
+    return a.join(b, key, "full_outer").select(*key, F.coalesce(same, F.lit(False)).alias("same"))

@@ -498,3 +498,58 @@ def e21_team_players(spark, sf_dir):
     rows = contest_games(spark, sf_dir).groupBy(F.col("team_a").alias("team"), "role", "player").agg(F.count("*").alias("games"), F.count_if(F.col("winner") == F.col("team_a")).alias("wins"))
     order = Window.partitionBy("team").orderBy("role", F.col("wins").desc(), F.col("games").desc(), "player")
     return rows.select("team", "role", "player", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(
+    "g2_ranks_after_games",
+    """, g AS (SELECT DISTINCT date, series_id, game_number FROM points), spine AS (SELECT g.*, t.team FROM g CROSS JOIN (SELECT DISTINCT team FROM points) t),
+f AS (SELECT s.*, p.score IS NOT NULL AS plays, last_value(p.score IGNORE NULLS) OVER (PARTITION BY s.team ORDER BY s.date, s.series_id, s.game_number) AS score FROM spine s LEFT JOIN points p ON p.team = s.team AND p.series_id = s.series_id AND p.game_number = s.game_number),
+r AS (SELECT *, row_number() OVER (PARTITION BY date, series_id, game_number ORDER BY score DESC, team) AS rank FROM f WHERE score IS NOT NULL) SELECT date, series_id, game_number, team, score, rank FROM r WHERE plays""",
+    "sides points",
+)
+def g2_ranks_after_games(spark, sf_dir):
+    return H.ranks_after_games(points(spark, sf_dir))
+
+
+@query("k11_checkpoint_digests", "SELECT season, count(*) AS rows, sha256(string_agg(team || '|' || games || '|' || wins || '|' || power, chr(10) ORDER BY team)) AS digest FROM season_board GROUP BY season", "sides season_board")
+def k11_checkpoint_digests(spark, sf_dir):
+    """Digests of every season's state, each season read back by its digest first."""
+    from ..operators import incremental as I
+    from ..operators.storage import write_back
+
+    path = new_path(spark, "checkpoints")
+    state = write_back(board(spark, sf_dir).select("season", "team", "games", "wins", "power"), path)
+    digests = I.checkpoint_digests(state, "season", "team", ["games", "wins", "power"])
+    for r in digests.collect():  # a row a season
+        I.read_checkpoint(state, "season", r["season"], "team", ["games", "wins", "power"], r["digest"])
+    return digests
+
+
+@query("p36_chart_points", "SELECT team, seq, epoch_ms(date) AS millis, CASE WHEN won THEN 'Won against ' ELSE 'Lost to ' END || opponent AS influence FROM points", "sides points")
+def p36_chart_points(spark, sf_dir):
+    text = F.concat(F.when(F.col("won"), "Won against ").otherwise("Lost to "), "opponent")
+    return points(spark, sf_dir).select("team", "seq", F.unix_millis(F.col("date").cast("timestamp")).alias("millis"), text.alias("influence"))
+
+
+@query("p40_recent_results", "SELECT team, string_agg(CASE WHEN wins > losses THEN 'W' WHEN wins < losses THEN 'L' ELSE 'T' END, '' ORDER BY first_seq) AS results FROM (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY team ORDER BY first_seq DESC) <= 10) GROUP BY team", "sides points matches")
+def p40_recent_results(spark, sf_dir):
+    last = D.recent(matches(spark, sf_dir), most=10)
+    return last.groupBy("team").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "result"))), lambda x: x.result), "").alias("results"))
+
+
+@query("d3_two_team_groups", ", g AS (SELECT date, tier, count(DISTINCT t) AS teams, count(DISTINCT series_id) AS series FROM (SELECT date, tier, series_id, unnest([team_a, team_b]) AS t FROM games) GROUP BY ALL) SELECT date, tier, teams, series, CASE WHEN teams = 2 THEN 'accepted' ELSE 'rejected' END AS verdict FROM g")
+def d3_two_team_groups(spark, sf_dir):
+    rows = contest_games(spark, sf_dir).select("date", "tier", "series_id", F.explode(F.array("team_a", "team_b")).alias("t"))
+    out = rows.groupBy("date", "tier").agg(F.countDistinct("t").alias("teams"), F.countDistinct("series_id").alias("series"))
+    return out.withColumn("verdict", F.when(F.col("teams") == 2, "accepted").otherwise("rejected"))
+
+
+@query("d4_format_basis", """, o AS (SELECT date, least(team_a, team_b) AS x, greatest(team_a, team_b) AS y, count(*) AS n FROM series GROUP BY ALL), d AS (SELECT series_id, max(best_of) AS declared FROM games GROUP BY series_id)
+SELECT s.series_id, CASE WHEN o.n = 1 THEN 'official' WHEN s.best_of = d.declared THEN 'provider' ELSE 'score' END AS basis, s.best_of FROM series s JOIN o ON s.date = o.date AND o.x = least(s.team_a, s.team_b) AND o.y = greatest(s.team_a, s.team_b) JOIN d ON d.series_id = s.series_id""", "series")
+def d4_format_basis(spark, sf_dir):
+    games = contest_games(spark, sf_dir)
+    rows = S.resolve_series(games)
+    pair = Window.partitionBy("date", F.least("team_a", "team_b"), F.greatest("team_a", "team_b"))
+    declared = games.groupBy("series_id").agg(F.max("best_of").alias("declared"))
+    rows = rows.withColumn("n", F.count("*").over(pair)).join(declared, "series_id")
+    return rows.select("series_id", F.when(F.col("n") == 1, "official").when(F.col("best_of") == F.col("declared"), "provider").otherwise("score").alias("basis"), "best_of")

@@ -290,3 +290,18 @@ def c15_catalog_search(spark, sf_dir):
 
     rows = leagued(spark, sf_dir).withColumns({"code_a": F.substring("team_a", 1, 3), "code_b": F.substring("team_b", 1, 3)})
     return catalog_search(rows, text="N_1", event="cup").select("series_id", "league")
+
+
+@query("c17_power_regions", f", r AS (SELECT league, {region_sql('league')} AS region FROM leagued) SELECT league, region, count(*) AS series, upper(trim(region)) IN {listed('|'.join(T.RATED))} AS counted FROM r GROUP BY ALL", "series named leagued")
+def c17_power_regions(spark, sf_dir):
+    rows = leagued(spark, sf_dir).groupBy("league").agg(F.count("*").alias("series")).withColumn("region", T.region_of_league(F.col("league")))
+    return rows.select("league", "region", "series", T.is_rated_league(F.col("region")).alias("counted"))
+
+
+@query("p48_affected_tournaments", "SELECT instance, count(*) AS changes, min(d.date) AS replay_from FROM ledger_diff d JOIN staged s ON d.series_id = s.series_id WHERE instance IS NOT NULL GROUP BY instance", "series named staged ledgers")
+def p48_affected_tournaments(spark, sf_dir):
+    from .analysis_queries import ledgers
+
+    diff, _ = ledgers(spark, sf_dir)
+    rows = staged(spark, sf_dir).where("instance is not null").select("series_id", "instance")
+    return diff.join(rows, "series_id").groupBy("instance").agg(F.count("*").alias("changes"), F.min("date").alias("replay_from"))

@@ -613,3 +613,30 @@ def m17_bracket_odds(spark, sf_dir):
     rows = records(spark, sf_dir).select("team", "rating", (F.row_number().over(Window.orderBy(F.col("rating").desc(), "team")) - 1).alias("slot")).where("slot < 16")
     return simulate_bracket(rows, runs=2000)
 
+
+
+@query("k3_streamed_completions", "SELECT CAST(series_id AS VARCHAR) AS match_id FROM series WHERE state = 'completed' AND (winner IS NOT NULL OR greatest(wins_a, wins_b) > best_of // 2 OR wins_a + wins_b >= best_of)", "series")
+def k3_streamed_completions(spark, sf_dir):
+    """Completed matches out of a feed of pages that repeats every one of them, by a stream that runs until the feed is read."""
+    pages = schedule_rows(spark, sf_dir).select("match_id", "state", F.col("at").cast("timestamp").alias("at"), "best_of", "teams")
+    path = new_path(spark, "feed")
+    pages.write.json(f"{path}/pages")
+    pages.write.mode("append").json(f"{path}/pages")
+    found = completion.first_completions(completion.read_feed(spark, f"{path}/pages", pages.schema), delay="40000 days")
+    run = found.select("match_id").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema("match_id string").parquet(f"{path}/out")
+
+
+@query("k18_shadow_parity", "SELECT DISTINCT team, true AS same FROM series_sides", "series series_sides")
+def k18_shadow_parity(spark, sf_dir):
+    """Whether a replay that resumes after half of the dates ends where a full one does, for every team."""
+    from ..operators import replay
+
+    series = S.resolve_series(contest_games(spark, sf_dir))
+    middle = series.agg(F.percentile_approx(F.unix_date("date"), 0.5, 1_000_000)).first()[0]
+    full, _ = replay.replay_by_date(series)
+    half, _ = replay.replay_by_date(series.where(F.unix_date("date") <= middle))
+    last = series.where(F.unix_date("date") <= middle).agg(F.max(F.unix_date("date"))).first()[0]
+    resumed, _ = replay.replay_by_date(series, half, last)
+    return I.parity(full, resumed, ["team"], ["rating", "uncertainty"])
