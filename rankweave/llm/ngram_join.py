@@ -26,9 +26,9 @@ from .common import HASH_BASE, mix, parts, stage, text_bytes, unstage, unused, w
 from .components import components
 
 #: Words that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average and least buckets; parts in which a bucket is counted.
-CHUNK_WORDS, FLUSH, BUCKET, BUCKETS, PARTS = 1 << 16, 1_000_000, 2_000_000, 64, 4
+CHUNK_WORDS, FLUSH, BUCKET, BUCKETS, PARTS = 1 << 16, 500_000, 2_000_000, 64, 4
 #: Most words that a process remembers, and the longest one in bytes; both bound memory and never change hashes.
-CACHE, LONGEST = 400_000, 48
+CACHE, LONGEST = 150_000, 48
 
 
 class Shingler:
@@ -344,7 +344,7 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
                 pa.array(n[rows].astype("int32")),
                 pa.array(own[rows].astype("int32")),
                 pa.array([tokens[starts[i] : min(ends[i], starts[i] + reach[i])].astype("<u8").tobytes() for i in rows], pa.binary()),
-                pa.array([tokens[starts[i] : ends[i]].astype("<u8").tobytes() for i in rows], pa.binary()),
+                pa.array([tokens[starts[i] : ends[i]].view("int64") for i in rows], pa.list_(pa.int64())),
                 pa.array([parity(i) for i in rows], pa.list_(pa.int64())),
             ],
             names=["class_key", "n", "own", "rare", "tokens", "marks"],
@@ -352,7 +352,7 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
 
     sent = df.select(text_col).mapInArrow(send, "bucket int, payload binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "part int, payload binary")
-    return answers.groupBy("part").applyInArrow(gather, "class_key long, n int, own int, rare binary, tokens binary, marks array<long>")
+    return answers.groupBy("part").applyInArrow(gather, "class_key long, n int, own int, rare binary, tokens array<long>, marks array<long>")
 
 
 def prefix(n, percent: int):
@@ -392,20 +392,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tokens = sets.select("class_key", "tokens")
     pairs = pairs.join(tokens.withColumnsRenamed({"class_key": "a", "tokens": "t1"}), "a").join(tokens.withColumnsRenamed({"class_key": "b", "tokens": "t2"}), "b")
 
-    def check(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            n1, n2 = batch.column("n1").to_pylist(), batch.column("n2").to_pylist()
-            t1, t2 = batch.column("t1"), batch.column("t2")
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                both = len(np.intersect1d(np.frombuffer(t1[i].as_buffer(), "<u8"), np.frombuffer(t2[i].as_buffer(), "<u8"), assume_unique=True))
-                keep[i] = 100 * both >= percent * (n1[i] + n2[i] - both)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return pairs.select("a", "b", "n1", "n2", "t1", "t2").mapInArrow(check, "a long, b long")
+    # Row by row in the JVM: whole sets of very long texts are never gathered in a batch.
+    both = F.size(F.array_intersect("t1", "t2"))
+    return pairs.where(both * 100 >= (F.col("n1") + F.col("n2") - both) * percent).select("a", "b")
 
 
 #: Columns of a prefix row besides its shingle.
