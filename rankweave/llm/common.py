@@ -81,18 +81,23 @@ def with_arrow(df: DataFrame, fields: str, make) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(start, ROWS)
-                made = make(batch)
-                columns = [*(batch.column(i) for i in at), *made]
-                yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, out, strict=True)], names=out.names)
+        for batch in slices(batches):
+            made = make(batch)
+            columns = [*(batch.column(i) for i in at), *made]
+            yield pa.RecordBatch.from_arrays([c if c.type == f.type else c.cast(f.type) for c, f in zip(columns, out, strict=True)], names=out.names)
 
     return df.mapInArrow(run, schema)
 
 
 #: Most rows of an Arrow batch that a task works on at once.
-ROWS = 2000
+ROWS = 1000
+
+
+def slices(batches):
+    """Arrow batches in parts of at most ROWS rows, so that a task holds few texts twice."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, ROWS):
+            yield whole.slice(start, ROWS)
 
 
 def text_bytes(batch, name: str) -> list[bytes]:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, code_points, letters, mix, text_bytes, with_arrow
+from .common import chunked, code_points, letters, mix, slices, text_bytes, with_arrow
 
 #: Buckets of n-grams; lengths of n-grams; expected most rows of a language that the model is fitted on.
 BUCKET_BITS, NGRAMS, PER_LANGUAGE, SMOOTHING = 17, (1, 2, 3, 4), 4000, 0.5
@@ -98,7 +98,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_langu
 
         width = 1 << BUCKET_BITS
         total: dict[str, object] = {}
-        for batch in batches:
+        for batch in slices(batches):
             langs = batch.column(0).to_pylist()
             clean = [letters(t.decode()) for t in text_bytes(batch, "text")]
             for a, b in chunked(clean):

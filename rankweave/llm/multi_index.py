@@ -15,7 +15,7 @@ from heapq import heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS, stage, unstage
+from .common import slices, stage, unstage
 from .components import components
 from .vectors import matrix, usable
 
@@ -157,12 +157,10 @@ def _links(units: DataFrame, width: int, kind: str, cosine: float, recall: float
     def assign(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(start, ROWS)
-                cells, visits = model.value.visits(normal(matrix(batch.column("unit"), width, kind)))
-                ends = np.cumsum([0, *map(len, visits)]).astype("int32")
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "n", "unit")), pa.array(cells), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(visits)))], names=["key", "n", "unit", "cell", "visits"])
+        for batch in slices(batches):
+            cells, visits = model.value.visits(normal(matrix(batch.column("unit"), width, kind)))
+            ends = np.cumsum([0, *map(len, visits)]).astype("int32")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "n", "unit")), pa.array(cells), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(visits)))], names=["key", "n", "unit", "cell", "visits"])
 
     placed = stage(units.select("key", "n", "unit").mapInArrow(assign, "key long, n long, unit binary, cell int, visits array<int>"), "cells")
     # Blocks of a cell: at most as many rows as the grid has cells, CODEWORDS ** 2 of 12 bytes (12 MB).

@@ -22,7 +22,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BASE, mix, parts, stage, text_bytes, unstage, unused, with_arrow
+from .common import HASH_BASE, mix, parts, slices, stage, text_bytes, unstage, unused, with_arrow
 from .components import components
 
 #: Words that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average and least buckets; parts in which a bucket is counted.
@@ -262,14 +262,12 @@ def shared_sets(df: DataFrame, text_col: str, words: int, percent: int, buckets:
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int32()), pa.array([x[1] for x in made], pa.binary())], names=["bucket", "payload"])
 
         size = 0
-        for batch in batches:
-            texts = text_bytes(batch, text_col)
-            for a in range(0, len(texts), 500):
-                held.append(own_hashes.sets(texts[a : a + 500]))
-                size += len(held[-1][0])
-                if size > FLUSH:
-                    yield rows(flush())
-                    size = 0
+        for batch in slices(batches):
+            held.append(own_hashes.sets(text_bytes(batch, text_col)))
+            size += len(held[-1][0])
+            if size > FLUSH:
+                yield rows(flush())
+                size = 0
         if size:
             yield rows(flush())
 
