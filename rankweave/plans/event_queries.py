@@ -171,9 +171,6 @@ def c20_overlapping_events(spark, sf_dir):
     return U.overlapping(spans, day(a), day(b))
 
 
-_POWERS = "CAST(rating AS DOUBLE)"
-
-
 @query("e18_tournament_standings", """, entries AS (SELECT instance, team, count(*) AS matches FROM (SELECT instance, unnest([team_a, team_b]) AS team FROM staged WHERE instance IS NOT NULL) GROUP BY ALL),
 board AS (SELECT team, rating, row_number() OVER (ORDER BY rating DESC, team) AS overall_rank FROM records)
 SELECT instance, e.team, matches, overall_rank, rating, row_number() OVER (PARTITION BY instance ORDER BY overall_rank, e.team) AS rank FROM entries e JOIN board b ON e.team = b.team""", "sides records series named staged")

@@ -226,9 +226,6 @@ def m15_substitutes(spark, sf_dir):
 
 # Players.
 
-_STATS = {"damage_share": "damage_share", "gold_share": "gold_share", "kda": "kda", "vspm": "vspm"}
-
-
 def _score(name: str, i: int) -> str:
     weight, spread = P.PARTS[name]
     base = case("role_name", {r: float(v[i]) for r, v in P.BASELINES.items()})
@@ -340,7 +337,6 @@ def l15_pregame_edges(spark, sf_dir):
     return P.pregame_edges(rows.join(frozen.select("period", "player", "rating", "games"), ["period", "player"]))
 
 
-_BY = {0b11111: [], 0b01111: ["role"], 0b00111: ["role", "league"], 0b01011: ["role", "side"], 0b01101: ["role", "patch"], 0b01110: ["role", "tier"]}
 PARTS["controls"] = f"""
 views AS (SELECT role_name AS role, league_a AS league, side_a AS side, patch, tier, no_win, series_id, game_number, player, won FROM stat_lines),
 m0 AS (SELECT role, {r4(total('no_win') + ' / count(*)', 6)} AS mean FROM views WHERE no_win IS NOT NULL GROUP BY role),
