@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, multi_index, ngram_join, packing, pii, sharding, topk, toxicity, url_filter
+from . import bpe, importance, langid, line_dedup, multi_index, ngram_join, packing, pii, sharding, topk, toxicity, url_filter, word_runs
 
 #: Host and path rules of the URL query.
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -86,6 +88,41 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines, those it loses to documents with the same ones, and a digest of the rest."""
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), documents=5, least=40)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def looped_tail(doc_id, words: list[bytes]) -> list[bytes]:
+    """The words of a document, the tail of every tenth by the id's crc32 replaced by repetitions of its beginning."""
+    h, n = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs of words, its longest one, and digests of all runs and of the words without repetitions."""
+    found = word_runs.word_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), least=12, rewrite=looped_tail)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    found = found.withColumn("best", best).withColumn("listed", F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    exponent = F.expr("(1000 * best.length) div (-best.period)")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), exponent.alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's features, weight and score towards the benchmark's texts, and the rank of those drawn."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = importance.resample(documents, table(spark, sf_dir, "benchmark").select("text"), percent=10, min_words=20, longest=1, buckets=10000, seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 _URL_SQL = """
 WITH rules(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 rest AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
@@ -98,7 +135,7 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 
 
 def queries() -> dict:
-    return {"op1_multi_index": op1_multi_index, "op2_ngram_join": op2_ngram_join, "op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_byte_bpe": op6_byte_bpe, "op7_toxicity": op7_toxicity, "op8_top_k": op8_top_k, "op9_pii": op9_pii, "op10_sharding": op10_sharding}
+    return {"op1_multi_index": op1_multi_index, "op2_ngram_join": op2_ngram_join, "op3_url_filter": op3_url_filter, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_byte_bpe": op6_byte_bpe, "op7_toxicity": op7_toxicity, "op8_top_k": op8_top_k, "op9_pii": op9_pii, "op10_sharding": op10_sharding, "op11_line_dedup": op11_line_dedup, "op12_word_runs": op12_word_runs, "op13_importance": op13_importance}
 
 
 _REACH_SQL = """
@@ -129,5 +166,33 @@ SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FRO
 """
 
 
+_WHITE = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
+_LINES_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rn, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT rn, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM docs),
+keyed AS (SELECT *, translate(trim(line, {_WHITE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT rn) >= 5),
+judged AS (SELECT rn, line, i, c.k IS NOT NULL AND keyed.doc_id IS DISTINCT FROM c.keeper AS gone FROM keyed LEFT JOIN common c ON keyed.k = c.k)
+SELECT any_value(d.doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged JOIN docs d USING (rn) GROUP BY rn
+"""
+
+_IMPORTANCE_SQL = r"""
+WITH crc AS (SELECT list(list_reduce(list_prepend(CAST(n AS BIGINT), CAST(range(8) AS BIGINT[])), lambda a, _: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY n) AS t FROM range(256) r(n)),
+docs AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+marks AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+raw AS (SELECT rn, w, count(*) AS n FROM (SELECT rn, unnest(w) AS w FROM docs) GROUP BY rn, w),
+goal AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM marks) GROUP BY w),
+vocabulary AS (SELECT w, hex(encode(w)) AS x FROM (SELECT DISTINCT w FROM raw UNION SELECT w FROM goal)),
+bucketed AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: CAST(16 * (strpos('0123456789ABCDEF', substr(x, i, 1)) - 1) + strpos('0123456789ABCDEF', substr(x, i + 1, 1)) - 1 AS BIGINT))), lambda a, b: xor(a // 256, t[CAST(xor(a % 256, b) AS BIGINT) + 1])), 4294967295) % 10000 AS b FROM vocabulary, crc),
+s AS (SELECT b, sum(n) AS n FROM raw JOIN bucketed USING (w) GROUP BY b), t AS (SELECT b, sum(n) AS n FROM goal JOIN bucketed USING (w) GROUP BY b),
+gain AS (SELECT r.b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS BIGINT) AS g FROM range(10000) r(b) LEFT JOIN s ON s.b = r.b LEFT JOIN t ON t.b = r.b),
+weights AS (SELECT rn, CAST(sum(n * g) AS BIGINT) AS weight FROM raw JOIN bucketed USING (w) JOIN gain USING (b) GROUP BY rn),
+scored AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM docs LEFT JOIN weights USING (rn)),
+ranked AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS r, count(*) FILTER (WHERE n_features >= 20) OVER () AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * able // 100 THEN r END AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_multi_index": _VECTOR_SQL, "op2_ngram_join": _JACCARD_SQL, "op3_url_filter": _URL_SQL, "op8_top_k": _TOP_K_SQL}
+    return {"op11_line_dedup": _LINES_SQL, "op13_importance": _IMPORTANCE_SQL, "op1_multi_index": _VECTOR_SQL, "op2_ngram_join": _JACCARD_SQL, "op3_url_filter": _URL_SQL, "op8_top_k": _TOP_K_SQL}
