@@ -25,11 +25,13 @@ PARTS = {"series": SERIES_SQL, "sides": SIDES_SQL, "series_sides": SERIES_SIDES_
 
 
 def query(name: str, sql: str | None = None, parts: str = ""):
-    """Register a query. ``parts`` names the expressions that its SQL stands on after the games; SQL that begins with ``,`` adds its own."""
+    """Register a query. ``parts`` names the expressions that its SQL stands on after the games; SQL that begins with ``,`` adds its own, and SQL that begins with ``WITH`` stands alone."""
 
     def add(fn):
         QUERIES[name] = fn
-        if sql is not None:
+        if sql is not None and sql.startswith("WITH"):
+            ORACLES[name] = sql
+        elif sql is not None:
             ORACLES[name] = "WITH RECURSIVE " + ",".join([CONTEST_SQL, *(PARTS[p] for p in parts.split())]) + "\n" + sql
         return fn
 

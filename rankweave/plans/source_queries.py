@@ -622,7 +622,7 @@ def k3_streamed_completions(spark, sf_dir):
     path = new_path(spark, "feed")
     pages.write.json(f"{path}/pages")
     pages.write.mode("append").json(f"{path}/pages")
-    found = completion.first_completions(completion.read_feed(spark, f"{path}/pages", pages.schema), delay="40000 days")
+    found = completion.first_completions(completion.read_feed(spark, f"{path}/pages", pages.schema))
     run = found.select("match_id").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema("match_id string").parquet(f"{path}/out")
