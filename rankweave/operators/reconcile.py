@@ -20,13 +20,17 @@ def consumable_match(left: DataFrame, right: DataFrame, keys: list[str], order_l
 
 
 def any_key_match(rows: DataFrame, others: DataFrame, keys: list[str], row_id: str, other_id: str) -> DataFrame:
-    """For each row, the least ``other_id`` that agrees with it in any of the key columns (nulls never agree)."""
+    """For each row, the least ``other_id`` that agrees with it in any of the key columns (nulls never agree).
+
+    Each key's least id is found first, so that a key which many rows of both sides share makes no pairs.
+    """
 
     def long(df, name):
         pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in keys])
         return df.select(F.col(name), F.explode(pairs).alias("key")).where("key.v is not null").select(name, "key.k", "key.v")
 
-    found = long(rows, row_id).join(long(others, other_id), ["k", "v"])
+    least = long(others, other_id).groupBy("k", "v").agg(F.min(other_id).alias(other_id))
+    found = long(rows, row_id).join(least, ["k", "v"])
     return found.groupBy(row_id).agg(F.min(other_id).alias(other_id))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import eras as E
 from ..operators import history as H
 from ..operators import series as S
 from ..sources.contest import contest_games
@@ -189,3 +190,44 @@ def h9_metric_spread(spark, sf_dir):
     rows = records(spark, sf_dir)
     ends = rows.agg(F.min("rating").alias("low"), F.max("rating").alias("high"))
     return rows.crossJoin(F.broadcast(ends)).select("team", "rating", half_up((F.col("rating") - F.col("low")) / (F.col("high") - F.col("low")), 4).alias("share"))
+
+
+# Rosters that change by the month, and the replays that they ask for.
+PARTS["monthly_eras"] = """
+observed AS (SELECT DISTINCT team, series_id AS match_id, date, season || '-' || sum(player) OVER (PARTITION BY team, patch) % 3 AS signature FROM sides WHERE tier = 'worlds-playoffs'),
+turned AS (SELECT *, CASE WHEN signature IS NOT DISTINCT FROM lag(signature) OVER (PARTITION BY team ORDER BY date, match_id) THEN 0 ELSE 1 END AS step FROM observed),
+spelled AS (SELECT *, sum(step) OVER (PARTITION BY team ORDER BY date, match_id ROWS UNBOUNDED PRECEDING) AS era FROM turned),
+spans AS (SELECT team, era, min(signature) AS signature, min(date) AS started, max(date) AS last, count(*) AS matches FROM spelled GROUP BY team, era),
+roster_eras AS (SELECT *, lead(started) OVER (PARTITION BY team ORDER BY era) AS ended FROM spans)"""
+
+
+def observations(spark, sf_dir):
+    rows = S.sides(contest_games(spark, sf_dir)).where("tier = 'worlds-playoffs'")
+    signature = F.concat_ws("-", "season", F.sum("player").over(Window.partitionBy("team", "patch")) % 3)
+    return rows.select("team", F.col("series_id").alias("match_id"), "date", signature.alias("signature")).distinct()
+
+
+@query("p28_overlapping_eras", "SELECT a.team, b.team AS other, count(*) AS overlaps, CAST(sum(least(a.last, b.last) - greatest(a.started, b.started) + 1) AS BIGINT) AS days FROM roster_eras a JOIN roster_eras b ON a.team < b.team AND a.started <= b.last AND b.started <= a.last GROUP BY ALL", "sides monthly_eras")
+def p28_overlapping_eras(spark, sf_dir):
+    """How often, and on how many days, the roster eras of two teams overlap."""
+    eras = E.roster_eras(observations(spark, sf_dir)).select("team", "started", "last")
+    other = eras.select(F.col("team").alias("other"), F.col("started").alias("other_started"), F.col("last").alias("other_last"))
+    both = E.overlap_join(eras, other, ("started", "last"), ("other_started", "other_last")).where("team < other")
+    days = F.datediff(F.least("last", "other_last"), F.greatest("started", "other_started")) + 1
+    return both.groupBy("team", "other").agg(F.count("*").alias("overlaps"), F.sum(days).alias("days"))
+
+
+@query(
+    "p28_replay_starts",
+    """, boundaries AS (SELECT DISTINCT last_day(date) AS boundary FROM sides),
+opened AS (SELECT b.boundary, e.team, e.started, EXISTS (SELECT 1 FROM observed o WHERE o.team = e.team AND o.date > b.boundary AND o.date <= b.boundary + 10) AS fresh FROM boundaries b JOIN roster_eras e ON e.started <= b.boundary AND (e.ended IS NULL OR e.ended > b.boundary)),
+starts AS (SELECT b.boundary, count(o.team) AS open_eras, min(o.started) FILTER (o.fresh) AS open_start FROM boundaries b LEFT JOIN opened o ON o.boundary = b.boundary GROUP BY b.boundary),
+widened AS (SELECT boundary, open_start AS d FROM starts WHERE open_start IS NOT NULL UNION SELECT w.boundary, e.started FROM widened w JOIN roster_eras e ON e.started < w.d AND e.last >= w.d)
+SELECT s.boundary, open_eras, open_start, (SELECT min(d) FROM widened w WHERE w.boundary = s.boundary) AS replay_from FROM starts s""",
+    "sides monthly_eras",
+)
+def p28_replay_starts(spark, sf_dir):
+    """At every month's end: open eras, the earliest start among teams that play in the next ten days, and where a replay has to begin."""
+    rows = observations(spark, sf_dir)
+    ends = contest_games(spark, sf_dir).select(F.last_day("date").alias("boundary")).distinct().withColumn("until", F.date_add("boundary", 10))
+    return E.replay_starts(E.roster_eras(rows), ends, rows)

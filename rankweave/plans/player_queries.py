@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import eras
 from ..operators import players as P
 from ..operators import publish as B
 from ..operators import reconcile as X
@@ -76,9 +77,8 @@ SELECT s.season, s.tier, count(*) AS games, count(DISTINCT g.team_a) AS teams FR
 )
 def e16_tournament_games(spark, sf_dir):
     games = contest_games(spark, sf_dir)
-    spans = games.groupBy("season", "tier").agg(F.min("date").alias("starts")).select(F.col("season").alias("of"), F.col("tier").alias("kind"), "starts", F.date_add("starts", 60).alias("ends"))
-    inside = (F.col("tier") == F.col("kind")) & F.col("date").between(F.col("starts"), F.col("ends"))
-    return games.join(F.broadcast(spans), inside).groupBy(F.col("of").alias("season"), "tier").agg(F.count("*").alias("games"), F.countDistinct("team_a").alias("teams"))
+    spans = games.groupBy("season", "tier").agg(F.min("date").alias("starts")).select(F.col("season").alias("of"), "tier", "starts", F.date_add("starts", 60).alias("ends"))
+    return eras.overlap_join(games.select("tier", "date", "team_a"), spans, ("date", "date"), ("starts", "ends"), ("tier",)).groupBy(F.col("of").alias("season"), "tier").agg(F.count("*").alias("games"), F.countDistinct("team_a").alias("teams"))
 
 
 _E20 = """, names AS (SELECT lower(n_name) AS name, n_nationkey, n_name FROM nation UNION SELECT CAST(n_nationkey AS VARCHAR), n_nationkey, n_name FROM nation)
