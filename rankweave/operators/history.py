@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .series import sides, won
+from .storage import new_path, write_back
 
 GAME_ORDER = ("date", "series_id", "game_number")
 
@@ -108,17 +110,69 @@ def rates_before(points: DataFrame) -> DataFrame:
     return days.select("team", "date", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("games_before"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("wins_before"))
 
 
-def ranks_after_games(points: DataFrame) -> DataFrame:
+def ranks_after_games(points: DataFrame, each: int = 200_000) -> DataFrame:
     """The place of each game's two teams among all known ones right after it, by score and name.
 
-    Games times teams is the work, and teams are a fixed dimension: scores are carried forward by team, and
-    each game counts the teams above its own two.
+    Games are cut into blocks in order of time, of ``each`` rows or as many as there are teams. First every
+    team's last score before each block is carried forward, a row a team and block; then blocks are walked in
+    parallel over a tree of counts, with work of a logarithm for each game. So a block's task holds its games and
+    one score a team, and no rows are made for teams that do not play.
     """
-    place = F.struct("date", "series_id", "game_number")
-    rows = points.withColumn("place", place)
-    teams = rows.select("team").distinct()
-    spine = rows.select("place").distinct().crossJoin(F.broadcast(teams))
-    so_far = Window.partitionBy("team").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    known = spine.join(rows.select("team", "place", "score"), ["team", "place"], "left").withColumns({"plays": F.col("score").isNotNull(), "score": F.last("score", ignorenulls=True).over(so_far)}).where("score is not null")
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy("place").orderBy(F.col("score").desc(), "team")).cast("long"))
-    return ranked.where("plays").select("place.date", "place.series_id", "place.game_number", "team", "score", "rank")
+    place = ["date", "series_id", "game_number"]
+    n, teams = points.agg(F.count("*"), F.countDistinct("team")).first()
+    blocks = max(1, -(-n // max(each, teams, 1)))
+    path = new_path(points.sparkSession, "ranks")
+    rows = write_back(points.select(*place, "team", "score").repartitionByRange(blocks, *place).withColumn("block", F.spark_partition_id()), f"{path}/games")
+    closes = rows.groupBy("block", "team").agg(F.max_by("score", F.struct(*place)).alias("score"))
+    spine = rows.select("team").distinct().select("team", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    earlier = Window.partitionBy("team").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = spine.join(closes, ["block", "team"], "left").withColumn("score", F.last("score", ignorenulls=True).over(earlier)).where("score is not null")
+    start = write_back(start.select("block", "team", "score"), f"{path}/start", max(1, blocks))
+    schema = T.StructType([*(rows.schema[c] for c in (*place, "team", "score")), T.StructField("rank", T.LongType())])
+    return start.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_ranks_of_block, schema)
+
+
+def _ranks_of_block(start, rows):
+    """Ranks after each game of a block, given the scores before it."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = rows.sort_by([(c, "ascending") for c in ("date", "series_id", "game_number", "team")])
+    names = pa.chunked_array([*start["team"].chunks, *rows["team"].chunks], pa.string())
+    _, code = np.unique(names.to_numpy(zero_copy_only=False).astype(object), return_inverse=True)
+    score = np.concatenate([start["score"].to_numpy(), rows["score"].to_numpy()])
+    # Every (score, team) that occurs has its place in the order, and a tree counts the teams that stand there now.
+    pairs, at = np.unique(np.stack([-score, code], axis=1), axis=0, return_inverse=True)
+    at = at.reshape(-1).tolist()
+    size, known = len(pairs), start.num_rows
+    counts = np.zeros(size + 1, "int64")
+    counts[np.array(at[:known], "int64") + 1] = 1
+    total = np.concatenate([[0], np.cumsum(counts[1:])])
+    tree = [int(total[i] - total[i - (i & -i)]) for i in range(size + 1)]
+    stands = dict(zip(code[:known].tolist(), at[:known], strict=True))
+
+    def add(i, by):
+        i += 1
+        while i <= size:
+            tree[i] += by
+            i += i & -i
+
+    games = list(zip(rows["date"].to_pylist(), rows["series_id"].to_pylist(), rows["game_number"].to_pylist(), strict=True))
+    ranks, first = [0] * len(games), 0
+    while first < len(games):
+        last = first
+        while last < len(games) and games[last] == games[first]:
+            team, now = int(code[known + last]), at[known + last]
+            if team in stands:
+                add(stands[team], -1)
+            stands[team] = now
+            add(now, 1)
+            last += 1
+        for k in range(first, last):
+            i, rank = at[known + k] + 1, 0
+            while i:
+                rank += tree[i]
+                i -= i & -i
+            ranks[k] = rank
+        first = last
+    return rows.select(["date", "series_id", "game_number", "team", "score"]).append_column("rank", pa.array(ranks, pa.int64()))

@@ -10,6 +10,8 @@ from ..operators import players as P
 from ..operators import publish as B
 from ..operators import reconcile as X
 from ..operators import series as S
+from ..operators import site
+from ..operators.storage import new_path
 from ..sources.contest import contest_games, table
 from .analysis_queries import r4
 from .registry import PARTS, query
@@ -157,3 +159,35 @@ def d8_event_sessions(spark, sf_dir):
     gap = F.when(F.col("ts") <= F.lag("ts").over(w) + F.expr("interval 1 hour"), 0).otherwise(1)
     rows = table(spark, sf_dir, "events").withColumn("gap", gap).withColumn("session", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+# A site of boards, built twice: all games but those of the last 400 days, then those as well.
+_BOARDS = """, boards AS (SELECT season || '-' || tier AS doc_key, team, count(*) AS games, count(*) FILTER (winner = team) AS wins FROM sides GROUP BY ALL), late AS (SELECT DISTINCT season || '-' || tier AS doc_key FROM sides WHERE date > (SELECT max(date) FROM sides) - 400)"""
+
+
+def built_site(spark, sf_dir):
+    """The site after both builds, and the plan of the second, which looks at the documents of late games only."""
+    rows = S.sides(contest_games(spark, sf_dir)).withColumn("doc_key", F.concat_ws("-", "season", "tier"))
+    cut = F.broadcast(rows.agg(F.date_sub(F.max("date"), 400).alias("cut")))
+    rows = rows.crossJoin(cut)
+
+    def boards(df):
+        out = df.groupBy("doc_key", "team").agg(F.count("*").alias("games"), F.count_if(S.won()).alias("wins"))
+        return site.Artifact("boards", out, {"counts": F.col("wins").between(0, F.col("games")), "team": F.col("team").isNotNull()}, ("team",), 1 << 20)
+
+    made = site.Site(spark, new_path(spark, "site"))
+    made.build([boards(rows.where("date <= cut"))], "one")
+    late = rows.where("date > cut").select(F.lit("boards").alias("artifact"), "doc_key").distinct()
+    return made, made.build([boards(rows)], "two", late)
+
+
+@query("b1_published_boards", _BOARDS + " SELECT doc_key, team, games, wins FROM boards", "sides")
+def b1_published_boards(spark, sf_dir):
+    """What readers of the site find after a partial build."""
+    return built_site(spark, sf_dir)[0].read("boards", "team string, games long, wins long").select("doc_key", "team", "games", "wins")
+
+
+@query("b3_write_plan", _BOARDS + " SELECT b.doc_key, CASE WHEN any_value(l.doc_key) IS NULL THEN 'keep' ELSE 'write' END AS action, count(*) AS rows FROM boards b LEFT JOIN late l ON l.doc_key = b.doc_key GROUP BY b.doc_key", "sides")
+def b3_write_plan(spark, sf_dir):
+    """Which documents the partial build wrote and which it took over."""
+    return built_site(spark, sf_dir)[1].select("doc_key", "action", "rows")

@@ -13,8 +13,8 @@ from ..operators import incremental as I
 from ..operators import reconcile as X
 from ..operators import series as S
 from ..operators.simulation import simulate_bracket
-from ..operators.storage import new_path
-from ..sources import importers
+from ..operators.storage import new_path, publish_file
+from ..sources import importers, manifest
 from ..sources.contest import contest_games, table
 from ..streaming import completion
 from .analysis_queries import r4
@@ -108,8 +108,8 @@ def a15_raw_inventory(spark, sf_dir):
     return importers.inventory(importers.read_rows(spark, csv_export(spark, sf_dir))).select("gameid", "rows", "date", "league")
 
 
-@query("a7_wiki_games", f"SELECT game_id, date, league || ' ' || split AS event, team_a, team_b, winner, floor(CAST(kills AS DOUBLE)) AS kills_a, 0.0::DOUBLE AS kills_b, CASE WHEN best_of IN (1, 2, 3, 5) THEN CAST(best_of AS INTEGER) END AS best_of FROM export", "export")
-def a7_wiki_games(spark, sf_dir):
+def wiki_export(spark, sf_dir) -> str:
+    """The contest's games as wiki documents, one a line."""
     games = contest_games(spark, sf_dir)
     code = F.create_map(*[F.lit(x) for p in CODES.items() for x in p])[F.col("league_a")]
     event = F.concat_ws(" ", code, F.when(F.month("date") <= 6, "Spring").otherwise("Summer"))
@@ -117,7 +117,30 @@ def a7_wiki_games(spark, sf_dir):
     match = F.struct(F.concat_ws("-", text(F.col("series_id")), text(F.col("game_number"))).alias("id"), F.date_format("date", "yyyy-MM-dd").alias("date"), event.alias("event"), F.lit("15.1").alias("patch"), F.col("team_a").alias("teamA"), F.concat(F.lit("  "), F.col("team_b")).alias("teamB"), text(F.col("best_of")).alias("bestOf"), F.col("winner"), text(F.floor("kills")).alias("teamAKills"), F.lit("?").alias("teamBKills"))
     path = new_path(spark, "wiki")
     games.select(F.lit("wiki").alias("source"), F.array(match).alias("matches")).write.json(path)
-    return importers.wiki_games(spark, path, whole_files=False).select("game_id", "date", "event", "team_a", "team_b", "winner", "kills_a", "kills_b", "best_of")
+    return path
+
+
+@query("a7_wiki_games", f"SELECT game_id, date, league || ' ' || split AS event, team_a, team_b, winner, floor(CAST(kills AS DOUBLE)) AS kills_a, 0.0::DOUBLE AS kills_b, CASE WHEN best_of IN (1, 2, 3, 5) THEN CAST(best_of AS INTEGER) END AS best_of FROM export", "export")
+def a7_wiki_games(spark, sf_dir):
+    return importers.wiki_games(spark, wiki_export(spark, sf_dir), whole_files=False).select("game_id", "date", "event", "team_a", "team_b", "winner", "kills_a", "kills_b", "best_of")
+
+
+@query(
+    "a10_manifest_report",
+    "SELECT 'csv' AS source, CAST(1 AS BIGINT) AS files, CAST(1 AS BIGINT) AS repeated_files, count(*) AS rows, count(*) AS dated, min(date) AS first_date, max(date) AS last_date, 'download:warning,rate-limit:error' AS kinds FROM export UNION ALL SELECT 'wiki', 1, 0, count(*), count(*), min(date), max(date), '' FROM export UNION ALL SELECT 'schedule', 0, 0, 0, 0, NULL, NULL, 'freshness:warning'",
+    "export",
+)
+def a10_manifest_report(spark, sf_dir):
+    """What loading the sources of a manifest has seen: files, rows, dates and warnings, out of the pass that wrote them."""
+    import json
+
+    folder = new_path(spark, "manifest")
+    exported = csv_export(spark, sf_dir)
+    value = {"files": {"csv": [exported, f"{exported}/../{exported.rsplit('/', 1)[1]}"], "wiki": [f"../{wiki_export(spark, sf_dir).rsplit('/', 1)[1]}"], "schedule": []}, "warnings": ["CSV download failed: rate limit", "schedule pages are not fresh"]}
+    publish_file(spark, f"{folder}/manifest.json", json.dumps(value))
+    report = manifest.load(spark, f"{folder}/manifest.json", whole_files=False).land(f"{folder}/landed")
+    kinds = F.array_join(F.array_sort(F.transform("warnings", lambda w: F.concat_ws(":", w.kind, w.severity))), ",")
+    return report.select("source", "files", "repeated_files", "rows", "dated", "first_date", "last_date", kinds.alias("kinds"))
 
 
 @query("a8_schedule", "SELECT CAST(series_id AS VARCHAR) AS match_id, 'b' || series_id AS event_id, CASE state WHEN 'completed' THEN 'completed' ELSE 'inProgress' END AS state, CAST(best_of AS INTEGER) AS best_of, team_a || '|' || team_b AS teams, wins_a || '-' || wins_b AS score FROM series", "series")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.rounding import half_up
 from ..operators import replay
 from ..operators.incremental import parity
+from ..operators.storage import delete, names_in, publish_file, read_file
 
 SERIES = "series_id long, date date, season long, patch string, team_a string, team_b string, league_a string, league_b string, tier string, games long, wins_a long, wins_b long, last_winner string, best_of long, state string, winner string"
 #: What a rating depends on; the other columns only show.
@@ -59,38 +60,19 @@ class Store:
     spark: SparkSession
     root: str
 
-    def _fs(self, path: str):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
-
     def latest(self) -> dict | None:
         """The commit record with the highest number, or None."""
-        fs, folder = self._fs(f"{self.root}/commits")
-        if not fs.exists(folder):
-            return None
-        names = sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json"))
+        names = [n for n in names_in(self.spark, f"{self.root}/commits") if n.endswith(".json") and not n.startswith(".")]
         if not names:
             return None
-        fs, path = self._fs(f"{self.root}/commits/{names[-1]}")
-        reader = fs.open(path)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(reader, "UTF-8")
-        finally:
-            reader.close()
-        record = json.loads(text)
-        record["tables"] = {t: {int(p): v for p, v in own.items()} for t, own in record["tables"].items()}
-        record["proofs"] = {t: {int(p): v for p, v in own.items()} for t, own in record["proofs"].items()}
+        record = json.loads(read_file(self.spark, f"{self.root}/commits/{names[-1]}"))
+        for part in ("tables", "proofs"):
+            record[part] = {t: {int(p): v for p, v in own.items()} for t, own in record[part].items()}
         return record
 
     def commit(self, record: dict) -> dict:
-        """Write a record beside the others under another name, then rename it: the step from which on it counts."""
-        fs, draft = self._fs(f"{self.root}/commits/.draft-{record['epoch']:012d}")
-        out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(record, sort_keys=True).encode()))
-        out.close()
-        _, final = self._fs(f"{self.root}/commits/{record['epoch']:012d}.json")
-        if not fs.rename(draft, final):
-            raise OSError(f"commit {record['epoch']} could not be published")
+        """Publish a record: the step from which on its run counts."""
+        publish_file(self.spark, f"{self.root}/commits/{record['epoch']:012d}.json", json.dumps(record, sort_keys=True))
         return self.latest()
 
     def write(self, table: str, version: str, rows: DataFrame, files: int | None = None) -> None:
@@ -116,11 +98,9 @@ class Store:
         used = {(t, v) for t, own in self.latest()["tables"].items() for v in own.values()}
         gone = 0
         for table in SCHEMAS:
-            fs, folder = self._fs(f"{self.root}/{table}")
-            for f in fs.listStatus(folder) if fs.exists(folder) else ():
-                name = f.getPath().getName()
+            for name in names_in(self.spark, f"{self.root}/{table}"):
                 if name.startswith("version=") and (table, name.removeprefix("version=")) not in used:
-                    gone += fs.delete(f.getPath(), True)
+                    gone += delete(self.spark, f"{self.root}/{table}/{name}")
         return gone
 
 
