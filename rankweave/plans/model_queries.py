@@ -12,7 +12,8 @@ from ..operators import metrics as M
 from ..operators import model_replay as R
 from ..operators import player_model as P
 from ..operators import series as S
-from ..sources.contest import contest_games
+from ..operators import static_rosters
+from ..sources.contest import contest_games, table
 from .analysis_queries import r4
 from .event_queries import case, quoted
 from .history_queries import records
@@ -482,3 +483,28 @@ def l7_segments(spark, sf_dir):
 @query("j17_worlds_discount", "SELECT s.series_id, CASE WHEN tier NOT IN ('worlds-playoffs', 'worlds-main') AND date > e.d THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END AS multiplier FROM series s LEFT JOIN (SELECT year(date) AS y, max(date) AS d FROM series WHERE tier = 'worlds-playoffs' GROUP BY 1) e ON e.y = year(s.date)", "series")
 def j17_worlds_discount(spark, sf_dir):
     return R.after_worlds(S.resolve_series(contest_games(spark, sf_dir))).select("series_id", "multiplier")
+
+
+# Players of fixed rosters: of each nation's suppliers the first of every role.
+_IMPACT_SQL = "least(1.45::DOUBLE, greatest(0.7::DOUBLE, 1.0::DOUBLE + 0.12::DOUBLE * least(3.0::DOUBLE, greatest(-3.0::DOUBLE, {o} + least(2.0::DOUBLE, greatest(-2.0::DOUBLE, ({r} - 100.0::DOUBLE) / 24.0::DOUBLE)) * 0.35::DOUBLE)) + 0.06::DOUBLE * {a} + 0.04::DOUBLE * least(3.0::DOUBLE, greatest(-3.0::DOUBLE, 0.0::DOUBLE + {f}))))"
+_RAW_SQL = f"q.b[{{k}}] * {_IMPACT_SQL.format(o='q.o[{k}]', r='s.r[{k}]', a='q.a[{k}]', f='x.form')} * q.v[{{k}}] * q.c[{{k}}]"
+_DELTA_SQL = r4(f"x.points * (({_RAW_SQL.format(k='k')}) / list_sum(list_transform(range(1, len(s.r) + 1), lambda j: {_RAW_SQL.format(k='j')})) / 0.2::DOUBLE)", 1)
+PARTS["fixed_rosters"] = f"""
+fixed AS (SELECT n_name AS team, ['top', 'jungle', 'mid', 'bot', 'support'][s_suppkey % 5 + 1] AS role, min(s_suppkey) AS player FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
+players AS (SELECT team, list(player ORDER BY player) AS p, list({case('role', P.ROLE_SHARES)} ORDER BY player) AS b, list(CAST(player % 7 AS DOUBLE) / 2.0::DOUBLE - 1.5::DOUBLE ORDER BY player) AS o, list(CASE WHEN player % 3 = 0 THEN 0.0::DOUBLE ELSE CAST(player % 5 AS DOUBLE) - 2.0::DOUBLE END ORDER BY player) AS a, list(1.0::DOUBLE - CAST(player % 4 AS DOUBLE) / 10.0::DOUBLE ORDER BY player) AS v, list(greatest(0.5::DOUBLE, CAST(player % 11 AS DOUBLE) / 10.0::DOUBLE) ORDER BY player) AS c FROM fixed GROUP BY team),
+scored_sides AS (SELECT team, date, series_id, game_number, winner = team AS won, {r4("CASE WHEN winner = team THEN 1.6::DOUBLE ELSE -1.1::DOUBLE END * (" + case('tier', {'worlds-playoffs': 34, 'msi-bracket': 34, 'major-playoffs': 22, 'regional-regular': 14, 'qualifier': 12}, '14') + " / 14.0::DOUBLE) + 5.0::DOUBLE * least(0.25::DOUBLE, greatest(-0.25::DOUBLE, CASE side_no WHEN 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * ((CAST(kills AS DOUBLE) - 25.0::DOUBLE) / greatest(CAST(kills AS DOUBLE) + 25.0::DOUBLE, 1.0::DOUBLE) * 0.14::DOUBLE + (CAST(gold AS DOUBLE) - 38000.0::DOUBLE) / greatest(CAST(gold AS DOUBLE) + 38000.0::DOUBLE, 1.0::DOUBLE) * 0.72::DOUBLE)))", 6)} AS points FROM sides),
+formed AS (SELECT *, row_number() OVER w AS i, {r4('coalesce((avg(CAST(won AS INTEGER)) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) - 0.5::DOUBLE) * 2.0::DOUBLE, 0.0::DOUBLE)', 6)} AS form FROM scored_sides WINDOW w AS (PARTITION BY team ORDER BY date, series_id, game_number)),
+games_of AS (SELECT team, count(*) AS games, list(struct_pack(points := points, form := form, r := CAST([] AS DOUBLE[]), d := CAST([] AS DOUBLE[])) ORDER BY i) AS g FROM formed GROUP BY team),
+shared AS (SELECT q.team, q.p, f.games, list_reduce(list_prepend(struct_pack(points := 0.0::DOUBLE, form := 0.0::DOUBLE, r := list_transform(q.p, lambda x: 100.0::DOUBLE), d := list_transform(q.p, lambda x: 0.0::DOUBLE)), f.g), lambda s, x: struct_pack(points := x.points, form := x.form, r := list_transform(range(1, len(s.r) + 1), lambda k: {r4(f"s.r[k] + {_DELTA_SQL}", 1)}), d := list_transform(range(1, len(s.r) + 1), lambda k: {_DELTA_SQL}))) AS e FROM players q JOIN games_of f ON f.team = q.team)"""
+
+
+@query("l16_static_players", ", flat AS (SELECT team, unnest(p) AS player, unnest(e.r) AS rating, unnest(e.d) AS delta, games FROM shared) SELECT team, player, rating, delta, games, row_number() OVER (ORDER BY rating DESC, team, player) AS rank FROM flat", "sides fixed_rosters")
+def l16_static_players(spark, sf_dir):
+    """Ratings of the players of fixed rosters, after all games of their teams."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("team"))
+    role = F.array(*[F.lit(r) for r in P.ROLE_SHARES])[(F.col("s_suppkey") % 5).cast("int")]
+    first = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("team", role.alias("role")).agg(F.min("s_suppkey").alias("player"))
+    p = F.col("player")
+    rosters = first.select("team", "player", "role", (p % 7 / 2.0 - 1.5).alias("objectives"), F.when(p % 3 != 0, (p % 5).cast("double") - 2.0).alias("awards"), F.lit(None).cast("double").alias("recent"), (1.0 - p % 4 / 10.0).alias("availability"), (p % 11 / 10.0).alias("certainty"))
+    games = contest_games(spark, sf_dir).select(F.concat_ws("-", "series_id", "game_number").alias("game_key"), "date", "series_id", "game_number", "team_a", "team_b", "winner", "tier", F.col("kills").alias("kills_a"), F.lit(25).alias("kills_b"), F.col("gold").alias("gold_a"), F.lit(38000).alias("gold_b"), F.lit(0).alias("objectives_a"), F.lit(0).alias("objectives_b"))
+    return static_rosters.static_players(games, rosters)[0].select("team", "player", "rating", "delta", "games", "rank")
