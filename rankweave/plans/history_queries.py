@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..operators import eras as E
 from ..operators import history as H
+from ..operators import scope_builder as L
 from ..operators import series as S
 from ..sources.contest import contest_games
 from .registry import PARTS, query
@@ -231,3 +232,42 @@ def p28_replay_starts(spark, sf_dir):
     rows = observations(spark, sf_dir)
     ends = contest_games(spark, sf_dir).select(F.last_day("date").alias("boundary")).distinct().withColumn("until", F.date_add("boundary", 10))
     return E.replay_starts(E.roster_eras(rows), ends, rows)
+
+
+# All scopes at once.
+PARTS["scoped"] = """
+scoped AS (SELECT p.*, s || '|' || e || '|' || r || '|All' AS scope FROM points p, LATERAL (SELECT unnest(['All', CAST(season AS VARCHAR)]) AS s) x, LATERAL (SELECT unnest(['All', tier]) AS e) y, LATERAL (SELECT unnest(list_distinct(['All', league, opponent_league_])) AS r) z
+  UNION ALL SELECT p.*, season || '|All|All|' || CASE WHEN month(date) <= 6 THEN 'first' ELSE 'second' END FROM points p)"""
+_POINTS_ABROAD = """, points AS (SELECT q.team, q.league, q.opponent, q.season, q.date, q.series_id, q.game_number, q.tier, q.won, q.player, q.seq, q.score, s.opponent_league AS opponent_league_, s.kills FROM plain_points q JOIN sides s ON s.team = q.team AND s.series_id = q.series_id AND s.game_number = q.game_number)"""
+PARTS["scope_points"] = PARTS["points"].replace("points AS", "plain_points AS", 1) + _POINTS_ABROAD + "," + PARTS["scoped"]
+
+
+def scoped_points(spark, sf_dir):
+    games = contest_games(spark, sf_dir)
+    abroad = S.sides(games).select("team", "series_id", "game_number", "opponent_league", "kills")
+    rows = H.team_points(games).join(abroad, ["team", "series_id", "game_number"]).withColumn("delta", F.when(F.col("won"), 10).otherwise(-10))
+    half = F.when(F.month("date") <= 6, "first").otherwise("second")
+    return L.in_scopes(rows, F.col("season"), F.col("tier"), [F.col("league"), F.col("opponent_league")], half)
+
+
+_STANDINGS = """, counted AS (SELECT scope, team, count(*) AS games, count(*) FILTER (won) AS wins, arg_max(score, seq) AS rating, arg_min(score - CASE WHEN won THEN 10 ELSE -10 END, seq) AS before, max(date) AS last_date FROM scoped GROUP BY ALL),
+formed AS (SELECT scope, team, string_agg(CASE WHEN won THEN 'W' ELSE 'L' END, '' ORDER BY seq) AS form FROM (SELECT *, row_number() OVER (PARTITION BY scope, team ORDER BY seq DESC) AS back FROM scoped) WHERE back <= 5 GROUP BY ALL),
+placed AS (SELECT c.*, f.form, c.games >= 3 AS eligible, row_number() OVER (PARTITION BY c.scope ORDER BY c.games >= 3 DESC, rating DESC, c.team) AS rank, row_number() OVER (PARTITION BY c.scope ORDER BY c.games >= 3 DESC, before DESC, c.team) AS rank_before FROM counted c JOIN formed f ON f.scope = c.scope AND f.team = c.team)"""
+
+
+@query("p1_scope_standings", _STANDINGS + " SELECT scope, team, games, wins, games - wins AS losses, rating, before, form, eligible, rank, rank_before - rank AS moved FROM placed", "sides scope_points")
+def p1_scope_standings(spark, sf_dir):
+    """Standings and movement of all scopes, built together."""
+    return L.scope_standings(scoped_points(spark, sf_dir)).select("scope", "team", "games", "wins", "losses", "rating", "before", "form", "eligible", "rank", "moved")
+
+
+@query("p1_scope_summaries", _STANDINGS + " SELECT scope, count(*) AS teams, count(*) FILTER (eligible) AS eligible, CAST(sum(games) AS BIGINT) AS sides, arg_min(team, rank) AS best, arg_min(team, struct_pack(m := rank - rank_before, r := rank)) AS riser, max(last_date) AS last_date FROM placed GROUP BY scope", "sides scope_points")
+def p1_scope_summaries(spark, sf_dir):
+    """One row for each scope: its teams, its best, and the one that rose most."""
+    return L.scope_summaries(L.scope_standings(scoped_points(spark, sf_dir)))
+
+
+@query("p1_scope_players", "SELECT scope, player, games, wins, kills, rank FROM (SELECT scope, player, count(*) AS games, count(*) FILTER (won) AS wins, CAST(sum(kills) AS DOUBLE) AS kills, row_number() OVER (PARTITION BY scope ORDER BY count(*) FILTER (won) DESC, count(*) DESC, player) AS rank FROM scoped GROUP BY scope, player) WHERE rank <= 10", "sides scope_points")
+def p1_scope_players(spark, sf_dir):
+    """The ten leading players of every scope."""
+    return L.scope_players(scoped_points(spark, sf_dir))[1]
