@@ -12,7 +12,7 @@ from ..operators import reconcile as X
 from ..operators import series as S
 from ..operators import site
 from ..operators.storage import new_path
-from ..sources.contest import contest_games, table
+from ..sources.contest import ROLES, contest_games, table
 from .analysis_queries import r4
 from .registry import PARTS, query
 
@@ -60,9 +60,21 @@ def e12_roster_continuity(spark, sf_dir):
     return P.roster_continuity(contest_games(spark, sf_dir))
 
 
-@query("e11_latest_roster", "SELECT team_a AS team, max(date) AS date, arg_max(player, struct_pack(d := date, s := series_id, g := game_number)) AS player FROM games GROUP BY team_a")
+@query(
+    "e11_latest_roster",
+    """, sided AS (SELECT team, date, series_id, game_number, role, player FROM sides), newest AS (SELECT team, arg_max(series_id, struct_pack(d := date, s := series_id)) AS series_id FROM sided GROUP BY team),
+held AS (SELECT s.team, s.series_id, s.date, s.role, arg_max(s.player, s.game_number) AS player FROM sided s JOIN newest n ON n.team = s.team AND n.series_id = s.series_id GROUP BY ALL)
+SELECT team, series_id, min(date) AS date, string_agg(['top', 'jungle', 'mid', 'bot', 'support'][role + 1] || ':' || player, ',' ORDER BY role) AS roster FROM held GROUP BY ALL""",
+    "sides",
+)
 def e11_latest_roster(spark, sf_dir):
-    return contest_games(spark, sf_dir).groupBy(F.col("team_a").alias("team")).agg(F.max("date").alias("date"), F.max_by("player", F.struct("date", "series_id", "game_number")).alias("player"))
+    """Each team's players by role in its last series, of a role the last to play."""
+    rows = S.sides(contest_games(spark, sf_dir))
+    newest = rows.groupBy("team").agg(F.max_by("series_id", F.struct("date", "series_id")).alias("series_id"))
+    held = rows.join(newest, ["team", "series_id"], "left_semi").groupBy("team", "series_id", "date", "role").agg(F.max_by("player", "game_number").alias("player"))
+    names = F.array(*[F.lit(r) for r in ROLES])
+    listed = F.array_sort(F.collect_list(F.struct("role", "player")))  # five roles at most
+    return held.groupBy("team", "series_id").agg(F.min("date").alias("date"), F.array_join(F.transform(listed, lambda x: F.concat_ws(":", names[x.role.cast("int")], x.player.cast("string"))), ",").alias("roster"))
 
 
 @query("e15_semi_anti", "SELECT team, count(*) AS games FROM sides WHERE opponent IN (SELECT team FROM sides GROUP BY team HAVING count(*) FILTER (winner = team) * 2 > count(*)) GROUP BY team", "sides")
@@ -83,16 +95,21 @@ def e16_tournament_games(spark, sf_dir):
     return eras.overlap_join(games.select("tier", "date", "team_a"), spans, ("date", "date"), ("starts", "ends"), ("tier",)).groupBy(F.col("of").alias("season"), "tier").agg(F.count("*").alias("games"), F.countDistinct("team_a").alias("teams"))
 
 
-_E20 = """, names AS (SELECT lower(n_name) AS name, n_nationkey, n_name FROM nation UNION SELECT CAST(n_nationkey AS VARCHAR), n_nationkey, n_name FROM nation)
-SELECT c.c_custkey, arg_max(n_name, n_nationkey) AS nation FROM customer c JOIN names ON lower(CAST(c.c_nationkey AS VARCHAR)) = name GROUP BY c.c_custkey"""
+_E20 = """, names AS (SELECT lower(n_name) AS name, n_nationkey, n_name FROM nation UNION SELECT CAST(n_nationkey AS VARCHAR), n_nationkey, n_name FROM nation),
+asked AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN CAST(c_nationkey AS VARCHAR) WHEN 1 THEN lower(n_name) WHEN 2 THEN upper(n_name) ELSE substr(n_name, 1, 2) || lower(substr(n_name, 3)) || CASE WHEN c_custkey % 44 = 3 THEN '?' ELSE '' END END AS spelled FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT a.c_custkey, a.spelled, arg_max(n_name, n_nationkey) AS nation FROM asked a JOIN names ON lower(a.spelled) = name GROUP BY ALL"""
 
 
 @query("e20_dimension_lookup", _E20)
 @query("e20_dimension_lookup_all", _E20)
 def e20_dimension_lookup_all(spark, sf_dir):
-    # A nation's code is its number, all that customers know of it; its name would find it as well.
+    """Customers' nations found by name, in any case, or by code; a few spellings are of none."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
-    return X.dimension_lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", nation, ["nation", "n_nationkey"], ["n_nationkey"]).select("c_custkey", "nation")
+    name, turn = F.col("nation"), F.col("c_custkey") % 4
+    mixed = F.concat(F.substring(name, 1, 2), F.lower(F.substring(name, 3, 100)), F.when(F.col("c_custkey") % 44 == 3, "?").otherwise(""))
+    spelled = F.when(turn == 0, F.col("n_nationkey").cast("string")).when(turn == 1, F.lower(name)).when(turn == 2, F.upper(name)).otherwise(mixed)
+    asked = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", spelled.alias("spelled"))
+    return X.dimension_lookup(asked, "spelled", nation, ["nation", "n_nationkey"], ["n_nationkey"]).select("c_custkey", "spelled", "nation")
 
 
 @query("f28_international_counts", "SELECT league, count(*) FILTER (tier IN ('worlds-playoffs', 'msi-bracket') AND league <> opponent_league) AS international, count(*) AS games FROM sides GROUP BY league", "sides")
@@ -136,16 +153,32 @@ def k8_game_ledger(spark, sf_dir):
     return X.ledger(contest_games(spark, sf_dir).select("series_id", "game_number", "date", "tier", "winner"), ["series_id", "game_number"])
 
 
-@query("k10_predecessor", "SELECT max(date) AS boundary FROM games WHERE date < (SELECT min(date) FROM games WHERE season = 1998 AND tier = 'qualifier')")
-def k10_predecessor(spark, sf_dir):
+#: Games of a later import that differ from those of the first: some have another winner, and some are gone.
+_IMPORTS = """, changed AS (SELECT * FROM games WHERE series_id % 1000 = 7 OR series_id % 1500 = 39)"""
+
+
+def changed_games(spark, sf_dir):
+    """(games, those that two imports' ledgers differ in)."""
     games = contest_games(spark, sf_dir)
-    first = games.where("season = 1998 and tier = 'qualifier'").agg(F.min("date").alias("changed"))
-    return games.select("date").crossJoin(F.broadcast(first)).where("date < changed").agg(F.max("date").alias("boundary"))
+    key = ["series_id", "game_number"]
+    other = F.when(F.col("winner") == F.col("team_a"), F.col("team_b")).otherwise(F.col("team_a"))
+    later = games.where("series_id % 1500 <> 39").withColumn("winner", F.when(F.col("series_id") % 1000 == 7, other).otherwise(F.col("winner")))
+    ledger = lambda df: X.ledger(df.select(*key, "date", "tier", "winner"), key)
+    return games, games.join(X.ledger_diff(ledger(games), ledger(later), key).select(*key), key, "left_semi")
+
+
+@query("k10_predecessor", _IMPORTS + " SELECT (SELECT min(date) FROM changed) AS changed, (SELECT max(date) FROM games WHERE date < (SELECT min(date) FROM changed)) AS boundary")
+def k10_predecessor(spark, sf_dir):
+    """The first date that two imports differ on, and the last date before it."""
+    games, changed = changed_games(spark, sf_dir)
+    first = changed.agg(F.min("date").alias("changed"))
+    return games.select("date").join(F.broadcast(first), F.col("date") < F.col("changed"), "right").groupBy("changed").agg(F.max("date").alias("boundary"))
 
 
-@query("k17_affected_scopes", "SELECT DISTINCT unnest(['all', 'season', 'tier', 'league', 'league']) AS kind, unnest(['all', CAST(season AS VARCHAR), tier, league_a, league_b]) AS value FROM games WHERE date >= DATE '2001-07-01'")
+@query("k17_affected_scopes", _IMPORTS + " SELECT DISTINCT unnest(['all', 'season', 'tier', 'league', 'league']) AS kind, unnest(['all', CAST(season AS VARCHAR), tier, league_a, league_b]) AS value FROM changed")
 def k17_affected_scopes(spark, sf_dir):
-    return B.affected_scopes(contest_games(spark, sf_dir).where("date >= date'2001-07-01'"))
+    """The scopes that the games which two imports differ in touch."""
+    return B.affected_scopes(changed_games(spark, sf_dir)[1])
 
 
 @query("k5_first_events", "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")

@@ -651,9 +651,9 @@ def k3_streamed_completions(spark, sf_dir):
     return spark.read.schema("match_id string").parquet(f"{path}/out")
 
 
-@query("k18_shadow_parity", "SELECT DISTINCT team, true AS same FROM series_sides", "series series_sides")
+@query("k18_shadow_parity", f"SELECT team, {r4('rating', 2)} AS rating, {r4('rating', 2)} AS resumed, true AS same FROM walk WHERE i = (SELECT max(i) FROM walk)", "series series_sides replayed_by_date")
 def k18_shadow_parity(spark, sf_dir):
-    """Whether a replay that resumes after half of the dates ends where a full one does, for every team."""
+    """Every team's rating by a full replay and by one that resumes after half of the dates, and whether both agree."""
     from ..operators import replay
 
     series = S.resolve_series(contest_games(spark, sf_dir))
@@ -662,4 +662,6 @@ def k18_shadow_parity(spark, sf_dir):
     half, _ = replay.replay_by_date(series.where(F.unix_date("date") <= middle))
     last = series.where(F.unix_date("date") <= middle).agg(F.max(F.unix_date("date"))).first()[0]
     resumed, _ = replay.replay_by_date(series, half, last)
-    return I.parity(full, resumed, ["team"], ["rating", "uncertainty"])
+    same = I.parity(full, resumed, ["team"], ["rating", "uncertainty"])
+    both = full.select("team", half_up(F.col("rating"), 2).alias("rating")).join(resumed.select("team", half_up(F.col("rating"), 2).alias("resumed")), "team")
+    return both.join(same, "team").select("team", "rating", "resumed", "same")
