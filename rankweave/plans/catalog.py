@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis_queries, board_queries, event_queries, history_queries, model_queries, player_queries, region_queries, replay_queries, series_queries, source_queries, stream_queries  # noqa: F401
+from . import analysis_queries, board_queries, event_queries, history_queries, ledger_queries, model_queries, player_queries, region_queries, replay_queries, series_queries, source_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
