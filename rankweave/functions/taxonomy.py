@@ -12,10 +12,10 @@ TIER_PRIORS = {"tier-one": 1500.0, "tier-two": 1450.0, "tier-three": 1375.0, "em
 TIER_CAPS = {"emerging": 1375.0, "unknown": 1250.0}
 PROFILE_SCORES = {"tier-one": 5, "tier-two": 4, "tier-three": 3, "emerging": 2, "unknown": 1}
 LEAGUES_BY_TIER = {
-    "tier-one": "LCK|LPL",
-    "tier-two": "LEC|LCS|LTA|LTA N|LCP",
-    "tier-three": "LTA S|CBLOL|VCS|PCS|LJL|LLA|LCO",
-    "emerging": "TCL|NACL|LCKC|LCK CL|LAS|LFL|LFL2|NLC|NL|PRM|PRMP|LVP SL|LES|LIT|RL|NEXO|CCWS|HC|IC|EM|EMEA MASTERS|AL|HM|HW|HLL|EBL|LPLOL|CD|ROL|LRN|LRS|LTS|CT",
+    "tier-one": ("LCK", "LPL"),
+    "tier-two": ("LEC", "LCS", "LTA", "LTA N", "LCP"),
+    "tier-three": ("LTA S", "CBLOL", "VCS", "PCS", "LJL", "LLA", "LCO"),
+    "emerging": ("TCL", "NACL", "LCKC", "LCK CL", "LAS", "LFL", "LFL2", "NLC", "NL", "PRM", "PRMP", "LVP SL", "LES", "LIT", "RL", "NEXO", "CCWS", "HC", "IC", "EM", "EMEA MASTERS", "AL", "HM", "HW", "HLL", "EBL", "LPLOL", "CD", "ROL", "LRN", "LRS", "LTS", "CT"),
 }
 EMERGING_WORDS = r"\bacademy\b|\bchallengers?\b|\bdevelopment\b|\bdivision\s*2\b|\bd2\b|\belite\b|\bnational\b|\bproving grounds\b|\bsecondary\b"
 CONNECTIVITY = 8.0
@@ -90,16 +90,20 @@ TIER_RULES = (
 INTERNATIONAL_LEAGUES = ("MSI", "WORLDS", "WORLD", "WLD", "WLDS", "FST", "EWC")
 TIER_RANKS = {"qualifier": 0, "regional-regular": 1, "major-playoffs": 2, "minor-international": 3, "msi-play-in": 4, "worlds-main": 5, "msi-bracket": 6, "worlds-playoffs": 7}
 #: Region by whole league code, then by parts of it.
-REGION_CODES = (("LEC", "AL|CCWS|CT|EBL|EM|HC|HLL|HM|HW|IC|LES|LFL2|LIT|LPLOL|NEXO|NL|PRMP|RL|ROL"), ("CBLOL", "CD|LRN|LRS"), ("LCP", "LTS"))
+REGION_CODES = (
+    ("LEC", ("AL", "CCWS", "CT", "EBL", "EM", "HC", "HLL", "HM", "HW", "IC", "LES", "LFL2", "LIT", "LPLOL", "NEXO", "NL", "PRMP", "RL", "ROL")),
+    ("CBLOL", ("CD", "LRN", "LRS")),
+    ("LCP", ("LTS",)),
+)
 REGION_PARTS = (
-    ("LCK", "LCK|LAS"),
-    ("LPL", "LPL|DCUP|DEMACIA CUP"),
-    ("LEC", "LEC|EMEA|LFL|NLC|PRM|LVP|SUPERLIGA|TCL|ARABIAN|HITPOINT|ROAD OF LEGENDS"),
-    ("LCS", "LCS|LTA N|LTA NORTH|NACL"),
-    ("LCP", "LCP|LJL|LCO"),
-    ("CBLOL", "CBLOL|LTA S|LTA SOUTH|LLA|CIRCUITO DESAFIANTE"),
-    ("VCS", "VCS"),
-    ("PCS", "PCS"),
+    ("LCK", ("LCK", "LAS")),
+    ("LPL", ("LPL", "DCUP", "DEMACIA CUP")),
+    ("LEC", ("LEC", "EMEA", "LFL", "NLC", "PRM", "LVP", "SUPERLIGA", "TCL", "ARABIAN", "HITPOINT", "ROAD OF LEGENDS")),
+    ("LCS", ("LCS", "LTA N", "LTA NORTH", "NACL")),
+    ("LCP", ("LCP", "LJL", "LCO")),
+    ("CBLOL", ("CBLOL", "LTA S", "LTA SOUTH", "LLA", "CIRCUITO DESAFIANTE")),
+    ("VCS", ("VCS",)),
+    ("PCS", ("PCS",)),
 )
 #: Tournament families by words, and words that rule one out.
 FAMILIES = (
@@ -111,7 +115,7 @@ FAMILIES = (
 NOT_MAIN = r"\b(?:online\s+)?qualifiers?\b|\bregional finals?\b|\broad to\b"
 DEVELOPMENT = r"\b(?:academy|challengers?|youth)\b"
 #: A league's code at the start of an event, before a year, a slash or the end.
-LEADING_LEAGUE = "^(" + "|".join(sorted("|".join(LEAGUES_BY_TIER.values()).split("|"), key=lambda x: (-len(x), x))) + r")(?:\s+\d{4}\b|/|\s*$)"
+LEADING_LEAGUE = "^(" + "|".join(sorted((x for own in LEAGUES_BY_TIER.values() for x in own), key=lambda x: (-len(x), x))) + r")(?:\s+\d{4}\b|/|\s*$)"
 
 
 def any_case(pattern: str) -> str:
@@ -158,7 +162,7 @@ def league_tier(league: Column) -> Column:
     own = code(F.coalesce(league, F.lit("")))
     out = F.when(league.rlike(any_case(EMERGING_WORDS)), "emerging").otherwise("unknown")
     for tier, leagues in reversed(LEAGUES_BY_TIER.items()):
-        out = F.when(own.isin(*leagues.split("|")), tier).otherwise(out)
+        out = F.when(own.isin(*leagues), tier).otherwise(out)
     return F.when(own.isin("", "UNKNOWN"), "unknown").otherwise(out)
 
 
@@ -178,9 +182,9 @@ def effective_league_rating(league: Column, raw: Column, abroad: Column) -> Colu
 
 def region_of_league(league: Column) -> Column:
     own = code(F.coalesce(league, F.lit("")))
-    out = first_rule(own, REGION_PARTS, "International")
+    out = first_rule(own, [(region, "|".join(parts)) for region, parts in REGION_PARTS], "International")
     for region, codes in reversed(REGION_CODES):
-        out = F.when(own.isin(*codes.split("|")), region).otherwise(out)
+        out = F.when(own.isin(*codes), region).otherwise(out)
     return out
 
 

@@ -31,8 +31,8 @@ def rules(subject: str, pairs, default: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({subject}, {quoted(p)}, 'i') THEN {quoted(v)}" for v, p in pairs) + f" ELSE {default} END"
 
 
-def listed(names: str) -> str:
-    return "(" + ", ".join(quoted(x) for x in names.split("|")) + ")"
+def listed(names) -> str:
+    return "(" + ", ".join(map(quoted, names)) + ")"
 
 
 def named_series(spark, sf_dir):
@@ -62,7 +62,7 @@ _EXPLICIT = f"regexp_extract(upper(trim(event)), {quoted(T.LEADING_LEAGUE)}, 1)"
 _LEAGUE = f"CASE WHEN {_EXPLICIT} <> '' THEN {_EXPLICIT} ELSE {rules('event', T.LEAGUE_RULES, quoted('Unknown'))} END"
 PARTS["leagued"] = f"leagued AS (SELECT *, {_LEAGUE} AS league FROM named)"
 _TEXT = "lower(league || ' ' || event)"
-_TIER = f"CASE WHEN contains({_TEXT}, 'road to msi') AND upper(league) NOT IN {listed('|'.join(T.INTERNATIONAL_LEAGUES))} THEN 'major-playoffs' " + " ".join(f"WHEN regexp_matches({_TEXT}, {quoted(p)}) THEN CASE WHEN playoffs THEN {quoted(a)} ELSE {quoted(b)} END" for p, a, b in T.TIER_RULES) + " WHEN playoffs THEN 'major-playoffs' ELSE 'regional-regular' END"
+_TIER = f"CASE WHEN contains({_TEXT}, 'road to msi') AND upper(league) NOT IN {listed(T.INTERNATIONAL_LEAGUES)} THEN 'major-playoffs' " + " ".join(f"WHEN regexp_matches({_TEXT}, {quoted(p)}) THEN CASE WHEN playoffs THEN {quoted(a)} ELSE {quoted(b)} END" for p, a, b in T.TIER_RULES) + " WHEN playoffs THEN 'major-playoffs' ELSE 'regional-regular' END"
 
 
 def league_tier_sql(x: str) -> str:
@@ -72,7 +72,7 @@ def league_tier_sql(x: str) -> str:
 
 def region_sql(x: str) -> str:
     own = f"upper(trim({x}))"
-    return "CASE " + " ".join(f"WHEN {own} IN {listed(c)} THEN {quoted(r)}" for r, c in T.REGION_CODES) + " " + " ".join(f"WHEN regexp_matches({own}, {quoted(p)}) THEN {quoted(r)}" for r, p in T.REGION_PARTS) + " ELSE 'International' END"
+    return "CASE " + " ".join(f"WHEN {own} IN {listed(c)} THEN {quoted(r)}" for r, c in T.REGION_CODES) + " " + " ".join(f"WHEN regexp_matches({own}, {quoted('|'.join(p))}) THEN {quoted(r)}" for r, p in T.REGION_PARTS) + " ELSE 'International' END"
 
 
 _FAMILY = "CASE " + " ".join(f"WHEN regexp_matches(event, {quoted(p)}, 'i')" + (f" AND NOT regexp_matches(event, {quoted(w)}, 'i')" if w else "") + f" THEN {quoted(f)}" for f, p, w in T.FAMILIES) + " END"
@@ -106,7 +106,7 @@ def j6_event_phase(spark, sf_dir):
     return named_series(spark, sf_dir).select("series_id", N.event_phase(F.concat_ws(" ", "event", "phase")).alias("event_phase"))
 
 
-@query("j7_league_regions", f"SELECT DISTINCT league, {region_sql('league')} AS region, CASE WHEN upper(trim(league)) IN {listed('|'.join(T.FEEDERS))} OR {region_sql('league')} IN {listed('|'.join(T.FEEDER_REGIONS))} THEN 'LCP' ELSE {region_sql('league')} END AS current_region FROM leagued", "series named leagued")
+@query("j7_league_regions", f"SELECT DISTINCT league, {region_sql('league')} AS region, CASE WHEN upper(trim(league)) IN {listed(T.FEEDERS)} OR {region_sql('league')} IN {listed(T.FEEDER_REGIONS)} THEN 'LCP' ELSE {region_sql('league')} END AS current_region FROM leagued", "series named leagued")
 def j7_league_regions(spark, sf_dir):
     region = T.region_of_league(F.col("league"))
     return leagued(spark, sf_dir).select("league").distinct().select("league", region.alias("region"), T.current_region(F.col("league"), region).alias("current_region"))
@@ -143,7 +143,7 @@ def j10_tournaments(spark, sf_dir):
     return named_series(spark, sf_dir).select("series_id", "event", T.tournament_family(event).alias("family"), T.tournament_season(event, season).alias("tournament_season"), T.tournament_id(event, season).alias("tournament"))
 
 
-@query("c2_rated_teams", f"SELECT team_a AS team, count(*) AS series FROM leagued WHERE upper(trim(league)) IN {listed('|'.join(T.RATED))} GROUP BY team_a", "series named leagued")
+@query("c2_rated_teams", f"SELECT team_a AS team, count(*) AS series FROM leagued WHERE upper(trim(league)) IN {listed(T.RATED)} GROUP BY team_a", "series named leagued")
 def c2_rated_teams(spark, sf_dir):
     return leagued(spark, sf_dir).where(T.is_rated_league(F.col("league"))).groupBy(F.col("team_a").alias("team")).agg(F.count("*").alias("series"))
 
@@ -207,7 +207,7 @@ def f30_profile_merge(spark, sf_dir):
     return seen.union(own).withColumn("r", best).where("r = 1").select("team", "league", "score")
 
 
-@query("p32_league_profiles", f"SELECT DISTINCT league, {case(league_tier_sql('league'), T.PROFILE_SCORES)} AS profile_score, upper(trim(league)) IN {listed('|'.join(T.RATED))} AS rated FROM leagued", "series named leagued")
+@query("p32_league_profiles", f"SELECT DISTINCT league, {case(league_tier_sql('league'), T.PROFILE_SCORES)} AS profile_score, upper(trim(league)) IN {listed(T.RATED)} AS rated FROM leagued", "series named leagued")
 def p32_league_profiles(spark, sf_dir):
     score = F.create_map(*[F.lit(x) for p in T.PROFILE_SCORES.items() for x in p])[T.league_tier(F.col("league"))]
     return leagued(spark, sf_dir).select("league").distinct().select("league", score.alias("profile_score"), T.is_rated_league(F.col("league")).alias("rated"))
@@ -289,7 +289,7 @@ def c15_catalog_search(spark, sf_dir):
     return catalog_search(rows, text="N_1", event="cup").select("series_id", "league")
 
 
-@query("c17_power_regions", f", r AS (SELECT league, {region_sql('league')} AS region FROM leagued) SELECT league, region, count(*) AS series, upper(trim(region)) IN {listed('|'.join(T.RATED))} AS counted FROM r GROUP BY ALL", "series named leagued")
+@query("c17_power_regions", f", r AS (SELECT league, {region_sql('league')} AS region FROM leagued) SELECT league, region, count(*) AS series, upper(trim(region)) IN {listed(T.RATED)} AS counted FROM r GROUP BY ALL", "series named leagued")
 def c17_power_regions(spark, sf_dir):
     rows = leagued(spark, sf_dir).groupBy("league").agg(F.count("*").alias("series")).withColumn("region", T.region_of_league(F.col("league")))
     return rows.select("league", "region", "series", T.is_rated_league(F.col("region")).alias("counted"))

@@ -48,7 +48,7 @@ ledger_walk AS (SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS period, team
 frozen_sides AS (SELECT i, period, team, fr AS r, fm AS m, fu AS u, fx AS x FROM ledger_walk WHERE i > 0),
 ledger_moves AS (SELECT s.series_id, s.period, s.team, s.done, s.lost, s.gl, {_moves('a', 'b')}, list_transform(range(0, len(s.gl) + 1), lambda c: {_reach('a', 'b', 's.gl[1:c]')}.e) AS ends, list_transform(range(0, len(s.gl) + 1), lambda c: {_reach('a', 'b', 's.gl[1:c]')}.f) AS others, a.m AS am, b.m AS bm
   FROM ledger_sides s JOIN frozen_sides a ON a.period = s.period AND a.team = s.team JOIN frozen_sides b ON b.period = s.period AND b.team = s.opponent),
-by_game AS (SELECT series_id, gl[c].g AS game_number, team, done AND c = len(gl) AS final, stable, form, lost, {_CHANCE('ends[c] + am', 'others[c] + bm')} AS execution_expected, ends[c + 1] - ends[c] AS execution_delta FROM (SELECT *, unnest(range(1, len(gl) + 1)) AS c FROM ledger_moves))"""
+by_game AS (SELECT series_id, gl[c].g AS game_number, team, done AND c = len(gl) AS final, stable, form, lost, {_CHANCE('ends[c] + am', 'others[c] + bm')} AS execution_expected, floor(ends[c + 1] - ends[c] + 0.5::DOUBLE) AS execution_delta FROM (SELECT *, unnest(range(1, len(gl) + 1)) AS c FROM ledger_moves))"""
 
 
 def ledger_of(spark, sf_dir):
