@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rounding import half_up
 from ..functions.taxonomy import any_case
+from .eras import overlap_join
+from .series import sides, won
 
 #: K, cap and most stage points of a placement by kind of event; points of a stage by words.
 PLACEMENT = {"worlds": (2.0, 35.0, 11.0), "msi": (1.65, 25.0, 11.0), "minor": (1.25, 18.0, 8.0)}
@@ -112,6 +114,39 @@ def placement_residuals(matches: DataFrame, powers: DataFrame) -> DataFrame:
     return out.select("event_key", "league", "actual", half_up(F.col("expected"), 4).alias("expected"), "representatives", F.when(F.abs(delta) >= 0.05, delta).alias("delta"))
 
 
+def powers_before(games: DataFrame, entries: DataFrame) -> DataFrame:
+    """(event_key, team, power) of ``entries`` (event_key, team, start): ratings by the shrunken win rate in games before the event's first date.
+
+    Each team's totals hold from one of its dates to the next; an event finds those of the day before it
+    by a join on team and bins of dates. Teams that had not played yet are left out.
+    """
+    from pyspark.sql.window import Window
+
+    days = sides(games).groupBy("team", "date").agg(F.count("*").alias("n"), F.count_if(won()).alias("w"))
+    so_far = Window.partitionBy("team").orderBy("date")
+    total = lambda c: F.sum(c).over(so_far.rowsBetween(Window.unboundedPreceding, 0))
+    known = days.select("team", F.col("date").alias("since"), F.date_sub(F.lead("date").over(so_far), 1).alias("until"), total("n").alias("n"), total("w").alias("w"))
+    asked = entries.select("event_key", "team", F.date_sub("start", 1).alias("day")).distinct()
+    found = overlap_join(asked, known, ("day", "day"), ("since", "until"), ("team",))
+    return found.select("event_key", "team", half_up(1500.0 + 400.0 * ((F.col("w") + 1.0) / (F.col("n") + 2.0) - 0.5), 1).alias("power"))
+
+
+def placed_scores(residuals: DataFrame, ends: DataFrame, priors: DataFrame) -> DataFrame:
+    """Each league's score after each of its events: ``residuals`` applied on the day the event ends (event_key, end), on top of ``priors`` (league, prior).
+
+    What an event gives reaches later dates only: ``before`` is the score that counts until its end, which all
+    events that end on one day share.
+    """
+    from pyspark.sql.window import Window
+
+    rows = residuals.where("delta is not null").join(ends, "event_key").join(priors, "league")
+    exact = F.col("delta").cast("decimal(18,1)")
+    w = Window.partitionBy("league").orderBy(F.unix_date("end"))
+    earlier = F.coalesce(F.sum(exact).over(w.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    after = F.sum(exact).over(w.rangeBetween(Window.unboundedPreceding, 0)).cast("double")
+    return rows.select("league", "event_key", "end", "delta", half_up(F.col("prior") + earlier, 1).alias("before"), half_up(F.col("prior") + after, 1).alias("score"))
+
+
 def unresolved(events: DataFrame, most: int = 12, samples: int = 5) -> DataFrame:
     """The events without a league that most matches have, with a few of their teams: ``events`` has event, league, team."""
     from pyspark.sql.window import Window

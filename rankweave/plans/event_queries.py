@@ -250,27 +250,47 @@ def k19_lifecycles(spark, sf_dir):
     return U.lifecycles(rated, plan, F.lit(last))
 
 
-@query(
-    "l11_placement_residuals",
-    f""", m AS (SELECT instance AS event_key, CASE WHEN instance LIKE 'worlds%' THEN 'worlds' WHEN instance LIKE 'msi%' THEN 'msi' ELSE 'minor' END AS kind, lower(phase || ' ' || event) AS text, tier, team_a, team_b, league_a, league_b, winner FROM staged WHERE instance IS NOT NULL),
+_PLACED = f""", m AS (SELECT instance AS event_key, CASE WHEN instance LIKE 'worlds%' THEN 'worlds' WHEN instance LIKE 'msi%' THEN 'msi' ELSE 'minor' END AS kind, lower(phase || ' ' || event) AS text, tier, team_a, team_b, league_a, league_b, winner FROM staged WHERE instance IS NOT NULL),
 pts AS (SELECT *, regexp_matches(text, {quoted(U.FINAL)}) AND NOT regexp_matches(text, {quoted(U.SEMI)}) AND NOT regexp_matches(text, {quoted(U.QUARTER)}) AS final, CASE WHEN regexp_matches(text, {quoted(U.QUARTER)}) THEN 3 WHEN regexp_matches(text, {quoted(U.SEMI)}) THEN 5 WHEN tier IN ('worlds-playoffs', 'msi-bracket') THEN 3 ELSE 1 END AS each FROM m),
 both_ AS (SELECT event_key, kind, team_a AS team, league_a AS league, CASE WHEN final THEN CASE WHEN winner = team_a THEN 11 ELSE 8 END ELSE each END AS points FROM pts UNION ALL SELECT event_key, kind, team_b, league_b, CASE WHEN final THEN CASE WHEN winner = team_b THEN 11 ELSE 8 END ELSE each END FROM pts),
-t AS (SELECT b.event_key, b.team, max(kind) AS kind, max(b.league) AS league, max(points) AS points, any_value(r.rating) AS power FROM both_ b JOIN records r ON b.team = r.team GROUP BY b.event_key, b.team),
+starts AS (SELECT instance AS event_key, min(date) AS s FROM staged WHERE instance IS NOT NULL GROUP BY instance),
+earlier AS (SELECT b.event_key, b.team, {r4('1500.0::DOUBLE + 400.0::DOUBLE * ((count(*) FILTER (g.winner = g.team) + 1.0::DOUBLE) / (count(*) + 2.0::DOUBLE) - 0.5::DOUBLE)', 1)} AS power FROM (SELECT DISTINCT event_key, team FROM both_) b JOIN starts USING (event_key) JOIN sides g ON g.team = b.team AND g.date < s GROUP BY ALL),
+t AS (SELECT b.event_key, b.team, max(kind) AS kind, max(b.league) AS league, max(points) AS points, coalesce(any_value(r.power), 1500.0::DOUBLE) AS power FROM both_ b LEFT JOIN earlier r ON b.team = r.team AND b.event_key = r.event_key GROUP BY b.event_key, b.team),
 w AS (SELECT *, CAST(round(exp((power - max(power) OVER (PARTITION BY event_key)) / 400.0::DOUBLE), 8) AS DECIMAL(20,8)) AS weight FROM t),
 x AS (SELECT *, CAST(round(1.0::DOUBLE + CAST(weight AS DOUBLE) / CAST(sum(weight) OVER (PARTITION BY event_key) AS DOUBLE) * (CASE kind WHEN 'minor' THEN 8.0::DOUBLE ELSE 11.0::DOUBLE END - 1.0::DOUBLE), 6) AS DECIMAL(20,6)) AS expected FROM w),
 g AS (SELECT event_key, league, max(kind) AS kind, CAST(sum(points) AS BIGINT) AS actual, CAST(sum(expected) AS DOUBLE) AS expected, count(DISTINCT team) AS representatives FROM x GROUP BY ALL),
-d AS (SELECT *, {r4("greatest(least(CASE kind WHEN 'worlds' THEN 2.0::DOUBLE WHEN 'msi' THEN 1.65::DOUBLE ELSE 1.25::DOUBLE END * (actual - expected) / sqrt(representatives::DOUBLE), CASE kind WHEN 'worlds' THEN 35.0::DOUBLE WHEN 'msi' THEN 25.0::DOUBLE ELSE 18.0::DOUBLE END), -CASE kind WHEN 'worlds' THEN 35.0::DOUBLE WHEN 'msi' THEN 25.0::DOUBLE ELSE 18.0::DOUBLE END)", 1)} AS delta FROM g)
-SELECT event_key, league, actual, {r4('expected')} AS expected, representatives, CASE WHEN abs(delta) >= 0.05 THEN delta END AS delta FROM d""",
-    "sides records series named staged",
-)
+d AS (SELECT *, {r4("greatest(least(CASE kind WHEN 'worlds' THEN 2.0::DOUBLE WHEN 'msi' THEN 1.65::DOUBLE ELSE 1.25::DOUBLE END * (actual - expected) / sqrt(representatives::DOUBLE), CASE kind WHEN 'worlds' THEN 35.0::DOUBLE WHEN 'msi' THEN 25.0::DOUBLE ELSE 18.0::DOUBLE END), -CASE kind WHEN 'worlds' THEN 35.0::DOUBLE WHEN 'msi' THEN 25.0::DOUBLE ELSE 18.0::DOUBLE END)", 1)} AS delta FROM g)"""
+
+
+@query("l11_placement_residuals", f"""{_PLACED}
+SELECT event_key, league, actual, {r4('expected')} AS expected, representatives, CASE WHEN abs(delta) >= 0.05 THEN delta END AS delta FROM d""", "sides series named staged")
 def l11_placement_residuals(spark, sf_dir):
     kind = F.when(F.col("instance").startswith("worlds"), "worlds").when(F.col("instance").startswith("msi"), "msi").otherwise("minor")
     rows = staged(spark, sf_dir).where("instance is not null").withColumns({"event_key": F.col("instance"), "kind": kind, "multiplier": F.lit(1.0)})
-    keys = rows.select("event_key").distinct()
-    powers = keys.crossJoin(F.broadcast(records(spark, sf_dir).select("team", F.col("rating").alias("power"))))
+    each = rows.select("event_key", "date", F.explode(F.array("team_a", "team_b")).alias("team"))
+    start = rows.groupBy("event_key").agg(F.min("date").alias("start"))
+    powers = U.powers_before(contest_games(spark, sf_dir), each.join(start, "event_key"))
     return U.placement_residuals(rows, powers)
 
 
+_PRIORS = {"AFRICA": 1300.0, "AMERICA": 1450.0, "ASIA": 1500.0, "EUROPE": 1450.0}
+
+
+@query(
+    "p8_placed_scores",
+    f"""{_PLACED}, ends AS (SELECT instance AS event_key, max(date) AS "end" FROM staged WHERE instance IS NOT NULL GROUP BY instance), moved AS (SELECT d.league, d.event_key, e."end", d.delta, {case('d.league', _PRIORS, '1250.0::DOUBLE')} AS prior FROM d JOIN ends e USING (event_key) WHERE abs(d.delta) >= 0.05)
+SELECT a.league, a.event_key, a."end", a.delta, {r4('a.prior + coalesce(CAST(sum(CAST(b.delta AS DECIMAL(18,1))) FILTER (b."end" < a."end") AS DOUBLE), 0.0::DOUBLE)', 1)} AS before, {r4('a.prior + CAST(sum(CAST(b.delta AS DECIMAL(18,1))) AS DOUBLE)', 1)} AS score FROM moved a JOIN moved b ON b.league = a.league AND b."end" <= a."end" GROUP BY a.league, a.event_key, a."end", a.delta, a.prior""",
+    "sides series named staged",
+)
+def p8_placed_scores(spark, sf_dir):
+    """Every league's score before and after each event whose placements move it, from the day that the event ends."""
+    ends = staged(spark, sf_dir).where("instance is not null").groupBy(F.col("instance").alias("event_key")).agg(F.max("date").alias("end"))
+    residuals = l11_placement_residuals(spark, sf_dir)
+    leagues = residuals.select("league").distinct()
+    prior = F.coalesce(F.create_map(*[F.lit(x) for p in _PRIORS.items() for x in p])[F.col("league")], F.lit(1250.0))
+    return U.placed_scores(residuals, ends, leagues.select("league", prior.alias("prior")))
+
+
 @query("f34_representatives", "SELECT instance, league, count(DISTINCT team) AS representatives FROM (SELECT instance, team_a AS team, league_a AS league FROM staged UNION ALL SELECT instance, team_b, league_b FROM staged) WHERE instance IS NOT NULL GROUP BY ALL", "series named staged")
 def f34_representatives(spark, sf_dir):
     return S.sides(staged(spark, sf_dir)).where("instance is not null").groupBy("instance", "league").agg(F.countDistinct("team").alias("representatives"))
