@@ -32,8 +32,8 @@ IMPACT, IMPACT_LOW, IMPACT_HIGH = (0.12, 0.06, 0.04), 0.7, 1.45
 #: Fixed values of residuals: weights of control means, of the opponent's strength, and the score's scale and limits.
 CONTROLS = {"role": 0.35, "role_league": 0.25, "role_side": 0.1, "role_patch": 0.15, "role_tier": 0.15}
 PROXY, RESIDUAL_SCALE, RESIDUAL_LOW, RESIDUAL_HIGH, RESIDUAL_GAMES = 0.28, 100.0, 40.0, 160.0, 60
-#: Dates that one step of the replay folds.
-DATES = 256
+#: Dates, and about as many rows, that one step of the replay folds; a date is never divided.
+DATES, ROWS = 256, 2_000_000
 
 
 def baseline(role: Column, i: int) -> Column:
@@ -129,26 +129,38 @@ def fold_roles(dates: list[int]):
     return fold
 
 
+def steps(dates: list[tuple[int, int]]) -> list[list[int]]:
+    """Dates (with their rows, ascending) in steps of DATES dates and ROWS rows at most, or of one date with more."""
+    out, held = [], 0
+    for date, n in dates:
+        if not out or len(out[-1]) == DATES or held + n > ROWS:
+            out.append([])
+            held = 0
+        out[-1].append(date)
+        held += n
+    return out
+
+
 def replay_players(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ratings at the end, ratings that each player had when each of its dates began) from ``matchups`` with a date and tier.
 
     All games of a date are scored from the ratings frozen at its start. Players meet their own role only,
-    so each role is folded by itself, DATES dates a step; a task holds one role's players and a step's rows.
+    so each role is folded by itself, DATES dates and ROWS rows a step, however many games there are: a task
+    holds the players of one role and a step's rows, or those of one date where that alone has more.
     """
     spark = pairs.sparkSession
     path = new_path(spark, "players")
     rows = pairs.where("date is not null").select(F.unix_date("date").cast("long").alias("period"), "role", "player", "opponent_player", "performance", half_up(event_weight(F.col("tier")), 6).alias("weight"))
     rows = write_back(rows.repartitionByRange("period").sortWithinPartitions("period"), f"{path}/rows")
-    dates = sorted(r["period"] for r in rows.select("period").distinct().collect())  # one number a date
+    dates = sorted((r["period"], r["count"]) for r in rows.groupBy("period").count().collect())  # two numbers a date
     schema = "role string, period long, player long, rating double, games long"
     state = spark.createDataFrame([], schema)
-    for i in range(0, len(dates), DATES):
-        now = dates[i : i + DATES]
+    for i, now in enumerate(steps(dates)):
         part = rows.where(F.col("period").between(now[0], now[-1]))
         folded = state.groupBy("role").cogroup(part.groupBy("role")).applyInArrow(fold_roles(now), schema)
         state = write_back(folded, f"{path}/states/step={i}").where("period is null")
     states = spark.read.schema(schema).parquet(f"{path}/states") if dates else spark.createDataFrame([], schema)
-    return state.select("role", "player", "rating", "games"), states.where("period is not null")
+    return state.select("role", "player", "rating", "games"), states.where("period is not null").select("role", "period", "player", "rating", "games")
 
 
 def league_baseline(league_rating: Column) -> Column:
