@@ -14,25 +14,41 @@ from rankweave.llm import langid, ngram_join, packing, pii, toxicity
 from rankweave.llm.common import stage
 
 
+#: Most rows of an Arrow batch between Spark and Python: documents are long, and both sides hold batches whole.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS, where it has more; results are the same with any number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language can be told; ``und`` ones (null, empty, no letter) are rejected."""
+    small_batches(spark)
     found = langid.identify(docs, langid.fit(docs.select("doc_id", "text", "lang")))
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are likelier not toxic, by a model of the labelled documents among them."""
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.grade(docs, model).where(~F.col("toxic")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word shingles with a Jaccard similarity of 0.75 link: the one with the least doc_id."""
+    small_batches(spark)
     return ngram_join.keep_one(docs, words=5, percent=75)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every span of personal data replaced by its kind and n_chars counted anew."""
+    small_batches(spark)
     spans = "pii_spans"
     out = pii.redact(pii.find_pii(docs, spans_col=spans), spans_col=spans)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
@@ -40,6 +56,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their sequences of at most 4096 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=1)
 
 
