@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.llm import langid, ngram_join, packing, pii, toxicity
-from rankweave.llm.common import stage
+from rankweave.llm.common import stage, unused
 
 
 #: Most rows of an Arrow batch between Spark and Python: documents are long, and both sides hold batches whole.
@@ -26,18 +26,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def keep_columns(docs: DataFrame, names: tuple[str, ...], judge) -> DataFrame:
+    """The rows that ``judge`` keeps of ``docs``, with the columns of ``docs``, those too that are called like one of the ``names`` it makes."""
+    own = [c for c in docs.columns if c.lower() in names]
+    held = dict(zip(own, unused(docs, *(f"own_{c}" for c in own)), strict=True))
+    return judge(docs.withColumnsRenamed(held)).select(*[F.col(held.get(c, c)).alias(c) for c in docs.columns])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language can be told; ``und`` ones (null, empty, no letter) are rejected."""
     small_batches(spark)
-    found = langid.identify(docs, langid.fit(docs.select("doc_id", "text", "lang")))
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
+    model = langid.fit(docs.select("doc_id", "text", "lang"))
+    return keep_columns(docs, ("lang_pred", "score"), lambda df: langid.identify(df, model).where(F.col("lang_pred") != langid.UNKNOWN))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are likelier not toxic, by a model of the labelled documents among them."""
     small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.grade(docs, model).where(~F.col("toxic")).select(docs.columns)
+    return keep_columns(docs, ("severity", "grade", "toxic"), lambda df: toxicity.grade(df, model).where(~F.col("toxic")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +56,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every span of personal data replaced by its kind and n_chars counted anew."""
     small_batches(spark)
-    spans = "pii_spans"
+    (spans,) = unused(docs, "pii_spans")
     out = pii.redact(pii.find_pii(docs, spans_col=spans), spans_col=spans)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
