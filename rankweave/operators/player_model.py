@@ -129,6 +129,27 @@ def fold_roles(dates: list[int]):
     return fold
 
 
+def score_date(state: DataFrame, part: DataFrame) -> DataFrame:
+    """What ``fold_roles`` gives for the rows of one date, by joins and sums: no task holds a role, however many games the date has.
+
+    Deltas are whole tenths, so their sum does not hang on its order.
+    """
+    names = part.select("role", F.explode(F.array("player", "opponent_player")).alias("player")).distinct()
+    every = names.join(state, ["role", "player"], "left").withColumns({"rating": F.coalesce("rating", F.lit(START)), "games": F.coalesce("games", F.lit(0).cast("long"))})
+    own = every.select("role", "player", F.col("rating").alias("own"))
+    other = every.select("role", F.col("player").alias("opponent_player"), F.col("rating").alias("other"))
+    rows = part.join(own, ["role", "player"]).join(other, ["role", "opponent_player"])
+    p = 1.0 / (1.0 + F.pow(F.lit(10.0), (F.col("other") - F.col("own")) / SCALE))
+    tenths = F.floor(K * F.col("weight") * (F.col("performance") - p) * 10.0 + 0.5)
+    moved = rows.groupBy("role", "player").agg(F.max("period").alias("period"), F.sum(tenths).alias("delta"), F.count("*").alias("n"))
+    after = every.join(moved, ["role", "player"], "left")
+    end = half_up(F.col("rating") + F.coalesce("delta", F.lit(0)) / 10.0, 1)
+    ends = F.struct(F.lit(None).cast("long").alias("period"), end.alias("rating"), (F.col("games") + F.coalesce("n", F.lit(0))).alias("games"))
+    begins = F.struct("period", "rating", "games")
+    both = after.select("role", "player", F.inline(F.when(F.col("n").isNull(), F.array(ends)).otherwise(F.array(begins, ends))))
+    return both.select("role", "period", "player", "rating", "games")
+
+
 def steps(dates: list[tuple[int, int]]) -> list[list[int]]:
     """Dates (with their rows, ascending) in steps of DATES dates and ROWS rows at most, or of one date with more."""
     out, held = [], 0
@@ -144,22 +165,30 @@ def steps(dates: list[tuple[int, int]]) -> list[list[int]]:
 def replay_players(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ratings at the end, ratings that each player had when each of its dates began) from ``matchups`` with a date and tier.
 
-    All games of a date are scored from the ratings frozen at its start. Players meet their own role only,
-    so each role is folded by itself, DATES dates and ROWS rows a step, however many games there are: a task
-    holds the players of one role and a step's rows, or those of one date where that alone has more.
+    All games of a date are scored from the ratings frozen at its start. A step takes DATES dates and ROWS rows
+    at most, and only the players who play in it are scored, folded by role; so a task holds ROWS rows and
+    twice as many players at most, however many games and players there are. A date with more rows than that is a
+    step of its own and goes by joins and sums (``score_date``). Rows without a date do not count; rows
+    are compared as they are, so repeated ones count each time.
     """
     spark = pairs.sparkSession
     path = new_path(spark, "players")
     rows = pairs.where("date is not null").select(F.unix_date("date").cast("long").alias("period"), "role", "player", "opponent_player", "performance", half_up(event_weight(F.col("tier")), 6).alias("weight"))
     rows = write_back(rows.repartitionByRange("period").sortWithinPartitions("period"), f"{path}/rows")
-    dates = sorted((r["period"], r["count"]) for r in rows.groupBy("period").count().collect())  # two numbers a date
+    counts = {r["period"]: r["count"] for r in rows.groupBy("period").count().collect()}  # two numbers a date
     schema = "role string, period long, player long, rating double, games long"
     state = spark.createDataFrame([], schema)
-    for i, now in enumerate(steps(dates)):
+    for i, now in enumerate(steps(sorted(counts.items()))):
         part = rows.where(F.col("period").between(now[0], now[-1]))
-        folded = state.groupBy("role").cogroup(part.groupBy("role")).applyInArrow(fold_roles(now), schema)
-        state = write_back(folded, f"{path}/states/step={i}").where("period is null")
-    states = spark.read.schema(schema).parquet(f"{path}/states") if dates else spark.createDataFrame([], schema)
+        playing = part.select("role", F.explode(F.array("player", "opponent_player")).alias("player")).distinct()
+        own = state.drop("period").join(playing, ["role", "player"], "left_semi")
+        if counts[now[0]] > ROWS:
+            moved = score_date(own, part)
+        else:
+            moved = own.groupBy("role").cogroup(part.groupBy("role")).applyInArrow(fold_roles(now), schema)
+        rest = state.join(playing, ["role", "player"], "left_anti").select("role", "period", "player", "rating", "games")
+        state = write_back(moved.unionByName(rest), f"{path}/states/step={i}").where("period is null")
+    states = spark.read.schema(schema).parquet(f"{path}/states") if counts else spark.createDataFrame([], schema)
     return state.select("role", "player", "rating", "games"), states.where("period is not null").select("role", "period", "player", "rating", "games")
 
 
