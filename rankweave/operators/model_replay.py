@@ -39,6 +39,10 @@ NUDGE_GAMES, NUDGE_UNCERTAIN, NUDGE_DAYS, NUDGE_FORMAT, NUDGE_GAP, NUDGE_MOST, N
 #: Dates that one step folds.
 DATES = 128
 SCHEMA = "kind string, period long, name string, rating double, momentum double, uncertainty double, continuity double, power double, played double"
+#: What an entry of an event (one of its teams) has besides; its ``period`` is the day that the event ends.
+ENTRY = "event string, league string, opens long, prior double, points double, k double, cap double, most double"
+#: Placements that move a league's score by less do not count.
+LEAST_DELTA = 0.05
 
 
 def after_worlds(series: DataFrame) -> DataFrame:
@@ -76,6 +80,23 @@ def with_evidence(series: DataFrame) -> DataFrame:
     ).where("team is not null and opponent is not null and date is not null")
 
 
+def with_priors(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``with_evidence`` with ``own_prior``, what a team's roster adds to its power: that of the series (``prior_a``, ``prior_b``), else the one carried from its last date before, else 0."""
+    if "prior_a" not in rows.columns:
+        return rows.withColumn("own_prior", F.lit(0.0))
+    told = F.when(F.col("side_no") == 1, F.col("prior_a")).otherwise(F.col("prior_b"))
+    rows = rows.withColumn("told", told)
+    held = carried(rows.select("team", "period", "series_id", "told")).withColumnRenamed("prior", "held")
+    return rows.join(held, ["team", "period"]).withColumn("own_prior", F.coalesce("told", "held", F.lit(0.0))).drop("told", "held")
+
+
+def carried(told: DataFrame) -> DataFrame:
+    """(team, period, prior): what ``told`` (team, period, series_id, told) leaves a team with before each of its dates, by the last series of an earlier one that tells; null before any."""
+    days = told.groupBy("team", "period").agg(F.max_by("told", "series_id").alias("told"))
+    before = Window.partitionBy("team").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)  # a row a team and date
+    return days.select("team", "period", F.last("told", ignorenulls=True).over(before).alias("prior"))
+
+
 def transfer(rows: DataFrame, tiers: Column, opponent_tiers: Column) -> DataFrame:
     """``rows`` with ``transfer``: all of a series abroad counts; at home as much as the lower of both leagues' tiers."""
     own, other = lookup(TRANSFER, tiers, 0.15), lookup(TRANSFER, opponent_tiers, 0.15)
@@ -100,10 +121,37 @@ def expected_points(rating, other, uncertainty, other_uncertainty, best_of):
     return _round(np.where(best_of <= 2, p, np.where(best_of <= 4, three, five)), 1e4)
 
 
-def fold_model(days: list[tuple], before: tuple | None, priors: dict[str, tuple[float, float]]):
+def placed(event, league, power, points, k, cap, most):
+    """(event, league, delta) of the entries of events that end, in numpy: points made beyond those expected by softmax of the powers before the event."""
+    import numpy as np
+
+    _, at = np.unique(event, return_inverse=True)
+    top = np.full(at.max() + 1, -np.inf)
+    np.maximum.at(top, at, power)
+    weight = np.round(np.exp((power - top[at]) / 400.0), 8)
+    expected = np.round(1.0 + weight / np.bincount(at, weight)[at] * (most - 1.0), 6)
+    (events, leagues), first, at = _groups(event, league)
+    gap = np.round(np.bincount(at, points) - np.bincount(at, expected), 6)
+    delta = _round(np.clip(k[first] * gap / np.sqrt(np.bincount(at)), -cap[first], cap[first]), 10.0)
+    counts = np.abs(delta) >= LEAST_DELTA
+    return events[counts], leagues[counts], delta[counts]
+
+
+def _groups(*keys):
+    """(keys of each group, its first row, each row's group), in numpy."""
+    import numpy as np
+
+    both, first, at = np.unique(np.stack(keys), axis=1, return_index=True, return_inverse=True)
+    return both, first, at.reshape(-1)
+
+
+def fold_model(days: list[tuple], before: tuple | None, priors: dict[str, tuple[float, float]], final: bool = True):
     """The fold of ``days``, each (period, season, split, patch of its first series, its two teams, and season, split and patch of its last).
 
-    ``before`` is the day before them, and ``priors`` has each league's prior and cap.
+    ``before`` is the day before them, and ``priors`` has each league's prior and cap. Entries of events are
+    rows of the state: their powers are taken on the day their event opens, before its series, and the event moves
+    the scores of its leagues on the first day after its end, before anything else; with ``final``, events
+    that have ended by the last day move them too. Entries of events that are over leave the state.
     """
 
     def fold(state, rows):
@@ -114,9 +162,9 @@ def fold_model(days: list[tuple], before: tuple | None, priors: dict[str, tuple[
         def table(kind):
             return state.filter(pc.equal(state.column("kind"), kind))
 
-        team_state, league_state = table("team"), table("league")
-        teams = pc.unique(pa.concat_arrays([team_state.column("name").combine_chunks(), *(rows.column(c).combine_chunks() for c in ("team", "opponent"))]))
-        leagues = pc.unique(pa.concat_arrays([league_state.column("name").combine_chunks(), *(rows.column(c).combine_chunks() for c in ("league", "opponent_league"))]))
+        team_state, league_state, entries = table("team"), table("league"), table("entry")
+        teams = pc.unique(pa.concat_arrays([team_state.column("name").combine_chunks(), entries.column("name").combine_chunks(), *(rows.column(c).combine_chunks() for c in ("team", "opponent"))]))
+        leagues = pc.unique(pa.concat_arrays([league_state.column("name").combine_chunks(), entries.column("league").combine_chunks(), *(rows.column(c).combine_chunks() for c in ("league", "opponent_league"))]))
 
         def start(names, own, column, value):
             out = np.full(len(names), value)
@@ -136,12 +184,30 @@ def fold_model(days: list[tuple], before: tuple | None, priors: dict[str, tuple[
         own, other, home, away = index("team", teams), index("opponent", teams), index("league", leagues), index("opponent_league", leagues)
         number = lambda c: rows.column(c).to_numpy(zero_copy_only=False).astype("float64")
         k, league_k, signal, observed, best_of, share, n, kept = (number(c) for c in ("k", "league_k", "signal", "observed", "best_of", "transfer", "n", "continuity"))
+        own_prior, other_prior = number("own_prior"), number("other_prior")
         abroad = number("abroad") > 0
         edges = np.searchsorted(rows.column("period").to_numpy(), [*(d[0] for d in days), days[-1][0] + 1])
         place = {x: i for i, x in enumerate(teams.to_pylist())}
-        found, last = [], before
+        found, moves, last = [], [], before
+        events = pc.unique(entries.column("event").combine_chunks())
+        spot = lambda c, names: pc.index_in(entries.column(c), value_set=names).to_numpy()
+        entered = lambda c: entries.column(c).to_numpy(zero_copy_only=False).astype("float64")
+        event, entrant, entry_league = spot("event", events), spot("name", teams), spot("league", leagues)
+        opens, closes, powers, entry_prior, *terms = (entered(c) for c in ("opens", "period", "power", "prior", "points", "k", "cap", "most"))
+        over = np.zeros(len(event), "bool")
+
+        def settle(until):
+            due = ~over & ~np.isnan(powers) & (closes < until)
+            if due.any():
+                e, which, delta = placed(event[due], entry_league[due], powers[due], *(x[due] for x in terms))
+                moves.append((closes[due][[np.flatnonzero(event[due] == x)[0] for x in e]].astype("int64"), e, which, delta))
+                over[due] = True
+                return np.bincount(which, delta, len(leagues))
+            return 0.0
+
         for i, day in enumerate(days):
             date, season, split, patch, first, second, *end = day
+            score = score + settle(date)
             if last is not None:
                 gap = date - last[0]
                 hold = KEEP + FADE * np.exp(-gap / FADE_DAYS) if gap > 0 else 1.0
@@ -170,11 +236,13 @@ def fold_model(days: list[tuple], before: tuple | None, priors: dict[str, tuple[
             uncertain[at] = np.where(c < 1, np.clip(uncertain[at] + CHANGE_PENALTY * (1.0 - c), LEAST_UNCERTAIN, MOST_UNCERTAIN), uncertain[at])
             continuity[at] = c
             effective = np.minimum(prior + played / (played + T.CONNECTIVITY) * (score - prior), cap)
+            opening = (opens <= date) & np.isnan(powers)
+            powers[opening] = (rating + momentum)[entrant[opening]] + (effective[entry_league[opening]] - START) + entry_prior[opening]
             playing, first_row = np.unique(a, return_index=True)
             power = np.zeros(len(teams))
             power[playing] = rating[playing] + (effective[la[first_row]] - START) + momentum[playing]
             found.append((np.full(len(playing), date), playing, rating[playing].copy(), momentum[playing].copy(), uncertain[playing].copy(), power[playing].copy()))
-            expected = expected_points(power[a], power[b], uncertain[a], uncertain[b], best_of[now])
+            expected = expected_points(power[a] + own_prior[now], power[b] + other_prior[now], uncertain[a], uncertain[b], best_of[now])
             multiplier = np.clip(1.0 + (uncertain[a] - 50.0) / 100.0, 0.75, 1.75)
             volatile = np.where(np.isnan(continuity[a]), 1.0, np.clip(1.0 + (1.0 - continuity[a]) * 0.5, 1.0, VOLATILE))
             evidence = k[now] * signal[now] * multiplier * volatile * (observed[now] - expected)
@@ -189,23 +257,42 @@ def fold_model(days: list[tuple], before: tuple | None, priors: dict[str, tuple[
             moved = _round(league_k[now] * signal[now] * (observed[now] - expected), 1e3) * n[now]
             score = score + np.bincount(la, moved, len(leagues))
             played = played + np.bincount(la, (league_k[now] > 0) * n[now], len(leagues))
+        if final and last is not None:
+            score = score + settle(last[0] + 1)
         period, who, *values = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, "int64"), np.zeros(0, "int64"), *[np.zeros(0)] * 4)
-        parts = [("frozen", period, teams.take(pa.array(who)), values[0], values[1], values[2], None, values[3], None), ("team", None, teams, rating, momentum, uncertain, continuity, None, None), ("league", None, leagues, score, None, None, None, None, played)]
-        names = ["kind", "period", "name", "rating", "momentum", "uncertainty", "continuity", "power", "played"]
-        kinds = [pa.string(), pa.int64(), pa.string(), *[pa.float64()] * 6]
+        ended, e, which, delta = (np.concatenate(x) for x in zip(*moves, strict=True)) if moves else (*[np.zeros(0, "int64")] * 3, np.zeros(0))
+        schema = state.schema
+
+        def part(kind, names, **values):
+            full = {"kind": pa.array([kind] * len(names), pa.string()), "name": names, **values}
+            return pa.table([pa.array(full[f.name], f.type) if full.get(f.name) is not None else pa.nulls(len(names), f.type) for f in schema], schema=schema)
+
+        held = entries.set_column(entries.schema.get_field_index("power"), "power", pa.array(powers, pa.float64(), mask=np.isnan(powers))).filter(pa.array(~over))
+        return pa.concat_tables(
+            [
+                part("frozen", teams.take(pa.array(who)), period=period, rating=values[0], momentum=values[1], uncertainty=values[2], power=values[3]),
+                part("team", teams, rating=rating, momentum=momentum, uncertainty=uncertain, continuity=continuity),
+                part("league", leagues, rating=score, played=played),
+                part("placed", leagues.take(pa.array(which)), period=ended, rating=delta, event=events.take(pa.array(e))),
+                held.cast(schema),
+            ]
+        )
 
-        def column(value, kind, size):
-            if value is None:
-                return pa.nulls(size, kind)
-            return value if isinstance(value, pa.Array) else pa.array(value, kind)
+    return fold
 
-        made = []
-        for part in parts:
-            size = len(part[2])
-            made.append(pa.table([pa.array([part[0]] * size, pa.string()), *[column(v, t, size) for v, t in zip(part[1:], kinds[1:], strict=True)]], names=names))
-        return pa.concat_tables(made)
 
-    return fold
+def entries_of(events: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the state for ``events`` (event_key, team, league, points, opens, closes, k, cap, most, in dates), with the roster prior that a team has before its event opens."""
+    own = events.where("team is not null and opens is not null and closes is not null").withColumns({c: F.unix_date(c).cast("long") for c in ("opens", "closes")})
+    if "prior_a" in rows.columns:
+        told = rows.select("team", "period", "series_id", F.when(F.col("side_no") == 1, F.col("prior_a")).otherwise(F.col("prior_b")).alias("told"))
+        asked = own.select("team", F.col("opens").alias("period")).distinct().withColumns({"series_id": F.lit(None).cast(told.schema["series_id"].dataType), "told": F.lit(None).cast("double")})
+        own = own.join(carried(told.unionByName(asked)).withColumnRenamed("period", "opens"), ["team", "opens"])
+    else:
+        own = own.withColumn("prior", F.lit(None).cast("double"))
+    made = {"kind": F.lit("entry"), "period": F.col("closes"), "name": F.col("team"), "event": F.col("event_key"), "prior": F.coalesce("prior", F.lit(0.0))}
+    kinds = {f.split()[0]: f.split()[1] for f in f"{SCHEMA}, {ENTRY}".split(", ")}
+    return own.select(*[(made[c] if c in made else F.col(c) if c in own.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
 
 
 def replay_model(series: DataFrame, league_tiers: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -215,6 +302,21 @@ def replay_model(series: DataFrame, league_tiers: dict[str, str]) -> tuple[DataF
     and continuity at the end, leagues their score, effective rating and games abroad; predictions are two
     rows for each completed series with the power that either side had and the expected points. Within a
     date, momentum fades once for each of a team's series and then takes what all of them gave.
+
+    ``series`` may have ``prior_a`` and ``prior_b``, what either roster adds to its team's power in the series, whose
+    players' edges ``player_model.pregame_edges`` gives; a side with null keeps what it had after its last date.
+    """
+    return replay_placed(series, league_tiers)[:3]
+
+
+def replay_placed(series: DataFrame, league_tiers: dict[str, str], events: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``replay_model`` with placements of ``events``: (teams, leagues, predictions, placements).
+
+    ``events`` (see ``tournaments.placement_entries``) has a row for each team of an event. Points are
+    expected by the powers that the replay has before an event's first series; what a league's teams make
+    beyond them moves its score on the first date after the event's end, and so all later powers. Events
+    without an end never count; entries are held by the state from their event's first date to its end only.
+    Placements are (event_key, league, date of the end, delta); deltas below 0.05 and unknown leagues have none.
     """
     spark = series.sparkSession
     path = new_path(spark, "model")
@@ -222,28 +324,37 @@ def replay_model(series: DataFrame, league_tiers: dict[str, str]) -> tuple[DataF
         series = series.withColumn("split", F.lit(""))
     tier = lambda c: F.create_map(*[F.lit(x) for p in league_tiers.items() for x in p])[F.col(c)]
     rows = transfer(with_evidence(series), F.coalesce(tier("league"), F.lit("unknown")), F.coalesce(tier("opponent_league"), F.lit("unknown")))
+    rows = with_priors(rows)
+    others = rows.select("series_id", F.col("team").alias("opponent"), F.col("own_prior").alias("other_prior"))
+    rows = rows.join(others, ["series_id", "opponent"]) if "prior_a" in rows.columns else rows.withColumn("other_prior", F.lit(0.0))
     rows = write_back(rows, f"{path}/rows")
-    by = ["period", "team", "opponent", "league", "opponent_league", "k", "league_k", "signal", "observed", "best_of", "transfer", "abroad", "continuity"]
+    by = ["own_prior", "other_prior", "period", "team", "opponent", "league", "opponent_league", "k", "league_k", "signal", "observed", "best_of", "transfer", "abroad", "continuity"]
     summed = rows.groupBy(*by).agg(F.count("*").cast("double").alias("n")).withColumn("abroad", F.col("abroad").cast("double"))
     summed = write_back(summed.repartitionByRange("period").sortWithinPartitions("period"), f"{path}/summed")
     own = F.struct("season", "split", "patch")
     days = series.where("date is not null").groupBy(F.unix_date("date").cast("long").alias("period")).agg(F.min_by(F.struct("season", "split", "patch", "team_a", "team_b"), "series_id").alias("a"), F.max_by(own, "series_id").alias("b"))
     days = [(r["period"], *r["a"], *r["b"]) for r in days.orderBy("period").collect()]  # one short row a date
     priors = {name: (T.TIER_PRIORS[t], T.TIER_CAPS.get(t, float("inf"))) for name, t in {**league_tiers, "": "unknown"}.items()}
-    state, before = spark.createDataFrame([], SCHEMA), None
+    schema = f"{SCHEMA}, {ENTRY}"
+    state, before = spark.createDataFrame([], schema), None
+    entries = state if events is None else write_back(entries_of(events.where("league is not null and league <> 'Unknown'"), rows), f"{path}/entries")
     one = F.lit(0).alias("one")
     for i in range(0, len(days), DATES):
         now = days[i : i + DATES]
         part = summed.where(F.col("period").between(now[0][0], now[-1][0]))
-        folded = state.groupBy(one).cogroup(part.groupBy(one)).applyInArrow(fold_model(now, before, priors), SCHEMA)
-        state = write_back(folded, f"{path}/states/step={i}").where("kind <> 'frozen'")
+        fresh = entries.where(F.col("opens").between(now[0][0], now[-1][0]))
+        held = state if events is None else state.unionByName(fresh)
+        folded = held.groupBy(one).cogroup(part.groupBy(one)).applyInArrow(fold_model(now, before, priors, now[-1] == days[-1]), schema)
+        state = write_back(folded, f"{path}/states/step={i}").where("kind not in ('frozen', 'placed')")
         before = now[-1]
-    frozen = spark.read.schema(SCHEMA).parquet(f"{path}/states").where("kind = 'frozen'") if days else state.limit(0)
+    states = spark.read.schema(schema).parquet(f"{path}/states") if days else state.limit(0)
+    frozen = states.where("kind = 'frozen'")
+    placements = states.where("kind = 'placed'").select(F.col("event").alias("event_key"), F.col("name").alias("league"), F.date_from_unix_date(F.col("period").cast("int")).alias("date"), F.col("rating").alias("delta"))
     teams = state.where("kind = 'team'").select(F.col("name").alias("team"), "rating", "momentum", "uncertainty", F.nanvl("continuity", F.lit(None).cast("double")).alias("continuity"))
     prior, cap = (lookup({name: v[j] for name, v in priors.items() if name}, F.col("name"), priors[""][j]) for j in (0, 1))
     effective = F.least(prior + F.col("played") / (F.col("played") + T.CONNECTIVITY) * (F.col("rating") - prior), cap)
     leagues = state.where("kind = 'league'").select(F.col("name").alias("league"), F.col("rating").alias("score"), effective.alias("effective"), F.col("played").alias("abroad"))
-    return teams, leagues, predict(rows, frozen)
+    return teams, leagues, predict(rows, frozen), placements
 
 
 def predict(rows: DataFrame, frozen: DataFrame) -> DataFrame:
@@ -251,6 +362,7 @@ def predict(rows: DataFrame, frozen: DataFrame) -> DataFrame:
     f = frozen.select("period", F.col("name").alias("team"), "rating", "power", "uncertainty")
     o = f.withColumnsRenamed({"team": "opponent", "rating": "other_rating", "power": "other_power", "uncertainty": "other_uncertainty"})
     out = rows.join(f, ["period", "team"]).join(o, ["period", "opponent"])
+    out = out.withColumns({"power": F.col("power") + F.col("own_prior"), "other_power": F.col("other_power") + F.col("other_prior")})
     penalty = clamp(1.0 - F.sqrt(F.col("uncertainty") * F.col("uncertainty") + F.col("other_uncertainty") * F.col("other_uncertainty")) / PENALTY_SCALE, PENALTY_FLOOR, 1.0)
 
     def points(own: Column, other: Column) -> Column:

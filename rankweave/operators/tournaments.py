@@ -114,6 +114,22 @@ def placement_residuals(matches: DataFrame, powers: DataFrame) -> DataFrame:
     return out.select("event_key", "league", "actual", half_up(F.col("expected"), 4).alias("expected"), "representatives", F.when(F.abs(delta) >= 0.05, delta).alias("delta"))
 
 
+def placement_entries(matches: DataFrame) -> DataFrame:
+    """A row for each team of each event: event_key, team, league, points, opens, closes, k, cap and most, as ``model_replay.replay_placed`` takes them.
+
+    ``matches`` has event_key, kind, multiplier, date, both sides' team and league, and the columns of ``stage_points``.
+    The least multiplier of an event counts, and a team's league is that of its last match there.
+    """
+    scored = stage_points(matches.where("event_key is not null and date is not null"))
+    side = lambda x: F.struct(F.col(f"team_{x}").alias("team"), F.col(f"league_{x}").alias("league"), F.col(f"points_{x}").alias("points"))
+    rows = scored.select("event_key", "kind", "multiplier", "date", F.explode(F.array(side("a"), side("b"))).alias("s")).select("event_key", "kind", "multiplier", "date", "s.*").where("team is not null")
+    spans = scored.groupBy("event_key").agg(F.min("date").alias("opens"), F.max("date").alias("closes"), F.max("kind").alias("kind"), F.min("multiplier").alias("multiplier"))
+    teams = rows.groupBy("event_key", "team").agg(F.max_by("league", F.struct("date", "league")).alias("league"), F.max("points").alias("points"))
+    pick = lambda i: F.create_map(*[F.lit(x) for kind, v in PLACEMENT.items() for x in (kind, v[i])])[F.col("kind")]
+    out = teams.join(spans, "event_key")
+    return out.select("event_key", "team", "league", "points", "opens", "closes", (pick(0) * F.col("multiplier")).alias("k"), (pick(1) * F.col("multiplier")).alias("cap"), pick(2).alias("most"))
+
+
 def powers_before(games: DataFrame, entries: DataFrame) -> DataFrame:
     """(event_key, team, power) of ``entries`` (event_key, team, start): ratings by the shrunken win rate in games before the event's first date.
 

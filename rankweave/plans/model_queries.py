@@ -13,6 +13,7 @@ from ..operators import model_replay as R
 from ..operators import player_model as P
 from ..operators import series as S
 from ..operators import static_rosters
+from ..operators import tournaments as U
 from ..sources.contest import contest_games, table
 from .analysis_queries import r4
 from .event_queries import case, quoted
@@ -386,15 +387,50 @@ def f14_residual_scores(spark, sf_dir):
 # The whole rating model: an iterative fold, tested against a plain version.
 
 
-def model(spark, sf_dir):
+def rated_series(spark, sf_dir):
+    """Series with split and roster continuity."""
     games = contest_games(spark, sf_dir)
     series = S.resolve_series(games)
     rosters = D.with_continuity(D.rosters_by_date(games)).select(F.col("team").alias("team_a"), "date", F.when(F.col("synergy") > 0, F.col("synergy")).alias("continuity_a"))
     half = F.when(F.month("date") <= 6, "spring").otherwise("summer")
-    series = series.join(rosters, ["team_a", "date"], "left").withColumns({"split": half, "continuity_b": F.lit(None).cast("double")})
+    return series.join(rosters, ["team_a", "date"], "left").withColumns({"split": half, "continuity_b": F.lit(None).cast("double")})
+
+
+def model(spark, sf_dir):
+    series = rated_series(spark, sf_dir)
     return series, R.replay_model(series, LEAGUE_TIERS)
 
 
+def placement_events(spark, sf_dir):
+    """Entries of the international events, each ending with its last completed series."""
+    from .event_queries import staged
+
+    kind = F.when(F.col("instance").startswith("worlds"), "worlds").when(F.col("instance").startswith("msi"), "msi").otherwise("minor")
+    rows = R.after_worlds(staged(spark, sf_dir).where("state = 'completed'")).where("instance is not null")
+    return U.placement_entries(rows.withColumns({"event_key": F.col("instance"), "kind": kind}))
+
+
+def placed_model(spark, sf_dir):
+    """The whole model with placements in it and the edges of either side's players as its roster prior."""
+    edges = l15_pregame_edges(spark, sf_dir).select(F.col("game").alias("series_id"), "team", "edge")
+    series = rated_series(spark, sf_dir)
+    for side in ("a", "b"):
+        series = series.join(edges.withColumnsRenamed({"team": f"team_{side}", "edge": f"prior_{side}"}), ["series_id", f"team_{side}"], "left")
+    return R.replay_placed(series, LEAGUE_TIERS, placement_events(spark, sf_dir))
+
+
+@query("l11_model_placements")
+def l11_model_placements(spark, sf_dir):
+    """What every event's placements gave each league within the replay, expected by the powers before the event."""
+    return placed_model(spark, sf_dir)[3]
+
+
+@query("p9_prior_predictions")
+def p9_prior_predictions(spark, sf_dir):
+    """Both sides of every completed series with expected points by the whole model with roster priors and placements."""
+    return placed_model(spark, sf_dir)[2].select("series_id", "team", "opponent", "power", "p", "p_team_only", "observed").withColumn("power", half_up(F.col("power"), 3))
+
+
 @query("l9_model_states")
 def l9_model_states(spark, sf_dir):
     """Every team's rating, momentum, uncertainty and roster continuity at the end of the whole model's replay."""
