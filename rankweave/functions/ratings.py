@@ -48,6 +48,14 @@ def series_probability(p: Column, best_of: int) -> Column:
     return half_up(sum(comb(best_of, w) * F.pow(p, F.lit(w)) * F.pow(q, F.lit(best_of - w)) for w in range(best_of // 2 + 1, best_of + 1)), 4)
 
 
+def series_points(own: Column, other: Column, uncertainty: Column, other_uncertainty: Column, best_of: Column) -> Column:
+    """Expected points of a series: the chance of a game, drawn to one half by uncertainty, over the format; to four places."""
+    p = 0.5 + (expected(own, other, ODDS_SCALE) - 0.5) * penalty(uncertainty, other_uncertainty)
+    three = p * p * (3.0 - 2.0 * p)
+    five = p * p * p * (10.0 - 15.0 * p + 6.0 * p * p)
+    return half_up(F.when(best_of <= 2, p).when(best_of <= 4, three).otherwise(five), 4)
+
+
 def live_series_probability(p: Column, need_a: Column, need_b: Column) -> Column:
     """Probability of winning ``need_a`` more games before the other side wins ``need_b``: a negative-binomial sum, to four places."""
     ways = lambda k: F.aggregate(F.sequence(F.lit(1), k), F.lit(1.0), lambda s, i: s * (need_a - 1 + i) / i)

@@ -147,7 +147,7 @@ def replay_ledger(series: DataFrame, games: DataFrame, months: int = 1) -> tuple
     by_game = each.select("series_id", F.col("s.game_number").alias("game_number"), "period", "team", unit.alias("unit"), at_end(F.col("stable")).alias("stable_delta"), at_end(F.col("form")).alias("form_delta"), at_end(-F.col("lost")).alias("uncertainty_delta"), F.col("s.expected").alias("execution_expected"), F.col("s.delta").alias("execution_delta"))
     fade = faded(F.col("frozen_momentum"), F.col("series"))
     r4 = lambda x: half_up(x, 4)
-    by_batch = states.select("period", "team", r4(F.col("frozen_rating") - F.col("old_rating")).alias("decay_delta"), r4(F.col("frozen_momentum") - F.col("old_momentum")).alias("season_delta"), fade.alias("fade_delta"), r4(F.col("momentum") - F.col("frozen_momentum") - fade - F.col("form")).alias("cap_delta"), "rating", "momentum", "uncertainty", "execution")
+    by_batch = states.select("period", "team", r4(F.col("frozen_rating") - F.col("old_rating")).alias("decay_delta"), r4(F.col("frozen_momentum") - F.col("old_momentum")).alias("season_delta"), fade.alias("fade_delta"), r4(F.col("momentum") - F.col("frozen_momentum") - fade - F.col("form")).alias("cap_delta"), "rating", "momentum", "uncertainty", "execution", *[f"frozen_{c}" for c in names[1:5]])
     return by_game, by_batch, state.select(*names[:5])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import taxonomy as T
-from ..functions.ratings import EVENT_K, LEAGUE_K, ODDS_SCALE, PENALTY_FLOOR, PENALTY_SCALE, lookup
+from ..functions.ratings import EVENT_K, LEAGUE_K, ODDS_SCALE, PENALTY_FLOOR, PENALTY_SCALE, lookup, series_points
 from ..functions.rounding import clamp, half_up
 from .series import outcome, sides
 from .storage import new_path, write_back
@@ -363,13 +363,9 @@ def predict(rows: DataFrame, frozen: DataFrame) -> DataFrame:
     o = f.withColumnsRenamed({"team": "opponent", "rating": "other_rating", "power": "other_power", "uncertainty": "other_uncertainty"})
     out = rows.join(f, ["period", "team"]).join(o, ["period", "opponent"])
     out = out.withColumns({"power": F.col("power") + F.col("own_prior"), "other_power": F.col("other_power") + F.col("other_prior")})
-    penalty = clamp(1.0 - F.sqrt(F.col("uncertainty") * F.col("uncertainty") + F.col("other_uncertainty") * F.col("other_uncertainty")) / PENALTY_SCALE, PENALTY_FLOOR, 1.0)
 
     def points(own: Column, other: Column) -> Column:
-        p = 0.5 + (1.0 / (1.0 + F.pow(F.lit(10.0), (other - own) / ODDS_SCALE)) - 0.5) * penalty
-        three = p * p * (3.0 - 2.0 * p)
-        five = p * p * p * (10.0 - 15.0 * p + 6.0 * p * p)
-        return half_up(F.when(F.col("best_of") <= 2, p).when(F.col("best_of") <= 4, three).otherwise(five), 4)
+        return series_points(own, other, F.col("uncertainty"), F.col("other_uncertainty"), F.col("best_of"))
 
     return out.select("series_id", "date", "team", "opponent", "league", "opponent_league", "power", "other_power", "uncertainty", "observed", points(F.col("power"), F.col("other_power")).alias("p"), points(F.col("rating"), F.col("other_rating")).alias("p_team_only"))
 

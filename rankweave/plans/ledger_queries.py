@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
+from ..operators import metrics as M
 from ..operators import series as S
+from ..operators import variants as V
 from ..sources.contest import contest_games
-from .analysis_queries import r4
+from .analysis_queries import METRICS, r4
+from .model_queries import l15_pregame_edges
 from .registry import PARTS, query
 
 MONTHS = 3
@@ -74,3 +77,62 @@ SELECT l.team, stable_delta, form_delta, decay_delta, season_delta, fade_delta,
 def p11_ledger_totals(spark, sf_dir):
     """Every team's components over the whole replay, and its published rating, which they lead to without a gap."""
     return L.reconciled(*ledger_of(spark, sf_dir))
+
+
+# Forecasts of every series from the state of the ledger's replay at the start of its batch.
+
+_BLUE = lambda b, n: f"400.0::DOUBLE / ln(10.0::DOUBLE) * ln(({b} + 0.5::DOUBLE) / ({n} - {b} + 0.5::DOUBLE)) * ({n} / ({n} + 24.0::DOUBLE))"
+PARTS["side_edges"] = f"""
+side_days AS (SELECT patch, date, count(*) FILTER ((side_a = 'blue') = (winner = team_a)) AS b, count(*) AS n FROM games WHERE side_a IS NOT NULL GROUP BY ALL),
+side_before AS (SELECT d.patch, d.date, coalesce(sum(s.b) FILTER (s.patch = d.patch), 0) AS pb, coalesce(sum(s.n) FILTER (s.patch = d.patch), 0) AS pn, coalesce(sum(s.b), 0) AS ab, coalesce(sum(s.n), 0) AS an FROM (SELECT DISTINCT patch, date FROM games) d LEFT JOIN side_days s ON s.date < d.date GROUP BY ALL),
+side_edges AS (SELECT patch, date, {r4(f"CASE WHEN pn > 0 THEN {_BLUE('pb', 'pn')} WHEN an > 0 THEN {_BLUE('ab', 'an')} ELSE 0.0::DOUBLE END")} AS edge FROM side_before)"""
+
+
+def _points(own: str, other: str) -> str:
+    return r4(f"list_transform([0.5::DOUBLE + (1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (({other}) - ({own})) / 360.0::DOUBLE)) - 0.5::DOUBLE) * greatest(0.45::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - sqrt(a.u * a.u + b.u * b.u) / 620.0::DOUBLE))], lambda p: CASE WHEN a.best_of <= 2 THEN p WHEN a.best_of <= 4 THEN p * p * (3.0::DOUBLE - 2.0::DOUBLE * p) ELSE p * p * p * (10.0::DOUBLE - 15.0::DOUBLE * p + 6.0::DOUBLE * p * p) END)[1]")
+
+
+_RATED = {
+    "published": "{0}.r + {0}.prior + {0}.m + {0}.side_points",
+    "team_only": "{0}.r",
+    "player_adjusted": "{0}.r + coalesce({0}.edge, 0.0::DOUBLE) + {0}.m",
+    "execution_baseline": "{0}.r + {0}.prior + {0}.m",
+    "execution_adjusted": "{0}.r + {0}.prior + {0}.m + {0}.x - {0}.r",
+}
+PARTS["forecasts"] = f"""
+prior_told AS (SELECT s.series_id, s.team, s.opponent, s.date, s.patch, s.best_of, s.side_no, s.winner, g.edge FROM series_sides s LEFT JOIN edges g ON g.game = s.series_id AND g.team = s.team WHERE s.state = 'completed'),
+last_told AS (SELECT team, date, edge FROM prior_told QUALIFY row_number() OVER (PARTITION BY team, date ORDER BY series_id DESC) = 1),
+held AS (SELECT team, date, last_value(edge IGNORE NULLS) OVER (PARTITION BY team ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM last_told),
+firsts AS (SELECT series_id, max(side_a) FILTER (game_number = 1) AS side_a FROM games GROUP BY series_id),
+rated AS (SELECT t.*, coalesce(t.edge, h.held, 0.0::DOUBLE) AS prior, CASE WHEN f.side_a IS NULL THEN 0.0::DOUBLE WHEN (f.side_a = 'blue') = (t.side_no = 1) THEN e.edge * 0.5::DOUBLE ELSE e.edge * -0.5::DOUBLE END AS side_points, z.r, z.m, z.u, z.x
+  FROM prior_told t JOIN held h ON h.team = t.team AND h.date = t.date JOIN firsts f ON f.series_id = t.series_id JOIN side_edges e ON e.patch = t.patch AND e.date = t.date JOIN frozen_sides z ON z.team = t.team AND z.period = (year(t.date) * 12 + month(t.date) - 1) // {MONTHS}),
+forecasts AS (SELECT a.series_id, a.team, a.opponent, CASE WHEN a.winner IS NULL THEN 0.5::DOUBLE WHEN a.winner = a.team THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS observed, {", ".join(f"{_points(v.format('a'), v.format('b'))} AS {k}" for k, v in _RATED.items())} FROM rated a JOIN rated b ON b.series_id = a.series_id AND b.team = a.opponent)"""
+_PARTS = "series series_sides ledger lines pairs player_walk frozen_players edges side_edges forecasts"
+
+
+@query("l8_side_edges", "SELECT patch, date, edge FROM side_edges", "side_edges")
+def l8_side_edges(spark, sf_dir):
+    """What the blue side was worth before each date of each patch."""
+    return V.side_edges(contest_games(spark, sf_dir))
+
+
+def five_forecasts(spark, sf_dir):
+    games = contest_games(spark, sf_dir)
+    _, batches, _ = ledger_of(spark, sf_dir)
+    frozen = batches.select("period", "team", F.col("frozen_rating").alias("power"), *[F.col(f"frozen_{c}").alias(c) for c in ("rating", "momentum", "uncertainty", "execution")])
+    first = games.groupBy("series_id").agg(F.max(F.when(F.col("game_number") == 1, F.col("side_a"))).alias("side_a"))
+    period = F.floor((F.year("date") * 12 + F.month("date") - 1) / MONTHS).cast("long")
+    series = S.resolve_series(games).join(first, "series_id").withColumn("period", period)
+    return V.forecasts(series, frozen, l15_pregame_edges(spark, sf_dir).withColumnRenamed("game", "series_id"), V.side_edges(games))
+
+
+@query("l6_five_forecasts", "SELECT * FROM forecasts", _PARTS)
+def l6_five_forecasts(spark, sf_dir):
+    """Both sides of every completed series by all five variants of the forecast."""
+    return five_forecasts(spark, sf_dir)
+
+
+@query("f20_five_variants", f"SELECT variant, {METRICS} FROM (SELECT CAST(observed AS INTEGER) AS y, variant, p FROM (UNPIVOT forecasts ON {', '.join(_RATED)} INTO NAME variant VALUE p) WHERE observed <> 0.5) GROUP BY variant", _PARTS)
+def f20_five_variants(spark, sf_dir):
+    """Accuracy, Brier score and log loss of the five variants over all decided series."""
+    return M.forecast_metrics(V.by_variant(five_forecasts(spark, sf_dir)), "variant")

@@ -322,14 +322,14 @@ def j28_player_shares(spark, sf_dir):
 PARTS["frozen_players"] = "frozen_players AS (SELECT t.date, w.player, w.frozen, w.i FROM player_walk w JOIN player_dates t ON t.i = w.i)"
 
 
-@query(
-    "l15_pregame_edges",
-    f""", seen AS (SELECT player, date, coalesce(sum(n) OVER (PARTITION BY player ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS games FROM (SELECT player, date, count(*) AS n FROM pairs GROUP BY ALL)),
+_EDGES = f"""seen AS (SELECT player, date, coalesce(sum(n) OVER (PARTITION BY player ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS games FROM (SELECT player, date, count(*) AS n FROM pairs GROUP BY ALL)),
 r AS (SELECT DISTINCT p.series_id, p.team_a AS team, p.role_name AS role, p.player, f.frozen, s.games, {case('p.league_a', {k: round(min(110.0, max(50.0, 100.0 + (T.TIER_PRIORS[t] - 1500.0) * 0.2)), 1) for k, t in LEAGUE_TIERS.items()})} AS base, {case('p.league_a', {k: P.SIGNAL[t] for k, t in LEAGUE_TIERS.items()})} AS signal FROM pairs p JOIN frozen_players f ON f.date = p.date AND f.player = p.player JOIN seen s ON s.player = p.player AND s.date = p.date),
-e AS (SELECT series_id AS game, team, {total("CASE WHEN games >= 1 THEN " + case('role', P.ROLE_SHARES) + " ELSE 0.0::DOUBLE END")} AS coverage, {total("CASE WHEN games >= 1 THEN " + case('role', P.ROLE_SHARES) + " * (frozen - base) * signal ELSE 0.0::DOUBLE END")} AS edge FROM r GROUP BY ALL)
-SELECT game, team, {r4('coverage')} AS coverage, CASE WHEN coverage >= 0.6 THEN {r4("CASE WHEN abs(2.5::DOUBLE * edge) <= 40.0::DOUBLE THEN 2.5::DOUBLE * edge ELSE sign(2.5::DOUBLE * edge) * least(40.0::DOUBLE + (abs(2.5::DOUBLE * edge) - 40.0::DOUBLE) * 0.4::DOUBLE, 70.0::DOUBLE) END", 1)} ELSE 0.0::DOUBLE END AS edge FROM e""",
-    "lines pairs player_walk frozen_players",
-)
+e AS (SELECT series_id AS game, team, {total("CASE WHEN games >= 1 THEN " + case('role', P.ROLE_SHARES) + " ELSE 0.0::DOUBLE END")} AS coverage, {total("CASE WHEN games >= 1 THEN " + case('role', P.ROLE_SHARES) + " * (frozen - base) * signal ELSE 0.0::DOUBLE END")} AS edge FROM r GROUP BY ALL)"""
+_EDGE = f"""SELECT game, team, {r4('coverage')} AS coverage, CASE WHEN coverage >= 0.6 THEN {r4("CASE WHEN abs(2.5::DOUBLE * edge) <= 40.0::DOUBLE THEN 2.5::DOUBLE * edge ELSE sign(2.5::DOUBLE * edge) * least(40.0::DOUBLE + (abs(2.5::DOUBLE * edge) - 40.0::DOUBLE) * 0.4::DOUBLE, 70.0::DOUBLE) END", 1)} ELSE 0.0::DOUBLE END AS edge FROM e"""
+PARTS["edges"] = f"{_EDGES}, edges AS ({_EDGE})"
+
+
+@query("l15_pregame_edges", f", {_EDGES}\n{_EDGE}", "lines pairs player_walk frozen_players")
 def l15_pregame_edges(spark, sf_dir):
     pairs = player_pairs(spark, sf_dir)
     _, frozen = P.replay_players(pairs)
