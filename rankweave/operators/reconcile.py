@@ -44,7 +44,7 @@ def dimension_lookup(rows: DataFrame, key: str, dimension: DataFrame, names: lis
     spelled = F.array(*[F.struct(F.lower(F.col(n).cast("string")).alias("name"), F.lit(i).alias("i")) for i, n in enumerate(names)])
     listed = dimension.select(F.explode(spelled).alias("n"), kept.alias("found"), F.struct(*order).alias("at")).where("n.name is not null")
     last = listed.groupBy(F.col("n.name").alias("lookup_name")).agg(F.max_by("found", F.struct("at", "n.i")).alias("found"))
-    out = rows.join(F.broadcast(last), F.lower(F.col(key).cast("string")) == F.col("lookup_name"))
+    out = rows.join(last, F.lower(F.col(key).cast("string")) == F.col("lookup_name"))
     return out.select(*[F.col(c) for c in rows.columns], "found.*")
 
 

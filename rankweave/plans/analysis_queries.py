@@ -125,7 +125,7 @@ SELECT league, date, count(*) AS teams, {r4('CAST(sum(score) AS DOUBLE) / count(
 def f8_region_history(spark, sf_dir):
     rows = points(spark, sf_dir)
     league = rows.groupBy("team").agg(F.min("league").alias("league"))
-    ranked = H.daily_ranks(rows).join(F.broadcast(league), "team").withColumn("k", F.row_number().over(Window.partitionBy("league", "date").orderBy(F.col("score").desc(), "team")))
+    ranked = H.daily_ranks(rows).join(league, "team").withColumn("k", F.row_number().over(Window.partitionBy("league", "date").orderBy(F.col("score").desc(), "team")))
     return ranked.where("k <= 3").groupBy("league", "date").agg(F.count("*").alias("teams"), half_up(F.sum("score").cast("double") / F.count("*"), 2).alias("power"))
 
 

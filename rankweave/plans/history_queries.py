@@ -119,7 +119,7 @@ SELECT team, date, series_id, game_number, opponent, gap FROM tagged QUALIFY row
 )
 def g13_biggest_upset(spark, sf_dir):
     rated = records(spark, sf_dir).select("team", "rating")
-    wins = points(spark, sf_dir).where("won").join(F.broadcast(rated), "team").join(F.broadcast(rated.withColumnsRenamed({"team": "opponent", "rating": "other"})), "opponent")
+    wins = points(spark, sf_dir).where("won").join(rated, "team").join(rated.withColumnsRenamed({"team": "opponent", "rating": "other"}), "opponent")
     wins = wins.withColumn("gap", F.col("other") - F.col("rating"))
     best = F.row_number().over(Window.partitionBy("team").orderBy(F.col("gap").desc(), F.col("date").desc(), F.col("series_id").desc(), F.col("game_number").desc()))
     return wins.withColumn("rn", best).where("rn = 1").select("team", "date", "series_id", "game_number", "opponent", "gap")
