@@ -25,6 +25,10 @@ from .registry import PARTS, query
 # Imports: the contest written as files of each source and read back.
 
 
+#: Rows of one file of an export.
+EXPORT_ROWS = 1_000_000
+
+
 def csv_export(spark, sf_dir) -> str:
     """The contest's games as a CSV export: two players a side, and team rows but for qualifiers."""
     games = contest_games(spark, sf_dir)
@@ -69,7 +73,8 @@ def csv_export(spark, sf_dir) -> str:
     each = common.select("*", F.explode(F.array(*rows)).alias("r")).where("r.position <> 'team' or tier <> 'qualifier'")
     out = each.select("gameid", "date", "year", "league", "split", "playoffs", "patch", "url", "bestof", "gamelength", "r.*")
     path = new_path(spark, "export")
-    out.write.csv(path, header=True, escape='"', quoteAll=True)
+    # Files of quoted text cannot be split: they are small and compressed, so that neither a task nor a disk holds much of them.
+    out.write.option("maxRecordsPerFile", EXPORT_ROWS).csv(path, header=True, escape='"', quoteAll=True, compression="gzip")
     return path
 
 
@@ -116,7 +121,7 @@ def wiki_export(spark, sf_dir) -> str:
     text = lambda c: c.cast("string")
     match = F.struct(F.concat_ws("-", text(F.col("series_id")), text(F.col("game_number"))).alias("id"), F.date_format("date", "yyyy-MM-dd").alias("date"), event.alias("event"), F.lit("15.1").alias("patch"), F.col("team_a").alias("teamA"), F.concat(F.lit("  "), F.col("team_b")).alias("teamB"), text(F.col("best_of")).alias("bestOf"), F.col("winner"), text(F.floor("kills")).alias("teamAKills"), F.lit("?").alias("teamBKills"))
     path = new_path(spark, "wiki")
-    games.select(F.lit("wiki").alias("source"), F.array(match).alias("matches")).write.json(path)
+    games.select(F.lit("wiki").alias("source"), F.array(match).alias("matches")).write.json(path, compression="gzip")
     return path
 
 
@@ -162,7 +167,7 @@ def schedule_rows(spark, sf_dir):
     paged = series.where((month > 4) & (month <= 8)).select(F.array(F.struct(both.alias("events"))).alias("schedulePages"))
     deep = series.where(month > 8).select(F.struct(F.struct(both.alias("events")).alias("schedule")).alias("data"))
     for i, part in enumerate((top, paged, deep)):
-        part.write.json(f"{path}/{i}")
+        part.write.json(f"{path}/{i}", compression="gzip")
     return importers.schedule(spark, [f"{path}/{i}" for i in range(3)], whole_files=False)
 
 
@@ -643,8 +648,8 @@ def k3_streamed_completions(spark, sf_dir):
     """Completed matches out of a feed of pages that repeats every one of them, by a stream that runs until the feed is read."""
     pages = schedule_rows(spark, sf_dir).select("match_id", "state", F.col("at").cast("timestamp").alias("at"), "best_of", "teams")
     path = new_path(spark, "feed")
-    pages.write.json(f"{path}/pages")
-    pages.write.mode("append").json(f"{path}/pages")
+    pages.write.json(f"{path}/pages", compression="gzip")
+    pages.write.mode("append").json(f"{path}/pages", compression="gzip")
     found = completion.first_completions(completion.read_feed(spark, f"{path}/pages", pages.schema))
     run = found.select("match_id").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
