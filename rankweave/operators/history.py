@@ -13,12 +13,12 @@ from .storage import new_path, write_back
 GAME_ORDER = ("date", "series_id", "game_number")
 
 
-def team_points(games: DataFrame) -> DataFrame:
-    """A row for each team and game, numbered by ``seq``, with ``score``: 1500 and 10 for each win more than losses so far."""
+def team_points(games: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each team and game, numbered by ``seq``, with ``score``: 1500 and 10 for each win more than losses so far, and ``extra`` columns of ``sides``."""
     w = Window.partitionBy("team").orderBy(*GAME_ORDER)
     rows = sides(games).withColumn("won", won())
     running = F.sum(F.when(F.col("won"), 10).otherwise(-10)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("team", "league", "opponent", "season", "date", "series_id", "game_number", "tier", "won", "player", F.row_number().over(w).cast("long").alias("seq"), (1500 + running).cast("long").alias("score"))
+    return rows.select("team", "league", "opponent", "season", "date", "series_id", "game_number", "tier", "won", "player", F.row_number().over(w).cast("long").alias("seq"), (1500 + running).cast("long").alias("score"), *extra)
 
 
 def form(points: DataFrame, last: int = 5) -> DataFrame:

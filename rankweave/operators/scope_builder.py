@@ -48,23 +48,58 @@ def scope_standings(points: DataFrame) -> DataFrame:
     has the last results in the scope, the newest last.
     """
     by = ["scope", "team"]
-    out = points.groupBy(*by).agg(
+    last = points.select(*by, "seq", "won").withColumn("back", _back(by)).where(F.col("back") <= FORM)
+    return _placed(points.groupBy(*by).agg(*_counts()), last)
+
+
+def _counts() -> list[Column]:
+    return [
         F.count("*").alias("games"),
         F.count_if("won").alias("wins"),
         F.max_by("score", "seq").alias("rating"),
         F.min_by(F.col("score") - F.col("delta"), "seq").alias("before"),
         F.max("score").alias("peak"),
         F.max("date").alias("last_date"),
-    )
-    back = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("seq").desc()))
-    last = points.select(*by, "seq", "won").withColumn("back", back).where(F.col("back") <= FORM)
+    ]
+
+
+def _back(by: list[str]) -> Column:
+    return F.row_number().over(Window.partitionBy(*by).orderBy(F.col("seq").desc()))
+
+
+def _placed(counted: DataFrame, last: DataFrame) -> DataFrame:
+    """Standings from counts by scope and team, and the last rows of each."""
+    by = ["scope", "team"]
     form = last.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "won"))), lambda x: F.when(x.won, "W").otherwise("L")), "").alias("form"))
-    rows = out.join(form, by).withColumn("eligible", F.col("games") >= ELIGIBLE)
+    rows = counted.join(form, by).withColumn("eligible", F.col("games") >= ELIGIBLE)
     place = lambda c: F.row_number().over(Window.partitionBy("scope").orderBy(F.col("eligible").desc(), F.col(c).desc(), "team")).cast("long")  # noqa: E731  a row a team
     rows = rows.withColumns({"rank": place("rating"), "rank_before": place("before")})
     return rows.withColumns({"losses": F.col("games") - F.col("wins"), "moved": F.col("rank_before") - F.col("rank")})
 
 
+def standings_by_cell(points: DataFrame, season: Column, event: Column, regions: list[Column], checkpoint: Column) -> DataFrame:
+    """What ``scope_standings`` gives for ``in_scopes``, from points before they are exploded.
+
+    Points of equal season, event, regions and checkpoint are in the same scopes: a team's are summed up first, and
+    only the sums and the last rows of such a cell go into its scopes. So points are read once, and not once a scope.
+    """
+    cell = {"cell_season": season.cast("string"), "cell_event": event.cast("string"), "cell_checkpoint": checkpoint.cast("string")} | {f"cell_region_{i}": r.cast("string") for i, r in enumerate(regions)}
+    rows = points.withColumns(cell)
+    by = ["team", *cell]
+    scoped = lambda df: in_scopes(df, F.col("cell_season"), F.col("cell_event"), [F.col(f"cell_region_{i}") for i in range(len(regions))], F.col("cell_checkpoint"))
+    sums = scoped(rows.groupBy(*by).agg(*_counts(), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")))
+    counted = sums.groupBy("scope", "team").agg(
+        F.sum("games").alias("games"),
+        F.sum("wins").alias("wins"),
+        F.max_by("rating", "last_seq").alias("rating"),
+        F.min_by("before", "first_seq").alias("before"),
+        F.max("peak").alias("peak"),
+        F.max("last_date").alias("last_date"),
+    )
+    latest = scoped(rows.select(*by, "seq", "won").withColumn("back", _back(by)).where(F.col("back") <= FORM))
+    return _placed(counted, latest.withColumn("back", _back(["scope", "team"])).where(F.col("back") <= FORM))
+
+
 def scope_summaries(standings: DataFrame) -> DataFrame:
     """One row a scope: teams, eligible ones, games, the best team, and the one that rose most (the better ranked of equals)."""
     return standings.groupBy("scope").agg(
@@ -86,3 +121,8 @@ def scope_players(lines: DataFrame, leaders: int = 10) -> tuple[DataFrame, DataF
     out = lines.groupBy("scope", "player").agg(F.count("*").alias("games"), F.count_if("won").alias("wins"), F.sum("kills").cast("double").alias("kills"))
     rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.col("wins").desc(), F.col("games").desc(), "player"))
     return out, out.withColumn("rank", rank.cast("long")).where(F.col("rank") <= leaders)
+
+
+def players_by_scope(lines: DataFrame, season: Column, event: Column, regions: list[Column], checkpoint: Column, leaders: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What ``scope_players`` gives for ``in_scopes``, with lines exchanged by player before they are exploded: what a player has in all scopes is counted where its lines are."""
+    return scope_players(in_scopes(lines.repartition("player"), season, event, regions, checkpoint), leaders)

@@ -242,12 +242,14 @@ _POINTS_ABROAD = """, points AS (SELECT q.team, q.league, q.opponent, q.season,
 PARTS["scope_points"] = PARTS["points"].replace("points AS", "plain_points AS", 1) + _POINTS_ABROAD + "," + PARTS["scoped"]
 
 
-def scoped_points(spark, sf_dir):
-    games = contest_games(spark, sf_dir)
-    abroad = S.sides(games).select("team", "series_id", "game_number", "opponent_league", "kills")
-    rows = H.team_points(games).join(abroad, ["team", "series_id", "game_number"]).withColumn("delta", F.when(F.col("won"), 10).otherwise(-10))
+def scope_parts():
     half = F.when(F.month("date") <= 6, "first").otherwise("second")
-    return L.in_scopes(rows, F.col("season"), F.col("tier"), [F.col("league"), F.col("opponent_league")], half)
+    return F.col("season"), F.col("tier"), [F.col("league"), F.col("opponent_league")], half
+
+
+def all_standings(spark, sf_dir):
+    rows = H.team_points(contest_games(spark, sf_dir), ("opponent_league",)).withColumn("delta", F.when(F.col("won"), 10).otherwise(-10))
+    return L.standings_by_cell(rows, *scope_parts())
 
 
 _STANDINGS = """, counted AS (SELECT scope, team, count(*) AS games, count(*) FILTER (won) AS wins, arg_max(score, seq) AS rating, arg_min(score - CASE WHEN won THEN 10 ELSE -10 END, seq) AS before, max(date) AS last_date FROM scoped GROUP BY ALL),
@@ -258,16 +260,17 @@ placed AS (SELECT c.*, f.form, c.games >= 3 AS eligible, row_number() OVER (PART
 @query("p1_scope_standings", _STANDINGS + " SELECT scope, team, games, wins, games - wins AS losses, rating, before, form, eligible, rank, rank_before - rank AS moved FROM placed", "sides scope_points")
 def p1_scope_standings(spark, sf_dir):
     """Standings and movement of all scopes, built together."""
-    return L.scope_standings(scoped_points(spark, sf_dir)).select("scope", "team", "games", "wins", "losses", "rating", "before", "form", "eligible", "rank", "moved")
+    return all_standings(spark, sf_dir).select("scope", "team", "games", "wins", "losses", "rating", "before", "form", "eligible", "rank", "moved")
 
 
 @query("p1_scope_summaries", _STANDINGS + " SELECT scope, count(*) AS teams, count(*) FILTER (eligible) AS eligible, CAST(sum(games) AS BIGINT) AS sides, arg_min(team, rank) AS best, arg_min(team, struct_pack(m := rank - rank_before, r := rank)) AS riser, max(last_date) AS last_date FROM placed GROUP BY scope", "sides scope_points")
 def p1_scope_summaries(spark, sf_dir):
     """One row for each scope: its teams, its best, and the one that rose most."""
-    return L.scope_summaries(L.scope_standings(scoped_points(spark, sf_dir)))
+    return L.scope_summaries(all_standings(spark, sf_dir))
 
 
 @query("p1_scope_players", "SELECT scope, player, games, wins, kills, rank FROM (SELECT scope, player, count(*) AS games, count(*) FILTER (won) AS wins, CAST(sum(kills) AS DOUBLE) AS kills, row_number() OVER (PARTITION BY scope ORDER BY count(*) FILTER (won) DESC, count(*) DESC, player) AS rank FROM scoped GROUP BY scope, player) WHERE rank <= 10", "sides scope_points")
 def p1_scope_players(spark, sf_dir):
     """The ten leading players of every scope."""
-    return L.scope_players(scoped_points(spark, sf_dir))[1]
+    lines = S.sides(contest_games(spark, sf_dir)).select("season", "tier", "league", "opponent_league", "date", "player", S.won().alias("won"), "kills")
+    return L.players_by_scope(lines, *scope_parts())[1]
