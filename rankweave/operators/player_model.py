@@ -75,10 +75,15 @@ def with_scores(lines: DataFrame) -> DataFrame:
 
 def matchups(lines: DataFrame, key: list[str], order: list[str], carried: tuple[str, ...] = ("player", "league", "side", "raw", "no_win")) -> DataFrame:
     """Scored lines beside their opponent of the same role, with its ``carried`` columns: of each key and role, the first with the second, the third with the fourth."""
-    number = F.row_number().over(Window.partitionBy(*key, "role").orderBy(*order))
-    rows = lines.withColumn("number", number).withColumns({"pair": F.floor((F.col("number") - 1) / 2), "first": F.col("number") % 2 == 1})
-    other = rows.select(*key, "role", "pair", (~F.col("first")).alias("first"), *[F.col(c).alias(f"opponent_{c}") for c in carried])
-    out = rows.join(other, [*key, "role", "pair", "first"])
+    # The opponent is the row after or before in one window: lines are exchanged and sorted once.
+    turn = Window.partitionBy(*key, "role").orderBy(*order)
+    known = F.lit(True)
+    for c in (*key, "role"):
+        known = known & F.col(c).isNotNull()
+    rows = lines.where(known).withColumn("number", F.row_number().over(turn)).withColumns({"pair": F.floor((F.col("number") - 1) / 2), "first": F.col("number") % 2 == 1})
+    one = F.struct(*[F.col(c).alias(f"opponent_{c}") for c in carried])
+    rows = rows.withColumns({"after": F.lead(one).over(turn), "prior": F.lag(one).over(turn)}).withColumn("other", F.when(F.col("first"), F.col("after")).otherwise(F.col("prior")))
+    out = rows.where("other is not null").select("*", "other.*").drop("after", "prior", "other")
     return out.withColumn("performance", half_up(clamp(0.5 + (F.col("raw") - F.col("opponent_raw")) / 2.0, 0.0, 1.0), 6))
 
 
@@ -227,9 +232,9 @@ def with_control(lines: DataFrame, prefix: str = "") -> DataFrame:
     """``lines`` with ``expected``, the mean of its control groups, weighted; a group without games counts as its role.
 
     ``lines`` has role, league, side, patch and tier (league and side under ``prefix``). Means are a table of groups,
-    which grows with leagues and patches and not with games.
+    which grows with leagues and patches and not with games; they are written down once, since five joins read them.
     """
-    means = control_means(lines)
+    means = write_back(control_means(lines), new_path(lines.sparkSession, "controls"), 1)
     names = {"role": ["role"], "role_league": ["role", "league"], "role_side": ["role", "side"], "role_patch": ["role", "patch"], "role_tier": ["role", "tier"]}
     ids = {"role": 0b01111, "role_league": 0b00111, "role_side": 0b01011, "role_patch": 0b01101, "role_tier": 0b01110}
     out = lines

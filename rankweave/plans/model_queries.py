@@ -14,6 +14,7 @@ from ..operators import player_model as P
 from ..operators import series as S
 from ..operators import static_rosters
 from ..operators import tournaments as U
+from ..operators.storage import new_path, write_back
 from ..sources.contest import contest_games, table
 from .analysis_queries import r4
 from .event_queries import case, quoted
@@ -361,9 +362,15 @@ residual_rows AS (SELECT p.series_id, p.game_number, p.player, p.role_name AS ro
   FROM pairs p JOIN controls a ON a.series_id = p.series_id AND a.game_number = p.game_number JOIN controls b ON b.series_id = p.series_id AND b.game_number = p.opponent_game JOIN frozen_players x ON x.date = p.date AND x.player = p.player JOIN frozen_players y ON y.date = p.date AND y.player = p.opponent_player)"""
 
 
+_RESIDUAL_LINES = ("series_id", "game_number", "date", "player", "role", "league", "side", "patch", "tier", "won", "raw", "no_win")
+
+
 def residual_rows(spark, sf_dir):
-    lines = P.with_control(player_lines(spark, sf_dir))
-    pairs = player_pairs(spark, sf_dir, lines, ("player", "league", "side", "raw", "no_win", "expected"))
+    """Residuals of all lines; lines and pairs are written down, as means, replay and residuals each read them."""
+    path = new_path(spark, "residuals")
+    lines = write_back(player_lines(spark, sf_dir).select(*_RESIDUAL_LINES), f"{path}/lines")
+    pairs = player_pairs(spark, sf_dir, P.with_control(lines), ("player", "raw", "no_win", "expected"))
+    pairs = write_back(pairs, f"{path}/pairs")
     _, frozen = P.replay_players(pairs)
     return P.residuals(pairs, frozen)
 
