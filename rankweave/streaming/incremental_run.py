@@ -299,6 +299,10 @@ def standings(store: Store) -> DataFrame:
     return store.read("states", states, lambda p: p == end).select("team", half_up(F.col("rating"), 2).alias("rating"), half_up(F.col("uncertainty"), 2).alias("uncertainty"))
 
 
-def run(changes: DataFrame, store: Store, config: str = "1", mode: str = "gated", prefix: bool = False):
-    """Start a stream that applies each batch of changes; it stops when all are read, and goes on where it stopped when started anew."""
-    return changes.writeStream.option("checkpointLocation", f"{store.root}/progress").foreachBatch(lambda batch, epoch: apply_changes(store, batch, epoch, config, mode, prefix) and None).trigger(availableNow=True).start()
+def run(changes: DataFrame, store: Store, config: str = "1", mode: str = "gated", prefix: bool = False, load=None):
+    """Start a stream that applies each batch of changes; it stops when all are read, and goes on where it stopped when started anew.
+
+    ``load`` gives the changes of a batch, where the stream only names what holds them.
+    """
+    rows = load or (lambda batch: batch)
+    return changes.writeStream.option("checkpointLocation", f"{store.root}/progress").foreachBatch(lambda batch, epoch: apply_changes(store, rows(batch), epoch, config, mode, prefix) and None).trigger(availableNow=True).start()
