@@ -7,8 +7,9 @@ order of time, so that results do not depend on how rows fall into batches. Stat
 from __future__ import annotations
 
 import json
+from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .completion import LATER_MINUTES, RETRY_MINUTES
@@ -177,6 +178,48 @@ def pending_matches(rows: DataFrame, delay: str = "1 hour", give_up_hours: int =
     return moved.select("match_id", "event", "attempts", *_in_time(("at",)))
 
 
+def attempts_within(lasted: Column) -> Column:
+    """Attempts of a match that was pending for ``lasted`` milliseconds; one at its very end does not come."""
+    starts = list(accumulate((0, *RETRY_MINUTES)))
+    first = sum((F.when(lasted > m * MINUTE, 1).otherwise(0) for m in starts), F.lit(0))
+    later = F.floor((lasted - starts[-1] * MINUTE - 1) / (LATER_MINUTES * MINUTE))
+    return (first + F.greatest(later, F.lit(0))).cast("int")
+
+
+def outcomes(rows: DataFrame, delay: str = "1 hour", give_up_hours: int = 72, keep_hours: int = 72) -> DataFrame:
+    """How the matches of ``pending_matches`` ended: (match_id, event, attempts, at), ``acknowledged`` or ``expired``, without the steps before.
+
+    All of it are Spark's own expressions over session windows, for feeds with too many matches to call Python
+    for each. What a match leaves has ended when its rows stop for as long as giving up and keeping take, so a
+    session holds all rows that hang on each other; it is folded once the watermark has passed its end, that is
+    later than ``pending_matches`` tells. Rows have to come at most ``delay`` late.
+    """
+    give_up, keep = give_up_hours * HOUR, keep_hours * HOUR
+    row = F.struct(F.unix_millis("at").alias("t"), F.coalesce("acknowledged", F.lit(False)).alias("done"))
+    timed = rows.where("at is not null").withWatermark("at", delay)
+    lives = timed.groupBy("match_id", F.session_window("at", f"{give_up_hours + keep_hours} hours")).agg(F.collect_list(row).alias("rows"))
+    none = F.lit(None).cast("long")
+    end = lambda event, t, lasted: F.array(F.struct(F.lit(event).alias("event"), t.alias("t"), lasted.alias("lasted")))
+    state = lambda detected, acknowledged, out: F.struct(detected.alias("detected"), acknowledged.alias("acknowledged"), out.alias("out"))
+    start = state(none, none, F.array().cast("array<struct<event:string,t:bigint,lasted:bigint>>"))
+
+    def step(s, r):
+        # What is due before the row comes first; of equal times the row does.
+        expired = s.detected.isNotNull() & s.acknowledged.isNull() & (s.detected + give_up < r.t)
+        over = expired | F.coalesce(s.acknowledged + keep < r.t, F.lit(False))
+        detected, acknowledged = F.when(~over, s.detected), F.when(~over, s.acknowledged)
+        now = r.done & detected.isNotNull() & acknowledged.isNull()
+        out = F.when(expired, F.concat(s.out, end("expired", s.detected + give_up, F.lit(give_up)))).otherwise(s.out)
+        out = F.when(now, F.concat(s.out, end("acknowledged", r.t, r.t - s.detected))).otherwise(out)
+        return state(F.when(~r.done & detected.isNull(), r.t).otherwise(detected), F.when(now, r.t).otherwise(acknowledged), out)
+
+    def last(s):
+        return F.when(s.detected.isNotNull() & s.acknowledged.isNull(), F.concat(s.out, end("expired", s.detected + give_up, F.lit(give_up)))).otherwise(s.out)
+
+    ended = lives.select("match_id", F.explode(F.aggregate(F.array_sort("rows"), start, step, last)).alias("e"))
+    return ended.select("match_id", "e.event", attempts_within(F.col("e.lasted")).alias("attempts"), F.timestamp_millis("e.t").alias("at"))
+
+
 def acknowledgements(pending: DataFrame, reconciled: DataFrame, within: str = "7 days", delay: str = "1 hour") -> DataFrame:
     """Every pending match (match_id, at) once, with the time of the exact reconciliation (match_id, status, reconciled_at) that acknowledges it, or null.
 
