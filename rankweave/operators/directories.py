@@ -48,9 +48,11 @@ def plotted(matches: DataFrame, least: int = 2, team: str = "team") -> DataFrame
 
 def recent(matches: DataFrame, most: int = 25, team: str = "team") -> DataFrame:
     """The last matches of each team, newest first, with the change of score from the match before."""
-    w = Window.partitionBy(team).orderBy("first_seq")
-    rows = matches.withColumn("change", F.col("score") - F.lag("score").over(w))
-    return rows.withColumn("back", F.row_number().over(Window.partitionBy(team).orderBy(F.col("first_seq").desc())).cast("long")).where(F.col("back") <= most)
+    # One more than asked for tells the change of the oldest; Spark drops all others before it exchanges them.
+    back = F.row_number().over(Window.partitionBy(team).orderBy(F.col("first_seq").desc()))
+    rows = matches.withColumn("back", back).where(F.col("back") <= most + 1)
+    rows = rows.withColumn("change", F.col("score") - F.lag("score").over(Window.partitionBy(team).orderBy("first_seq")))
+    return rows.withColumn("back", F.col("back").cast("long")).where(F.col("back") <= most)
 
 
 def with_current(history: DataFrame, standings: DataFrame, day: Column) -> DataFrame:

@@ -14,11 +14,17 @@ GAME_ORDER = ("date", "series_id", "game_number")
 
 
 def team_points(games: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each team and game, numbered by ``seq``, with ``score``: 1500 and 10 for each win more than losses so far, and ``extra`` columns of ``sides``."""
-    w = Window.partitionBy("team").orderBy(*GAME_ORDER)
-    rows = sides(games).withColumn("won", won())
-    running = F.sum(F.when(F.col("won"), 10).otherwise(-10)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("team", "league", "opponent", "season", "date", "series_id", "game_number", "tier", "won", "player", F.row_number().over(w).cast("long").alias("seq"), (1500 + running).cast("long").alias("score"), *extra)
+    """A row for each team and game, numbered by ``seq``, with ``score``: 1500 and 10 for each win more than losses so far, and ``extra`` columns of ``sides``.
+
+    Games are numbered within their team and date, behind sums of the dates before, so that no task sorts all games of a team.
+    """
+    rows = sides(games).withColumn("won", won()).withColumns({"block": F.struct("team", "date"), "gain": F.when(F.col("won"), 10).otherwise(-10)})
+    earlier = Window.partitionBy("block.team").orderBy("block.date").rowsBetween(Window.unboundedPreceding, -1)  # a row a team and date
+    blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.sum("gain").alias("gains"))
+    blocks = blocks.select("block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"), F.coalesce(F.sum("gains").over(earlier), F.lit(0)).alias("start"))
+    w = Window.partitionBy("block").orderBy(*GAME_ORDER[1:])
+    rows = rows.withColumns({"at": F.row_number().over(w), "running": F.sum("gain").over(w.rowsBetween(Window.unboundedPreceding, 0))}).join(blocks, "block")
+    return rows.select("team", "league", "opponent", "season", "date", "series_id", "game_number", "tier", "won", "player", (F.col("ahead") + F.col("at")).cast("long").alias("seq"), (1500 + F.col("start") + F.col("running")).cast("long").alias("score"), *extra)
 
 
 def form(points: DataFrame, last: int = 5) -> DataFrame:
