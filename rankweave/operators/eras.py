@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .series import islands
+from .series import ended, islands
 
 #: Days of the narrowest bins; each further level is twice as wide.
 BIN_DAYS = 32
@@ -18,8 +18,8 @@ def roster_eras(observations: DataFrame) -> DataFrame:
     ``ended`` is the date that the next era starts, null for the open one; ``last`` is the era's last match.
     """
     rows = islands(observations, ["team"], ["date", "match_id"], "signature").withColumnRenamed("island", "era")
-    spans = rows.groupBy("team", "era").agg(F.min("signature").alias("signature"), F.min("date").alias("started"), F.max("date").alias("last"), F.count("*").alias("matches"))
-    return spans.withColumn("ended", F.lead("started").over(Window.partitionBy("team").orderBy("era")))
+    spans = rows.groupBy("team", "era").agg(F.min("signature").alias("signature"), F.min("date").alias("started"), F.max("date").alias("last"), F.count("*").alias("matches"), F.min("last_island").alias("last_island"), F.min("next_start").alias("next_start"))
+    return spans.withColumn("ended", ended("era", "started")).drop("last_island", "next_start")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], on: tuple[str, ...] = ()) -> DataFrame:

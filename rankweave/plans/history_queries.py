@@ -148,9 +148,10 @@ SELECT team, era, signature, games, started, lead(started) OVER (PARTITION BY te
     "sides points",
 )
 def g16_eras(spark, sf_dir):
-    rows = points(spark, sf_dir).withColumn("signature", F.col("player") % 7)
-    spans = S.islands(rows, ["team"], ["seq"], "signature").withColumnRenamed("island", "era").groupBy("team", "era").agg(F.min("signature").alias("signature"), F.min("date").alias("started"), F.count("*").alias("games"))
-    return spans.withColumn("ended", F.lead("started").over(Window.partitionBy("team").orderBy("era"))).select("team", "era", "signature", "games", "started", "ended")
+    rows = S.sides(contest_games(spark, sf_dir)).select("team", *H.GAME_ORDER, (F.col("player") % 7).alias("signature"))
+    rows = S.islands(rows, ["team"], list(H.GAME_ORDER), "signature").withColumnRenamed("island", "era")
+    spans = rows.groupBy("team", "era").agg(F.min("signature").alias("signature"), F.min("date").alias("started"), F.count("*").alias("games"), F.min("last_island").alias("last_island"), F.min("next_start").alias("next_start"))
+    return spans.select("team", "era", "signature", "games", "started", S.ended("era", "started").alias("ended"))
 
 
 @query(
