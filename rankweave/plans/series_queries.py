@@ -41,7 +41,7 @@ SELECT team, CAST(island AS BIGINT) AS island, bool_and(won) AS won, count(*) AS
     "sides",
 )
 def d8_streaks(spark, sf_dir):
-    rows = S.sides(contest_games(spark, sf_dir)).withColumn("won", S.won())
+    rows = S.sides(contest_games(spark, sf_dir)).select("team", "date", "series_id", "game_number", S.won().alias("won"))
     return S.islands(rows, ["team"], ["date", "series_id", "game_number"], "won").groupBy("team", "island").agg(F.bool_and("won").alias("won"), F.count("*").alias("length"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
