@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .publish import semantic_digest
-from .storage import publish_file, read_file
+from .storage import delete, publish_file, read_file, write_back
 
 INDEX = "artifact string, doc_key string, generation string, rows long, bytes long, digest string"
 
@@ -110,6 +110,15 @@ class Site:
         now = self.current()
         if now and now["generation"] == generation:
             return self.spark.read.parquet(f"{self.root}/plan/{generation}")
+        # Plan, checks and documents all read what the artifacts' rows are made into here, once.
+        drafts = f"{self.root}/draft/{generation}"
+        artifacts = [Artifact(a.name, write_back(a.rows, f"{drafts}/{a.name}"), a.checks, a.unique, a.budget) for a in artifacts]
+        try:
+            return self._build(artifacts, generation, affected, now)
+        finally:
+            delete(self.spark, drafts)
+
+    def _build(self, artifacts: list[Artifact], generation: str, affected: DataFrame | None, now: dict | None) -> DataFrame:
         self.plan(artifacts, affected).write.mode("overwrite").parquet(f"{self.root}/plan/{generation}")
         plan = self.spark.read.parquet(f"{self.root}/plan/{generation}")
         writes = plan.where("action = 'write'")
