@@ -11,7 +11,7 @@ from ..operators import publish as B
 from ..operators import reconcile as X
 from ..operators import series as S
 from ..operators import site
-from ..operators.storage import new_path
+from ..operators.storage import new_path, write_back
 from ..sources.contest import ROLES, contest_games, table
 from .analysis_queries import r4
 from .registry import PARTS, query
@@ -200,18 +200,20 @@ _BOARDS = """, boards AS (SELECT season || '-' || tier AS doc_key, team, count(*
 
 def built_site(spark, sf_dir):
     """The site after both builds, and the plan of the second, which looks at the documents of late games only."""
+    path = new_path(spark, "site")
     rows = S.sides(contest_games(spark, sf_dir)).withColumn("doc_key", F.concat_ws("-", "season", "tier"))
-    cut = F.broadcast(rows.agg(F.date_sub(F.max("date"), 400).alias("cut")))
-    rows = rows.crossJoin(cut)
+    # Both builds count the same games: they are summed up by date once.
+    days = write_back(rows.groupBy("doc_key", "team", "date").agg(F.count("*").alias("games"), F.count_if(S.won()).alias("wins")), f"{path}/days")
+    days = days.crossJoin(F.broadcast(days.agg(F.date_sub(F.max("date"), 400).alias("cut"))))
 
     def boards(df):
-        out = df.groupBy("doc_key", "team").agg(F.count("*").alias("games"), F.count_if(S.won()).alias("wins"))
+        out = df.groupBy("doc_key", "team").agg(F.sum("games").alias("games"), F.sum("wins").alias("wins"))
         return site.Artifact("boards", out, {"counts": F.col("wins").between(0, F.col("games")), "team": F.col("team").isNotNull()}, ("team",), 1 << 20)
 
-    made = site.Site(spark, new_path(spark, "site"))
-    made.build([boards(rows.where("date <= cut"))], "one")
-    late = rows.where("date > cut").select(F.lit("boards").alias("artifact"), "doc_key").distinct()
-    return made, made.build([boards(rows)], "two", late)
+    made = site.Site(spark, f"{path}/site")
+    made.build([boards(days.where("date <= cut"))], "one")
+    late = days.where("date > cut").select(F.lit("boards").alias("artifact"), "doc_key").distinct()
+    return made, made.build([boards(days)], "two", late)
 
 
 @query("b1_published_boards", _BOARDS + " SELECT doc_key, team, games, wins FROM boards", "sides")
