@@ -9,6 +9,7 @@ from ..operators import eras as E
 from ..operators import history as H
 from ..operators import scope_builder as L
 from ..operators import series as S
+from ..operators.storage import new_path, write_back
 from ..sources.contest import contest_games
 from .registry import PARTS, query
 
@@ -230,9 +231,11 @@ SELECT s.boundary, open_eras, open_start, (SELECT min(d) FROM widened w WHERE w.
 )
 def p28_replay_starts(spark, sf_dir):
     """At every month's end: open eras, the earliest start among teams that play in the next ten days, and where a replay has to begin."""
-    rows = observations(spark, sf_dir)
-    ends = contest_games(spark, sf_dir).select(F.last_day("date").alias("boundary")).distinct().withColumn("until", F.date_add("boundary", 10))
-    return E.replay_starts(E.roster_eras(rows), ends, rows)
+    path = new_path(spark, "starts")
+    # The joins of spans look at their sides several times; all three are made once.
+    rows = write_back(observations(spark, sf_dir), f"{path}/rows")
+    ends = write_back(contest_games(spark, sf_dir).select(F.last_day("date").alias("boundary")).distinct().withColumn("until", F.date_add("boundary", 10)), f"{path}/ends")
+    return E.replay_starts(write_back(E.roster_eras(rows), f"{path}/eras"), ends, rows)
 
 
 # All scopes at once.
