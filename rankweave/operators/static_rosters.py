@@ -1,8 +1,9 @@
 """Players by fixed rosters, for contests without numbers of players: a team's results are shared out among its players.
 
 No state crosses teams, so each team is folded by itself and all in parallel. What a game means to a team is
-worked out by Spark beforehand; a step folds the games of DATES dates, so that a task holds one team's games of a
-step and its roster, however long the contest is.
+worked out by Spark beforehand; a step folds the games of DATES days, so that a task holds one team's games of a
+step and its roster, however long the contest is. Steps leave only the state of each roster; the history is made
+from the states before each step, all steps at once, where it is read.
 """
 
 from __future__ import annotations
@@ -19,25 +20,22 @@ from .storage import new_path, write_back
 
 #: Points of a win, of a loss, of dominance, and the share that counts once.
 WIN, LOSS, DOMINANCE, EVEN = 1.6, -1.1, 5.0, 0.2
-#: Dates that one step folds.
-DATES = 512
-STATE = "team string, period long, game_key string, player long, rating double, delta double, games long"
+#: Days that one step folds; games whose results are summed up at once where no share changes but by form, and that are walked one by one before it is tried again.
+DATES, BLOCK, SINGLE = 256, 8192, 64
+STATE = "team string, player long, rating double, delta double, games long, lately array<double>"
+HISTORY = "team string, player long, game_key string, period long, rating double, delta double"
+SIGNALS = ("base", "objectives", "awards", "recent", "availability", "certainty")
 
 
 def team_games(games: DataFrame) -> DataFrame:
-    """Two rows for each game (game_key, date, series_id, game_number, teams, winner, tier, and kills, gold, objectives by side): its points for the team, and the form before it.
-
-    The form is that of the whole team, as its roster stays: twice the share of wins among the last five, less one.
-    """
+    """Two rows for each game (game_key, date, series_id, game_number, teams, winner, tier, and kills, gold, objectives by side): whether the team won, and the game's points for it."""
     own = lambda c: F.when(F.col("side_no") == 1, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).cast("double")
     other = lambda c: F.when(F.col("side_no") == 1, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).cast("double")
     rows = sides(games.withColumns({"league_a": F.lit(""), "league_b": F.lit("")}))
     won = F.coalesce(F.col("winner") == F.col("team"), F.lit(False))
     dominance = execution_index(own("kills"), other("kills"), own("gold"), other("gold"), own("objectives"), other("objectives"))
     points = F.when(won, WIN).otherwise(LOSS) * event_weight(F.col("tier")) + dominance * DOMINANCE
-    last = Window.partitionBy("team").orderBy("date", "series_id", "game_number").rowsBetween(-5, -1)
-    form = F.coalesce((F.avg(won.cast("int")).over(last) - 0.5) * 2.0, F.lit(0.0))
-    return rows.where("date is not null").select("team", F.unix_date("date").cast("long").alias("period"), "game_key", "series_id", "game_number", won.alias("won"), half_up(points, 6).alias("points"), half_up(form, 6).alias("form"))
+    return rows.where("date is not null").select("team", F.unix_date("date").cast("long").alias("period"), "game_key", "series_id", "game_number", won.alias("won"), half_up(points, 6).alias("points"))
 
 
 def with_signals(rosters: DataFrame) -> DataFrame:
@@ -47,16 +45,82 @@ def with_signals(rosters: DataFrame) -> DataFrame:
     return rows.select("team", "player", "role", lookup(ROLE_SHARES, F.col("role"), 0.2).alias("base"), F.coalesce(F.col("objectives").cast("double"), F.lit(0.0)).alias("objectives"), value("awards", 0.0, -3.0, 3.0), F.coalesce(F.col("recent").cast("double"), F.lit(0.0)).alias("recent"), value("availability", 1.0, 0.0, 1.0), value("certainty", 1.0, 0.5, 1.0))
 
 
-def _shares(rating, form, roster):
-    """(share, impact) of a team's players, in numpy."""
+def _place(x, scale=10.0):
+    import numpy as np
+
+    return np.floor(x * scale + 0.5) / scale
+
+
+def _signal(rating):
+    import numpy as np
+
+    return np.minimum(np.maximum((rating - START) / 24.0, -2.0), 2.0)
+
+
+def _shares(signal, form, roster):
+    """The shares of a team's players, in numpy."""
     import numpy as np
 
-    signal = np.clip((rating - START) / 24.0, -2.0, 2.0)
-    objectives = np.clip(roster["objectives"] + signal * 0.35, -3.0, 3.0)
-    recent = np.clip(roster["recent"] + form, -3.0, 3.0)
-    impact = np.clip(1.0 + IMPACT[0] * objectives + IMPACT[1] * roster["awards"] + IMPACT[2] * recent, IMPACT_LOW, IMPACT_HIGH)
+    clip = lambda x, low, high: np.minimum(np.maximum(x, low), high)
+    objectives = clip(roster["objectives"] + signal * 0.35, -3.0, 3.0)
+    recent = clip(roster["recent"] + form, -3.0, 3.0)
+    impact = clip(1.0 + IMPACT[0] * objectives + IMPACT[1] * roster["awards"] + IMPACT[2] * recent, IMPACT_LOW, IMPACT_HIGH)
     raw = roster["base"] * impact * roster["availability"] * roster["certainty"]
-    return raw / (raw.sum() or 1.0), impact
+    return raw / (raw.sum() or 1.0)
+
+
+def forms(lately, won):
+    """The form before each game and after the last: twice the share of wins among the last five, less one; 0 before any. ``lately`` has the last five results before, oldest first."""
+    import numpy as np
+
+    n, known = len(lately), np.append(lately, won)
+    wins, end = np.append(0.0, np.cumsum(known)), np.arange(n, len(known) + 1)
+    count = np.minimum(end, 5)
+    return np.where(count > 0, _place(((wins[end] - wins[end - count]) / np.maximum(count, 1) - 0.5) * 2.0, 1e6), 0.0), known[-5:]
+
+
+def walk(rating, points, form, roster):
+    """(ratings, deltas) after each game, a block of games after another.
+
+    A share hangs on the form, and on a rating within 48 points of the start only. While no rating is that near, the
+    games of a block are summed up at once, to the first that brings one near; other games are walked one by one.
+    """
+    import numpy as np
+
+    at, n, single = 0, len(points), 0
+    while at < n:
+        signal = _signal(rating)
+        if single or (np.abs(signal) < 2.0).any():
+            last = min(n, at + (single or SINGLE))
+            ratings, deltas = np.empty((last - at, len(rating))), np.empty((last - at, len(rating)))
+            for i in range(at, last):
+                deltas[i - at] = _place(points[i] * (_shares(_signal(rating), form[i], roster) / EVEN))
+                ratings[i - at] = rating = _place(rating + deltas[i - at])
+            single = 0
+        else:
+            last = min(n, at + BLOCK)
+            kinds, kind = np.unique(form[at:last], return_inverse=True)
+            share = np.stack([_shares(signal, f, roster) for f in kinds])[kind]
+            deltas = _place(points[at:last, None] * (share / EVEN))
+            # Ratings are whole tenths, so that their sums are those of one game after another.
+            ratings = np.cumsum(np.vstack([np.rint(rating * 10.0), np.rint(deltas * 10.0)]), axis=0)[1:] / 10.0
+            moved = (_signal(ratings) != signal).any(axis=1)
+            if moved.any():
+                last = at + int(moved.argmax()) + 1
+                ratings, deltas, single = ratings[: last - at], deltas[: last - at], SINGLE
+            rating = ratings[-1]
+        yield ratings, deltas
+        at = last
+
+
+def _games_of(state, rows):
+    """(a roster with its ratings, points and forms of a team's games in order, results lately, the games), in numpy."""
+    import numpy as np
+
+    roster = {c: state[c].to_numpy() for c in SIGNALS}
+    rows = rows.sort_by([(c, "ascending") for c in ("period", "series_id", "game_number")])
+    form, lately = forms(np.array(state["lately"][0].as_py(), "float64"), rows["won"].to_numpy(zero_copy_only=False).astype("float64"))
+    return roster, rows["points"].to_numpy(zero_copy_only=False), form, lately, rows
 
 
 def fold_team(state, rows):
@@ -64,23 +128,29 @@ def fold_team(state, rows):
     import numpy as np
     import pyarrow as pa
 
-    roster = {c: state[c].to_numpy() for c in ("base", "objectives", "awards", "recent", "availability", "certainty")}
-    rating, delta, games = (state[c].to_numpy().copy() for c in ("rating", "delta", "games"))
-    rows = rows.sort_by([(c, "ascending") for c in ("period", "series_id", "game_number")])
-    place = lambda x: np.floor(x * 10.0 + 0.5) / 10.0
-    n, k = rows.num_rows if len(rating) else 0, len(rating)
-    ratings, deltas = np.zeros((n + 1, k)), np.zeros((n + 1, k))
-    for i, (points, form) in enumerate(zip(rows["points"].to_pylist(), rows["form"].to_pylist(), strict=True) if k else ()):
-        share, _ = _shares(rating, form, roster)
-        delta = place(points * (share / EVEN))
-        rating = place(rating + delta)
-        ratings[i], deltas[i] = rating, delta
-    ratings[n], deltas[n] = rating, delta
-    count = np.repeat(games[None, :], n + 1, 0) + np.append(np.arange(1, n + 1), n)[:, None]
-    team = (state if k else rows)["team"][0].as_py()
-    each = lambda c, kind: pa.array(np.repeat(np.append(np.array(rows[c].to_pylist()[:n], object), None), k), kind)
-    players = np.tile(state["player"].to_numpy(), n + 1) if k else np.zeros(0, "int64")
-    return pa.table({"team": pa.array([team] * len(players), pa.string()), "period": each("period", pa.int64()), "game_key": each("game_key", pa.string()), "player": pa.array(players, pa.int64()), "rating": ratings.reshape(-1), "delta": deltas.reshape(-1), "games": pa.array(count.reshape(-1), pa.int64())})
+    k = state.num_rows
+    if not k:
+        return pa.table({f: pa.array([], t) for f, t in (("team", pa.string()), ("player", pa.int64()), ("rating", pa.float64()), ("delta", pa.float64()), ("games", pa.int64()), ("lately", pa.list_(pa.float64())))})
+    roster, points, form, lately, rows = _games_of(state, rows)
+    rating, delta = state["rating"].to_numpy(), state["delta"].to_numpy()
+    for ratings, deltas in walk(rating, points, form, roster):
+        rating, delta = ratings[-1], deltas[-1]
+    games = state["games"].to_numpy() + rows.num_rows
+    return pa.table({"team": state["team"], "player": state["player"], "rating": rating, "delta": delta, "games": games, "lately": pa.array([lately.tolist()] * k, pa.list_(pa.float64()))})
+
+
+def fold_history(state, rows):
+    """A row for each player of a roster and game of its team in a step, from the state before it."""
+    import numpy as np
+    import pyarrow as pa
+
+    k, n = state.num_rows, rows.num_rows
+    if not k or not n:
+        return pa.table({f: pa.array([], t) for f, t in (("team", pa.string()), ("player", pa.int64()), ("game_key", pa.string()), ("period", pa.int64()), ("rating", pa.float64()), ("delta", pa.float64()))})
+    roster, points, form, _, rows = _games_of(state, rows)
+    ratings, deltas = (np.concatenate(x).reshape(-1) for x in zip(*walk(state["rating"].to_numpy(), points, form, roster), strict=True))
+    game, player = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
+    return pa.table({"team": state["team"].take(player), "player": state["player"].take(player), "game_key": rows["game_key"].take(game), "period": rows["period"].take(game), "rating": ratings, "delta": deltas})
 
 
 def static_players(games: DataFrame, rosters: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -94,16 +164,22 @@ def static_players(games: DataFrame, rosters: DataFrame) -> tuple[DataFrame, Dat
     roster = write_back(with_signals(rosters), f"{path}/roster")
     # Only of teams with a roster, whatever else is in the contest.
     rows = team_games(games).join(roster.select("team").distinct(), "team", "left_semi")
-    rows = write_back(rows.repartitionByRange("period").sortWithinPartitions("period"), f"{path}/rows")
-    dates = sorted(r["period"] for r in rows.select("period").distinct().collect())  # one number a date
-    signals = ["base", "objectives", "awards", "recent", "availability", "certainty"]
-    state = roster.withColumns({"rating": F.lit(START), "delta": F.lit(0.0), "games": F.lit(0).cast("long")})
-    for i in range(0, len(dates), DATES):
-        part = rows.where(F.col("period").between(dates[i], dates[min(i + DATES, len(dates)) - 1]))
-        folded = write_back(state.groupBy("team").cogroup(part.groupBy("team")).applyInArrow(fold_team, STATE), f"{path}/history/step={i}")
-        state = roster.join(folded.where("period is null").select("team", "player", "rating", "delta", "games"), ["team", "player"])
-    history = spark.read.schema(STATE).parquet(f"{path}/history").where("period is not null") if dates else spark.createDataFrame([], STATE)
-    out = state.join(_last_form(rows), "team", "left").withColumn("form", F.coalesce("form", F.lit(0.0)))
+    rows = rows.withColumn("step", F.floor(F.col("period") / DATES).cast("long"))
+    rows.write.partitionBy("step").parquet(f"{path}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/rows")
+    steps = sorted(r["step"] for r in rows.select("step").distinct().collect())  # one number a step
+    state = roster.select("team", "player", F.lit(START).alias("rating"), F.lit(0.0).alias("delta"), F.lit(0).cast("long").alias("games"), F.array().cast("array<double>").alias("lately"))
+    before = state.limit(0).withColumn("step", F.lit(0).cast("long"))
+    signals = roster.select("team", "player", *SIGNALS)
+    for i in steps:
+        before = before.unionByName(state.withColumn("step", F.lit(i).cast("long")))
+        part = rows.where(F.col("step") == i).select("team", "period", "series_id", "game_number", "won", "points")
+        held = signals.join(state, ["team", "player"])
+        state = write_back(held.groupBy("team").cogroup(part.groupBy("team")).applyInArrow(fold_team, STATE), f"{path}/states/step={i}")
+    history = signals.join(before, ["team", "player"]).groupBy("team", "step").cogroup(rows.groupBy("team", "step")).applyInArrow(fold_history, HISTORY)
+    won = F.try_divide(F.aggregate("lately", F.lit(0.0), lambda total, x: total + x), F.size("lately"))
+    form = F.coalesce(half_up((won - 0.5) * 2.0, 6), F.lit(0.0))
+    out = roster.join(state, ["team", "player"]).withColumn("form", form)
     impact = clamp(1.0 + IMPACT[0] * clamp(F.col("objectives") + clamp((F.col("rating") - START) / 24.0, -2.0, 2.0) * 0.35, -3.0, 3.0) + IMPACT[1] * F.col("awards") + IMPACT[2] * clamp(F.col("recent") + F.col("form"), -3.0, 3.0), IMPACT_LOW, IMPACT_HIGH)
     out = out.withColumn("impact", impact).withColumn("weight", half_up(F.col("base") * F.col("impact") * F.col("availability") * F.col("certainty"), 9).cast("decimal(18,9)"))
     share = F.coalesce(F.try_divide(F.col("weight").cast("double"), F.sum("weight").over(Window.partitionBy("team")).cast("double")), F.lit(0.0))
@@ -112,12 +188,6 @@ def static_players(games: DataFrame, rosters: DataFrame) -> tuple[DataFrame, Dat
     return standings.select("team", "player", "role", "games", "rating", "delta", "form", "impact", "share", "rank"), history.select("team", "player", "game_key", "period", "rating", "delta")
 
 
-def _last_form(rows: DataFrame) -> DataFrame:
-    """(team, form) after each team's last game."""
-    back = F.row_number().over(Window.partitionBy("team").orderBy(F.col("period").desc(), F.col("series_id").desc(), F.col("game_number").desc()))
-    return rows.withColumn("back", back).where("back <= 5").groupBy("team").agg(half_up((F.avg(F.col("won").cast("int")) - 0.5) * 2.0, 6).alias("form"))
-
-
 def observed(lines: DataFrame, stats: tuple[str, ...] = ("kills", "deaths", "assists", "damage_share", "gold_share", "vspm")) -> bool:
     """Whether any line has a number of a player."""
     known = [F.col(c).isNotNull() for c in stats if c in lines.columns]
