@@ -324,7 +324,8 @@ def replay_placed(series: DataFrame, league_tiers: dict[str, str], events: DataF
         series = series.withColumn("split", F.lit(""))
     tier = lambda c: F.create_map(*[F.lit(x) for p in league_tiers.items() for x in p])[F.col(c)]
     rows = transfer(with_evidence(series), F.coalesce(tier("league"), F.lit("unknown")), F.coalesce(tier("opponent_league"), F.lit("unknown")))
-    rows = with_priors(rows)
+    # What follows reads them four times where there are priors.
+    rows = with_priors(write_back(rows, f"{path}/evidence") if "prior_a" in rows.columns else rows)
     others = rows.select("series_id", F.col("team").alias("opponent"), F.col("own_prior").alias("other_prior"))
     rows = rows.join(others, ["series_id", "opponent"]) if "prior_a" in rows.columns else rows.withColumn("other_prior", F.lit(0.0))
     rows = write_back(rows, f"{path}/rows")

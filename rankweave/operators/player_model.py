@@ -179,6 +179,8 @@ def replay_players(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = pairs.sparkSession
     path = new_path(spark, "players")
     rows = pairs.where("date is not null").select(F.unix_date("date").cast("long").alias("period"), "role", "player", "opponent_player", "performance", half_up(event_weight(F.col("tier")), 6).alias("weight"))
+    # Ranges come from a sample, for which the pairs would be made twice.
+    rows = write_back(rows, f"{path}/pairs")
     rows = write_back(rows.repartitionByRange("period").sortWithinPartitions("period"), f"{path}/rows")
     counts = {r["period"]: r["count"] for r in rows.groupBy("period").count().collect()}  # two numbers a date
     schema = "role string, period long, player long, rating double, games long"

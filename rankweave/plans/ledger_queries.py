@@ -8,9 +8,10 @@ from ..operators import ledger as L
 from ..operators import metrics as M
 from ..operators import series as S
 from ..operators import variants as V
-from ..sources.contest import contest_games
+from ..operators.storage import new_path, write_back
+from ..sources.contest import contest_games, stored_games
 from .analysis_queries import METRICS, r4
-from .model_queries import l15_pregame_edges
+from .model_queries import pregame_edges
 from .registry import PARTS, query
 
 MONTHS = 3
@@ -54,8 +55,8 @@ ledger_moves AS (SELECT s.series_id, s.period, s.team, s.done, s.lost, s.gl, {_m
 by_game AS (SELECT series_id, gl[c].g AS game_number, team, done AND c = len(gl) AS final, stable, form, lost, {_CHANCE('ends[c] + am', 'others[c] + bm')} AS execution_expected, floor(ends[c + 1] - ends[c] + 0.5::DOUBLE) AS execution_delta FROM (SELECT *, unnest(range(1, len(gl) + 1)) AS c FROM ledger_moves))"""
 
 
-def ledger_of(spark, sf_dir):
-    games = contest_games(spark, sf_dir)
+def ledger_of(spark, sf_dir, games=None):
+    games = stored_games(spark, sf_dir) if games is None else games
     sides_ = games.select("series_id", "game_number", "winner", F.col("kills").alias("kills_a"), F.lit(25).alias("kills_b"), F.col("gold").alias("gold_a"), F.lit(38000).alias("gold_b"), F.lit(0).alias("objectives_a"), F.lit(0).alias("objectives_b"))
     return L.replay_ledger(S.resolve_series(games), sides_, MONTHS)
 
@@ -117,13 +118,17 @@ def l8_side_edges(spark, sf_dir):
 
 
 def five_forecasts(spark, sf_dir):
-    games = contest_games(spark, sf_dir)
-    _, batches, _ = ledger_of(spark, sf_dir)
+    path = new_path(spark, "forecasts")
+    games = stored_games(spark, sf_dir)
+    _, batches, _ = ledger_of(spark, sf_dir, games)
     frozen = batches.select("period", "team", F.col("frozen_rating").alias("power"), *[F.col(f"frozen_{c}").alias(c) for c in ("rating", "momentum", "uncertainty", "execution")])
     first = games.groupBy("series_id").agg(F.max(F.when(F.col("game_number") == 1, F.col("side_a"))).alias("side_a"))
     period = F.floor((F.year("date") * 12 + F.month("date") - 1) / MONTHS).cast("long")
     series = S.resolve_series(games).join(first, "series_id").withColumn("period", period)
-    return V.forecasts(series, frozen, l15_pregame_edges(spark, sf_dir).withColumnRenamed("game", "series_id"), V.side_edges(games))
+    edges = pregame_edges(spark, sf_dir, games).withColumnRenamed("game", "series_id")
+    # The forecasts read each of them several times.
+    series, frozen, edges, blue = (write_back(df, f"{path}/{name}") for name, df in (("series", series), ("frozen", frozen), ("edges", edges), ("blue", V.side_edges(games))))
+    return V.forecasts(series, frozen, edges, blue)
 
 
 @query("l6_five_forecasts", "SELECT * FROM forecasts", _PARTS)

@@ -15,7 +15,7 @@ from ..operators import series as S
 from ..operators import static_rosters
 from ..operators import tournaments as U
 from ..operators.storage import new_path, write_back
-from ..sources.contest import contest_games, table
+from ..sources.contest import contest_games, stored_games, table
 from .analysis_queries import r4
 from .event_queries import case, quoted
 from .history_queries import records
@@ -248,11 +248,11 @@ pairs AS (SELECT a.*, b.player AS opponent_player, b.no_win AS opponent_no_win,
   FROM numbered a JOIN numbered b ON a.series_id = b.series_id AND a.role = b.role AND (a.number - 1) // 2 = (b.number - 1) // 2 AND a.number <> b.number)"""
 
 
-def player_lines(spark, sf_dir):
+def player_lines(spark, sf_dir, games=None):
     """Lines of players out of games: shares of kills and gold in their series, and numbers that may be missing."""
     own = Window.partitionBy("series_id")
     share = lambda c: half_up(F.col(c).cast("double") / F.sum(F.col(c).cast("decimal(18,2)")).over(own).cast("double"), 6)
-    games = contest_games(spark, sf_dir)
+    games = contest_games(spark, sf_dir) if games is None else games
     role = F.element_at(F.array(*[F.lit(r) for r in _ROLES]), (F.col("role") + 1).cast("int"))
     rows = games.withColumns({"damage_share": share("kills"), "gold_share": share("gold"), "role": role, "won": F.col("winner") == F.col("team_a"), "deaths": F.col("game_number") * 4, "assists": F.col("best_of").cast("double"), "vspm": F.when(F.col("side_a").isNotNull(), F.col("game_number") * 0.5), "league": F.col("league_a"), "side": F.col("side_a"), "team": F.col("team_a")})
     return P.with_scores(rows.withColumn("kills", F.col("kills").cast("double")))
@@ -332,7 +332,13 @@ PARTS["edges"] = f"{_EDGES}, edges AS ({_EDGE})"
 
 @query("l15_pregame_edges", f", {_EDGES}\n{_EDGE}", "lines pairs player_walk frozen_players")
 def l15_pregame_edges(spark, sf_dir):
-    pairs = player_pairs(spark, sf_dir)
+    return pregame_edges(spark, sf_dir)
+
+
+def pregame_edges(spark, sf_dir, games=None):
+    """Edges of all sides; pairs are written down, as the replay and the edges each read them."""
+    pairs = player_pairs(spark, sf_dir, player_lines(spark, sf_dir, games)).select("series_id", "date", "team", "role", "player", "opponent_player", "league", "tier", "performance")
+    pairs = write_back(pairs, f"{new_path(spark, 'edges')}/pairs")
     _, frozen = P.replay_players(pairs)
     tier = F.create_map(*[F.lit(x) for p in LEAGUE_TIERS.items() for x in p])[F.col("league")]
     prior = F.create_map(*[F.lit(x) for p in T.TIER_PRIORS.items() for x in p])[tier]
@@ -394,9 +400,9 @@ def f14_residual_scores(spark, sf_dir):
 # The whole rating model: an iterative fold, tested against a plain version.
 
 
-def rated_series(spark, sf_dir):
+def rated_series(spark, sf_dir, games=None):
     """Series with split and roster continuity."""
-    games = contest_games(spark, sf_dir)
+    games = stored_games(spark, sf_dir) if games is None else games
     series = S.resolve_series(games)
     rosters = D.with_continuity(D.rosters_by_date(games)).select(F.col("team").alias("team_a"), "date", F.when(F.col("synergy") > 0, F.col("synergy")).alias("continuity_a"))
     half = F.when(F.month("date") <= 6, "spring").otherwise("summer")
@@ -404,26 +410,29 @@ def rated_series(spark, sf_dir):
 
 
 def model(spark, sf_dir):
-    series = rated_series(spark, sf_dir)
+    series = write_back(rated_series(spark, sf_dir), f"{new_path(spark, 'rated')}/series")
     return series, R.replay_model(series, LEAGUE_TIERS)
 
 
-def placement_events(spark, sf_dir):
+def placement_events(spark, sf_dir, games=None):
     """Entries of the international events, each ending with its last completed series."""
     from .event_queries import staged
 
     kind = F.when(F.col("instance").startswith("worlds"), "worlds").when(F.col("instance").startswith("msi"), "msi").otherwise("minor")
-    rows = R.after_worlds(staged(spark, sf_dir).where("state = 'completed'")).where("instance is not null")
+    done = write_back(staged(spark, sf_dir, games).where("state = 'completed'"), f"{new_path(spark, 'placed')}/series")
+    rows = R.after_worlds(done).where("instance is not null")
     return U.placement_entries(rows.withColumns({"event_key": F.col("instance"), "kind": kind}))
 
 
 def placed_model(spark, sf_dir):
     """The whole model with placements in it and the edges of either side's players as its roster prior."""
-    edges = l15_pregame_edges(spark, sf_dir).select(F.col("game").alias("series_id"), "team", "edge")
-    series = rated_series(spark, sf_dir)
+    games = stored_games(spark, sf_dir)
+    edges = write_back(pregame_edges(spark, sf_dir, games), f"{new_path(spark, 'edges')}/edges").select(F.col("game").alias("series_id"), "team", "edge")
+    series = rated_series(spark, sf_dir, games)
     for side in ("a", "b"):
         series = series.join(edges.withColumnsRenamed({"team": f"team_{side}", "edge": f"prior_{side}"}), ["series_id", f"team_{side}"], "left")
-    return R.replay_placed(series, LEAGUE_TIERS, placement_events(spark, sf_dir))
+    series = write_back(series, f"{new_path(spark, 'rated')}/series")
+    return R.replay_placed(series, LEAGUE_TIERS, placement_events(spark, sf_dir, games))
 
 
 @query("l11_model_placements")
