@@ -8,11 +8,10 @@ pieces met before come from a bounded cache of the task's process.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import text_bytes, with_arrow
+from .common import held, text_bytes, with_arrow
 
 #: Most pieces that a process remembers, and the longest one in bytes; both bound memory and never change ids.
 CACHE, LONGEST = 600_000, 48
@@ -71,9 +70,8 @@ class Codec:
         return b"".join(map(self.table.__getitem__, ids))
 
 
-@lru_cache(4)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return held(Codec, path, pattern)
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", offsets: bool = False) -> DataFrame:

@@ -89,6 +89,26 @@ def with_arrow(df: DataFrame, fields: str, make) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+_HELD: dict = {}
+
+
+def held(make=None, *key):
+    """``make(*key)``, made once in a task's process, or nothing.
+
+    Processes outlive stages and the caches of such helpers are large, so that those of another kind go first.
+    """
+    for other in [x for x in _HELD if x is not make]:
+        del _HELD[other]
+    if make is None:
+        return None
+    own = _HELD.setdefault(make, {})
+    if key not in own:
+        if len(own) == 4:
+            own.clear()
+        own[key] = make(*key)
+    return own[key]
+
+
 #: Most rows of an Arrow batch that a task works on at once.
 ROWS = 1000
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, code_points, letters, mix, slices, text_bytes, with_arrow
+from .common import chunked, code_points, held, letters, mix, slices, text_bytes, with_arrow
 
 #: Buckets of n-grams; lengths of n-grams; expected most rows of a language that the model is fitted on.
 BUCKET_BITS, NGRAMS, PER_LANGUAGE, SMOOTHING = 17, (1, 2, 3, 4), 4000, 0.5
@@ -94,6 +94,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_langu
     sample = rows.where(F.pmod(F.xxhash64(F.col(text_col), *others), F.lit(1 << 20)) < share * (1 << 20)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches):
+        held()  # those of other stages go
         import pyarrow as pa
 
         width = 1 << BUCKET_BITS
@@ -133,6 +134,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make(batch):
+        held()  # those of other stages go
         import pyarrow as pa
 
         found = shared.value.predict([t.decode() for t in text_bytes(batch, text_col)])

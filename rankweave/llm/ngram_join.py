@@ -16,13 +16,12 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BASE, mix, parts, slices, stage, text_bytes, unstage, unused, with_arrow
+from .common import HASH_BASE, held, mix, parts, slices, stage, text_bytes, unstage, unused, with_arrow
 from .components import components
 
 #: Words that are shingled at once; shingles that a task packs before it sends; shingles of a bucket on average and least buckets; parts in which a bucket is counted.
@@ -96,9 +95,8 @@ class Shingler:
         return h[new], np.bincount(text[new], minlength=len(texts))
 
 
-@lru_cache(4)
 def shingler(words: int, seed: int = 0) -> Shingler:
-    return Shingler(words, seed)
+    return held(Shingler, words, seed)
 
 
 def class_keys(hashes, sizes, salt: int = HASH_BASE):

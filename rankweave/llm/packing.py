@@ -8,12 +8,11 @@ fullest bin that still holds it; if all bins are open, the fullest closes first.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_bytes, unused, with_arrow
+from .common import held, stage, text_bytes, unused, with_arrow
 
 #: Most words that a process remembers, and the longest one in bytes; both bound memory and never change ids.
 CACHE, LONGEST = 600_000, 48
@@ -64,9 +63,8 @@ class WordCodec:
         return b"".join(map(self.words.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
-@lru_cache(4)
 def word_codec(path: str) -> WordCodec:
-    return WordCodec(path)
+    return held(WordCodec, path)
 
 
 def tokenize_pieces(df: DataFrame, path: str, size: int = 4096, end_id: int = 1, text_col: str = "text") -> DataFrame:

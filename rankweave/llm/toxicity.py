@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH_BASE, chunked, code_points, letters, mix, slices, stage, text_bytes, unstage, with_arrow
+from .common import HASH_BASE, chunked, code_points, held, letters, mix, slices, stage, text_bytes, unstage, with_arrow
 
 #: Lengths of word beginnings besides whole words (0); expected most rows of a label in the sample; most features; least documents of a feature; least odds.
 PREFIXES, PER_LABEL, FEATURES, LEAST, ODDS = (0, 4, 5), 8000, 1024, 5, 30.0
@@ -176,6 +176,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sample = stage(with_arrow(sample, "signature long", sign).dropDuplicates(["label", "signature"]).drop("signature"), "labelled")
 
     def count(batches):
+        held()  # those of other stages go
         for batch in slices(batches):
             label = np.array([x > 0 for x in batch.column(0).to_pylist()], "int64")
             clean = [letters(t.decode()) for t in text_bytes(batch, "text")]
@@ -237,6 +238,7 @@ def grade(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make(batch):
+        held()  # those of other stages go
         import numpy as np
         import pyarrow as pa
 
