@@ -193,7 +193,16 @@ def rosters_by_date(games: DataFrame) -> DataFrame:
     """The last player of each role that a team (team_a) fielded on a date, and those of its date before."""
     at = F.struct("series_id", "game_number")
     now = [F.max_by(F.when(F.col("role") == i, F.col("player")), F.when(F.col("role") == i, at)).alias(r) for i, r in enumerate(ROLE_NAMES)]
-    rows = games.groupBy(F.col("team_a").alias("team"), "date").agg(*now)
+    return _with_before(games.groupBy(F.col("team_a").alias("team"), "date").agg(*now))
+
+
+def rosters_of_series(series: DataFrame) -> DataFrame:
+    """``rosters_by_date`` from series that have the last player of each role, ``last_0`` to ``last_4`` (null: none)."""
+    now = [F.max_by(f"last_{i}", F.when(F.col(f"last_{i}").isNotNull(), F.col("series_id"))).alias(r) for i, r in enumerate(ROLE_NAMES)]
+    return _with_before(series.groupBy(F.col("team_a").alias("team"), "date").agg(*now))
+
+
+def _with_before(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("team").orderBy("date")
     return rows.withColumns({f"{r}_before": F.lag(r).over(w) for r in ROLE_NAMES})
 

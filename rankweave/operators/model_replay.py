@@ -54,6 +54,15 @@ def after_worlds(series: DataFrame) -> DataFrame:
     return out.withColumn("multiplier", F.when(late, PRESEASON).otherwise(1.0)).drop("worlds_year", "worlds_end")
 
 
+#: All that tells a series from another one but its id, as far as the replay and the standings look.
+TOLD = ("date", "season", "split", "patch", "team_a", "team_b", "league_a", "league_b", "tier", "state", "winner", "best_of", "games", "wins_a", "wins_b", "continuity_a", "continuity_b")
+
+
+def tallied(series: DataFrame) -> DataFrame:
+    """A row for all ``series`` that agree on what they have of ``TOLD``, with ``n``, their number, and ``series_id`` and ``last_id``, the least and greatest id."""
+    return series.groupBy(*[c for c in TOLD if c in series.columns]).agg(F.count("*").alias("n"), F.min("series_id").alias("series_id"), F.max("series_id").alias("last_id"))
+
+
 def with_evidence(series: DataFrame) -> DataFrame:
     """Two rows for each completed series with all that a delta hangs on but the state. ``series`` may have ``split``, and ``continuity_a`` and ``_b``."""
     rows = after_worlds(series.where("state = 'completed'"))
@@ -295,7 +304,7 @@ def entries_of(events: DataFrame, rows: DataFrame) -> DataFrame:
     return own.select(*[(made[c] if c in made else F.col(c) if c in own.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
 
 
-def replay_model(series: DataFrame, league_tiers: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def replay_model(series: DataFrame, league_tiers: dict[str, str], tallies: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(teams, leagues, predictions) of ``series`` (from ``resolve_series``, with ``split`` if splits count).
 
     ``league_tiers`` names each league's tier; others are unknown. Teams have rating, momentum, uncertainty
@@ -306,10 +315,10 @@ def replay_model(series: DataFrame, league_tiers: dict[str, str]) -> tuple[DataF
     ``series`` may have ``prior_a`` and ``prior_b``, what either roster adds to its team's power in the series, whose
     players' edges ``player_model.pregame_edges`` gives; a side with null keeps what it had after its last date.
     """
-    return replay_placed(series, league_tiers)[:3]
+    return replay_placed(series, league_tiers, tallies=tallies)[:3]
 
 
-def replay_placed(series: DataFrame, league_tiers: dict[str, str], events: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def replay_placed(series: DataFrame, league_tiers: dict[str, str], events: DataFrame | None = None, tallies: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``replay_model`` with placements of ``events``: (teams, leagues, predictions, placements).
 
     ``events`` (see ``tournaments.placement_entries``) has a row for each team of an event. Points are
@@ -317,23 +326,31 @@ def replay_placed(series: DataFrame, league_tiers: dict[str, str], events: DataF
     beyond them moves its score on the first date after the event's end, and so all later powers. Events
     without an end never count; entries are held by the state from their event's first date to its end only.
     Placements are (event_key, league, date of the end, delta); deltas below 0.05 and unknown leagues have none.
+
+    Series are summed up before anything is told of them, unless they have priors, which differ by series; ``tallies`` are
+    those of ``tallied``, if they are there already. Only predictions then look at each series, when they are read.
     """
     spark = series.sparkSession
     path = new_path(spark, "model")
     if "split" not in series.columns:
         series = series.withColumn("split", F.lit(""))
     tier = lambda c: F.create_map(*[F.lit(x) for p in league_tiers.items() for x in p])[F.col(c)]
-    rows = transfer(with_evidence(series), F.coalesce(tier("league"), F.lit("unknown")), F.coalesce(tier("opponent_league"), F.lit("unknown")))
-    # What follows reads them four times where there are priors.
-    rows = with_priors(write_back(rows, f"{path}/evidence") if "prior_a" in rows.columns else rows)
-    others = rows.select("series_id", F.col("team").alias("opponent"), F.col("own_prior").alias("other_prior"))
-    rows = rows.join(others, ["series_id", "opponent"]) if "prior_a" in rows.columns else rows.withColumn("other_prior", F.lit(0.0))
-    rows = write_back(rows, f"{path}/rows")
+    evidence = lambda x: transfer(with_evidence(x), F.coalesce(tier("league"), F.lit("unknown")), F.coalesce(tier("opponent_league"), F.lit("unknown")))
+    if tallies is None:
+        tallies = write_back(tallied(series), f"{path}/tallies")
+    if "prior_a" in series.columns:
+        # What follows reads them four times.
+        rows = with_priors(write_back(evidence(series), f"{path}/evidence"))
+        others = rows.select("series_id", F.col("team").alias("opponent"), F.col("own_prior").alias("other_prior"))
+        rows = write_back(rows.join(others, ["series_id", "opponent"]), f"{path}/rows")
+        each = rows.withColumn("n", F.lit(1))
+    else:
+        rows, each = (with_priors(evidence(x)).withColumn("other_prior", F.lit(0.0)) for x in (series, tallies))
     by = ["own_prior", "other_prior", "period", "team", "opponent", "league", "opponent_league", "k", "league_k", "signal", "observed", "best_of", "transfer", "abroad", "continuity"]
-    summed = rows.groupBy(*by).agg(F.count("*").cast("double").alias("n")).withColumn("abroad", F.col("abroad").cast("double"))
+    summed = each.groupBy(*by).agg(F.sum("n").cast("double").alias("n")).withColumn("abroad", F.col("abroad").cast("double"))
     summed = write_back(summed.repartitionByRange("period").sortWithinPartitions("period"), f"{path}/summed")
     own = F.struct("season", "split", "patch")
-    days = series.where("date is not null").groupBy(F.unix_date("date").cast("long").alias("period")).agg(F.min_by(F.struct("season", "split", "patch", "team_a", "team_b"), "series_id").alias("a"), F.max_by(own, "series_id").alias("b"))
+    days = tallies.where("date is not null").groupBy(F.unix_date("date").cast("long").alias("period")).agg(F.min_by(F.struct("season", "split", "patch", "team_a", "team_b"), "series_id").alias("a"), F.max_by(own, "last_id").alias("b"))
     days = [(r["period"], *r["a"], *r["b"]) for r in days.orderBy("period").collect()]  # one short row a date
     priors = {name: (T.TIER_PRIORS[t], T.TIER_CAPS.get(t, float("inf"))) for name, t in {**league_tiers, "": "unknown"}.items()}
     schema = f"{SCHEMA}, {ENTRY}"

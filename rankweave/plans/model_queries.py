@@ -15,7 +15,7 @@ from ..operators import series as S
 from ..operators import static_rosters
 from ..operators import tournaments as U
 from ..operators.storage import new_path, write_back
-from ..sources.contest import contest_games, stored_games, table
+from ..sources.contest import contest_games, contest_series, stored_games, table
 from .analysis_queries import r4
 from .event_queries import case, quoted
 from .history_queries import records
@@ -402,9 +402,13 @@ def f14_residual_scores(spark, sf_dir):
 
 def rated_series(spark, sf_dir, games=None):
     """Series with split and roster continuity."""
-    games = stored_games(spark, sf_dir) if games is None else games
-    series = S.resolve_series(games)
-    rosters = D.with_continuity(D.rosters_by_date(games)).select(F.col("team").alias("team_a"), "date", F.when(F.col("synergy") > 0, F.col("synergy")).alias("continuity_a"))
+    if games is None:
+        series = write_back(contest_series(spark, sf_dir), f"{new_path(spark, 'contest')}/series")
+        rosters = D.rosters_of_series(series)
+        series = series.drop(*[f"last_{i}" for i in range(5)])
+    else:
+        series, rosters = S.resolve_series(games), D.rosters_by_date(games)
+    rosters = D.with_continuity(rosters).select(F.col("team").alias("team_a"), "date", F.when(F.col("synergy") > 0, F.col("synergy")).alias("continuity_a"))
     half = F.when(F.month("date") <= 6, "spring").otherwise("summer")
     return series.join(rosters, ["team_a", "date"], "left").withColumns({"split": half, "continuity_b": F.lit(None).cast("double")})
 
@@ -478,11 +482,14 @@ def f20_model_backtest(spark, sf_dir):
 @query("l12_model_standings")
 def l12_model_standings(spark, sf_dir):
     """Published standings out of the replayed state: anchor, offsets, relief, nudges, rating and rank."""
-    series, (teams, leagues, _) = model(spark, sf_dir)
-    rows = S.sides(series.where("state = 'completed'"))
-    record = rows.groupBy("team").agg(F.max_by("league", F.struct("date", "series_id")).alias("league"), F.count_if(S.won()).alias("wins"), F.count_if(F.col("winner").isNotNull() & ~S.won()).alias("losses"), F.count("*").alias("matches"))
+    series = rated_series(spark, sf_dir)
+    tallies = write_back(R.tallied(series), f"{new_path(spark, 'rated')}/tallies")
+    teams, leagues, _ = R.replay_model(series, LEAGUE_TIERS, tallies)
+    rows = S.sides(tallies.where("state = 'completed'"))
+    total = lambda fits: F.sum(F.when(fits, F.col("n")).otherwise(0))
+    record = rows.groupBy("team").agg(F.max_by("league", F.struct("date", "last_id")).alias("league"), total(S.won()).alias("wins"), total(F.col("winner").isNotNull() & ~S.won()).alias("losses"), F.sum("n").alias("matches"))
     record = record.withColumns({"eligible": F.col("matches") >= 20, "basis": F.lit("sourced")})
-    return R.standings(teams, leagues, record, series)
+    return R.standings(teams, leagues, record, tallies)
 
 
 PARTS["nudged"] = """
